@@ -6,33 +6,44 @@ asked (merging search results, queueing work, exporting entities, pausing or rat
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firmlens.functions.text import py_strip
-
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+from firmlens.functions.text import WHITESPACE, let
+
+_SEPARATOR = "\x01"
+# scheme, host, port, path and query of any text; user info and fragment are left out.
+_URL = (
+    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
+    r"(?://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:\[]*)(?::([^/?#]*))?)?"
+    r"([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+)
+_HOST = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:\[]*)"
+)
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
-_QUERY = r"^[^?#]*\?([^#]*)"
-_PORT = r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$"
-_HOST = r"^\[?([^:\]]*)"
-_HOST_V6 = r"^\[([^\]]*)\]"
 WEB_SCHEMES = ("http", "https")
 
 
-@dataclass(frozen=True)
-class UrlParts:
-    """Column expressions for the pieces of one URL column."""
+def _clean(url: Column) -> Column:
+    return F.translate(F.btrim(url, F.lit(WHITESPACE)), f"\t\r\n{_SEPARATOR}", "")
 
-    scheme: Column
-    host: Column
-    port: Column
-    port_ok: Column
-    path: Column
-    query: Column
+
+class UrlParts:
+    """Pieces of one URL; scheme and host are lower case, an absent port is ''."""
+
+    def __init__(self, pieces: Column) -> None:
+        scheme, host, port, path, query = (F.get(pieces, F.lit(index)) for index in range(5))
+        self.scheme = F.lower(scheme)
+        self.host = F.lower(F.translate(host, "[]", ""))
+        self.port = F.regexp_replace(port, "^0+(?=[0-9])", "")
+        self.port_ok = F.when(port == "", True).when(
+            port.rlike("^[0-9]{1,9}$"), port.try_cast("int") <= 65535
+        ).otherwise(False)
+        self.path = path
+        self.query = query
 
     @property
     def is_web(self) -> Column:
@@ -45,37 +56,15 @@ class UrlParts:
         )
 
 
-def _clean(url: Column) -> Column:
-    return F.translate(py_strip(url), "\t\r\n", "")
-
-
-def split_url(url: Column) -> UrlParts:
-    """Split a URL; userinfo is dropped, host and scheme are lower case, an absent port is ''."""
-    text = _clean(url)
-    netloc = F.substring_index(F.regexp_extract(text, _AUTHORITY, 1), "@", -1)
-    host = F.when(netloc.startswith("["), F.regexp_extract(netloc, _HOST_V6, 1)).otherwise(
-        F.regexp_extract(netloc, _HOST, 1)
-    )
-    raw_port = F.regexp_extract(netloc, _PORT, 1)
-    number = F.expr("NULL").cast("int")
-    number = F.when(raw_port.rlike(r"^[0-9]{1,9}$"), raw_port.cast("int")).otherwise(number)
-    return UrlParts(
-        scheme=F.lower(F.regexp_extract(text, _SCHEME, 1)),
-        host=F.lower(host),
-        port=F.coalesce(number.cast("string"), F.lit("")),
-        port_ok=(raw_port == "") | F.coalesce(number <= 65535, F.lit(False)),
-        path=F.regexp_extract(text, _PATH, 1),
-        query=F.regexp_extract(text, _QUERY, 1),
-    )
+def with_parts(url: Column, use: Callable[[UrlParts], Column]) -> Column:
+    """Split a URL with one pattern match and build an expression on its pieces."""
+    marked = F.regexp_replace(_clean(url), _URL, _SEPARATOR.join(f"${n}" for n in range(1, 6)))
+    return let(F.split(marked, _SEPARATOR, -1), lambda pieces: use(UrlParts(pieces)))
 
 
 def hostname(url: Column) -> Column:
     """Lower-case host name without user info and port, '' when there is none."""
-    return split_url(url).host
-
-
-def hostname_or_null(url: Column) -> Column:
-    return F.nullif(hostname(url), F.lit(""))
+    return F.lower(F.translate(F.regexp_extract(_clean(url), _HOST, 1), "[]", ""))
 
 
 def path_of(url: Column) -> Column:
@@ -97,40 +86,50 @@ def _host_port(parts: UrlParts, keep_default: bool) -> Column:
     return F.when(hide, parts.host).otherwise(F.concat(parts.host, F.lit(":"), parts.port))
 
 
+def _origin(parts: UrlParts, keep_default: bool) -> Column:
+    return F.concat(parts.scheme, F.lit("://"), _host_port(parts, keep_default))
+
+
 def normalize_search_url(url: Column) -> Column:
     """Key for merging results across providers; '' for anything but a valid http(s) URL."""
-    parts = split_url(url)
-    path = _or_root(F.rtrim(parts.path, F.lit("/")))
-    full = F.concat(parts.scheme, F.lit("://"), _host_port(parts, keep_default=False), path)
-    return F.when(parts.is_web & parts.port_ok, _with_query(full, parts.query)).otherwise("")
+
+    def key(parts: UrlParts) -> Column:
+        path = _or_root(F.rtrim(parts.path, F.lit("/")))
+        full = _with_query(F.concat(_origin(parts, keep_default=False), path), parts.query)
+        return F.when(parts.is_web & parts.port_ok, full).otherwise("")
+
+    return with_parts(url, key)
 
 
 def task_key(url: Column) -> Column:
     """Work-queue key: explicit ports and trailing slashes stay; NULL when not absolute http(s)."""
-    parts = split_url(url)
-    full = F.concat(
-        parts.scheme, F.lit("://"), _host_port(parts, keep_default=True), _or_root(parts.path)
-    )
-    return F.when(parts.is_web & parts.port_ok, _with_query(full, parts.query))
+
+    def key(parts: UrlParts) -> Column:
+        full = F.concat(_origin(parts, keep_default=True), _or_root(parts.path))
+        return F.when(parts.is_web & parts.port_ok, _with_query(full, parts.query))
+
+    return with_parts(url, key)
 
 
 def export_url_key(url: Column) -> Column:
     """Entity key of the export: host and path only, whatever the scheme, port or query."""
-    parts = split_url(url)
-    return F.concat(parts.host, _or_root(F.rtrim(parts.path, F.lit("/"))))
+    return F.concat(hostname(url), _or_root(F.rtrim(path_of(url), F.lit("/"))))
 
 
 def pause_origin(url: Column) -> Column:
     """Origin used for domain pauses; the port is dropped. NULL when not absolute http(s)."""
-    parts = split_url(url)
-    return F.when(parts.is_web, F.concat(parts.scheme, F.lit("://"), parts.host))
+    return with_parts(
+        url, lambda parts: F.when(parts.is_web, F.concat(parts.scheme, F.lit("://"), parts.host))
+    )
 
 
 def fetch_origin(url: Column) -> Column:
     """Origin used for rate limits and robots rules; non-default ports are kept."""
-    parts = split_url(url)
-    origin = F.concat(parts.scheme, F.lit("://"), _host_port(parts, keep_default=False))
-    return F.when(parts.is_web & parts.port_ok, origin)
+
+    def key(parts: UrlParts) -> Column:
+        return F.when(parts.is_web & parts.port_ok, _origin(parts, keep_default=False))
+
+    return with_parts(url, key)
 
 
 def legacy_normalized_url(url: Column) -> Column:
@@ -140,9 +139,8 @@ def legacy_normalized_url(url: Column) -> Column:
 
 def robots_path(url: Column) -> Column:
     """Path plus query, as matched by robots rules."""
-    parts = split_url(url)
-    return _with_query(_or_root(parts.path), parts.query)
+    return with_parts(url, lambda parts: _with_query(_or_root(parts.path), parts.query))
 
 
 def is_web_url(url: Column) -> Column:
-    return split_url(url).is_web
+    return with_parts(url, lambda parts: parts.is_web)
