@@ -1,6 +1,6 @@
 """Import every query module so that its queries are registered."""
 
-from checks import queries_search  # noqa: F401
+from checks import queries_pages, queries_search  # noqa: F401
 from checks.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

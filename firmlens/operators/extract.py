@@ -38,18 +38,20 @@ PREFECTURE_WORDS = ("北海道", "東京都", "京都府", "大阪府", "県")
 NARRATIVE_SIGNALS = ("。", "です", "ます", "属する", "周囲")
 LOCATION_DETAIL = r"(?U)(?:\d|[一二三四五六七八九十]+丁目|番地|番\b|号)"
 ADDRESS_SECTIONS = (("company", "company|会社概要|法人概要"), ("access", "access|アクセス"))
+_GAP = r"[-ー‐−\s\p{Z}]?"
 PHONE = (
-    r"(?U)(?<!\d)(0(?:[789]0|\d{1,4}))[-ー‐−\s]?"
-    r"(\d{1,4})[-ー‐−\s]?(\d{4})(?!\d)"
+    rf"(?<!\p{{Nd}})(0(?:[789]0|\p{{Nd}}{{1,4}})){_GAP}"
+    rf"(\p{{Nd}}{{1,4}}){_GAP}(\p{{Nd}}{{4}})(?!\p{{Nd}})"
 )
-FAX = r"(?iuU)(?:FAX|ファックス|ファクス)\s*[:：]?\s*$"
+FAX_WORDS = ("FAX", "ファックス", "ファクス")
+FAX = r"(?U)(?:FAX|ファックス|ファクス)\s*[:：]?\s*$"
 MOBILE_PREFIXES = ("070", "080", "090")
 USAGE_RULES = (
-    ("reservation", r"予約"),
-    ("recruiting", r"採用|求人"),
-    ("emergency", r"緊急|夜間"),
-    ("contact", r"問い合わせ|問合せ|連絡"),
-    ("main", r"代表|本社|TEL|電話"),
+    ("reservation", ("予約",)),
+    ("recruiting", ("採用", "求人")),
+    ("emergency", ("緊急", "夜間")),
+    ("contact", ("問い合わせ", "問合せ", "連絡")),
+    ("main", ("代表", "本社", "TEL", "電話")),
 )
 WEAK_USAGES = ("unknown", "main")
 TYPE_INDUSTRIES = {"HairSalon": "美容業", "MedicalBusiness": "医療", "Restaurant": "飲食店"}
@@ -62,8 +64,11 @@ ARTICLE_SIGNALS = ("観光", "旅行", "ニュース", "ランキング", "ま
 BUSINESS_SECTION = "会社概要|店舗情報|サービス|事業内容|service|company"
 
 FAX_CHARS, USAGE_CHARS, COPYRIGHT_CHARS = 15, 25, 100
-# A phone number has seven characters or more, so four neighbours cover the usage context.
-_NEIGHBOURS = 4
+# A number with the text before and after its start: the look-behind takes 25 characters, or what there
+# is from the start of the line.
+_BEFORE = rf"(?<=(^.{{0,{USAGE_CHARS - 1}}}|.{{{USAGE_CHARS}}}))"
+_PHONE_IN_CONTEXT = rf"(?s)(?=0){_BEFORE}(?=(.{{0,{USAGE_CHARS}}})){PHONE}"
+_MARK, _FIELD = "\x01", "\x02"
 
 VALUE = "struct<value:string,source:string>"
 PHONES = "array<struct<number:string,kind:string,usage:string,source:string>>"
@@ -297,11 +302,15 @@ def address() -> Column:
 
 def phone_usage(context: Column) -> Column:
     """Purpose of a number by the words around it."""
-    result = None
-    for name, pattern in USAGE_RULES:
-        hit = context.rlike(f"(?iu){pattern}")
-        result = F.when(hit, name) if result is None else result.when(hit, name)
-    return result.otherwise("unknown")
+
+    def rules(text: Column) -> Column:
+        result = None
+        for name, words in USAGE_RULES:
+            hit = contains_any(text, words)
+            result = F.when(hit, name) if result is None else result.when(hit, name)
+        return result.otherwise("unknown")
+
+    return let(F.upper(context), rules)
 
 
 def phone_kind(number: Column) -> Column:
@@ -311,57 +320,34 @@ def phone_kind(number: Column) -> Column:
 
 def phone_number(match: Column) -> Column:
     """Groups of one matched number joined by hyphens."""
-    groups = [F.regexp_extract(match, PHONE, group) for group in (1, 2, 3)]
-    return F.concat_ws("-", *groups)
+    return F.regexp_replace(match, PHONE, "$1-$2-$3")
+
+
+def _is_fax(before: Column) -> Column:
+    near = F.upper(F.right(before, F.lit(FAX_CHARS)))
+    return contains_any(near, FAX_WORDS) & near.rlike(FAX)
 
 
 def line_phones(line: Column) -> Column:
     """Numbers of one text line with their usage; FAX numbers are left out.
 
-    The text before a number is the gap in front of it plus the preceding numbers and gaps. Since a
-    number has at least seven characters, a few neighbours always cover the context window, so the
-    work stays linear in the numbers of a line.
+    One pattern pass marks every number together with the text around it.
     """
-    matches = F.regexp_extract_all(line, F.lit(PHONE), F.lit(0))
-    gaps = F.split(line, PHONE, -1)
-    pieces = F.arrays_zip(gaps.alias("gap"), matches.alias("number"))
-
-    def near(start: Column, length: int) -> Column:
-        window = F.slice(pieces, start, length)
-        return F.array_join(
-            F.transform(
-                window,
-                lambda piece: F.concat(
-                    piece["gap"], F.coalesce(piece["number"], F.lit(""))
-                ),
-            ),
-            "",
-        )
-
-    def described(match: Column, at: Column) -> Column:
-        first = F.greatest(F.lit(1), at + 1 - _NEIGHBOURS)
-        before = F.concat(
-            F.array_join(
-                F.transform(
-                    F.slice(pieces, first, at + 1 - first),
-                    lambda piece: F.concat(piece["gap"], piece["number"]),
-                ),
-                "",
-            ),
-            F.get(gaps, at),
-        )
-        left = F.right(before, F.lit(USAGE_CHARS))
-        right = F.left(F.concat(match, near(at + 2, _NEIGHBOURS)), F.lit(USAGE_CHARS))
-        number = phone_number(match)
-        return F.struct(
-            number.alias("number"),
-            phone_kind(number).alias("kind"),
-            phone_usage(F.concat(left, right)).alias("usage"),
-            F.right(left, F.lit(FAX_CHARS)).rlike(FAX).alias("fax"),
-        )
-
-    found = F.transform(matches, described)
-    return F.filter(found, lambda phone: ~phone["fax"])
+    plain = F.translate(line, _MARK + _FIELD, "")
+    marked = F.regexp_replace(
+        plain, _PHONE_IN_CONTEXT, f"{_MARK}$3-$4-$5{_FIELD}$1{_FIELD}$2{_MARK}"
+    )
+    found = F.filter(F.split(marked, _MARK, -1), lambda piece: F.contains(piece, F.lit(_FIELD)))
+    split = F.transform(found, lambda piece: F.split(piece, _FIELD, -1))
+    kept = F.filter(split, lambda piece: ~_is_fax(piece[1]))
+    return F.transform(
+        kept,
+        lambda piece: F.struct(
+            piece[0].alias("number"),
+            phone_kind(piece[0]).alias("kind"),
+            phone_usage(F.concat(piece[1], piece[2])).alias("usage"),
+        ),
+    )
 
 
 def _structured_phones(texts: Column, usage: Column, source: str) -> Column:
@@ -371,11 +357,9 @@ def _structured_phones(texts: Column, usage: Column, source: str) -> Column:
         lambda match: match != "",
     )
     return F.transform(
-        matches,
-        lambda match: F.struct(
-            phone_number(match).alias("number"),
-            phone_kind(phone_number(match)).alias("kind"),
-            usage.alias("usage"),
+        F.transform(matches, phone_number),
+        lambda number: F.struct(
+            number.alias("number"), phone_kind(number).alias("kind"), usage.alias("usage"),
             F.lit(source).alias("source"),
         ),
     )
