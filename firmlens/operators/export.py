@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firmlens.functions.text import csv_cell, entity_text_key, search_history, sheet_cell
 from firmlens.functions.urls import export_url_key
 from firmlens.operators.ordered import join_text
+from firmlens.session import cut_lineage
 
 # Columns of an export row with their display headers, in display order.
 HEADERS = {
@@ -241,12 +242,36 @@ def orphan_errors(errors: DataFrame, progress: DataFrame) -> DataFrame:
     return joined.select(*[values[name].alias(name) for name in HEADERS])
 
 
+def _entities(rows: DataFrame) -> DataFrame:
+    """One row per URL key: size, first id, joined distinct histories, keys of its representative.
+
+    Repeated histories of a key collapse on the map side, so a key with most of the rows is spread over
+    all tasks until only its distinct histories are left.
+    """
+    traits = F.struct(
+        entity_text_key(F.col("company_name")).alias("name"),
+        entity_text_key(F.col("address")).alias("address"),
+        F.col("primary_phone").alias("phone"),
+    )
+    per_history = rows.groupBy("_url_key", "_history").agg(
+        F.count("*").alias("_n"), F.min("id").alias("_id"), F.min_by(traits, "id").alias("_t")
+    )
+    listed = F.array_sort(F.collect_list(F.struct("_id", "_history")))
+    joined = F.array_join(F.transform(listed, lambda item: item["_history"]), SEPARATOR)
+    entities = per_history.groupBy("_url_key").agg(
+        F.sum("_n").alias("_n"), F.min("_id").alias("_first_id"),
+        F.min_by("_t", "_id").alias("_t"), joined.alias("_histories"),
+    )
+    return entities.select("_url_key", "_n", "_first_id", "_histories", "_t.*")
+
+
 def deduplicate(base: DataFrame) -> DataFrame:
     """Annotate export rows with duplicate_candidate, all_search_conditions and is_sales_row.
 
     Rows of one URL key form an entity represented by the smallest id. Representatives with the same
-    name and address merge into the first one; the same name and phone is only flagged. Group facts are
-    plain aggregates over distinct histories, so a key with most of the rows never sits in one task.
+    name and address merge into the first one; the same name and phone is only flagged. The entity table
+    is written to the checkpoint folder once because five steps read it; all groups are judged by plain
+    aggregates joined back, never by a window over a group.
     """
     rows = base.withColumns(
         {
@@ -257,45 +282,40 @@ def deduplicate(base: DataFrame) -> DataFrame:
             ),
         }
     )
-    sizes = rows.groupBy("_url_key").agg(F.count("*").alias("_n"), F.min("id").alias("_first_id"))
-    histories = join_text(rows, ["_url_key"], "id", "_history", "_histories")
-    groups = sizes.join(histories, "_url_key")
-    annotated = rows.join(groups, "_url_key")
-
-    keyed = annotated.filter(F.col("id") == F.col("_first_id")).select(
-        "id", "_histories", "primary_phone",
-        entity_text_key(F.col("company_name")).alias("_name"),
-        entity_text_key(F.col("address")).alias("_address"),
-    )
-    place = ["_name", "_address"]
-    located = keyed.filter((F.col("_name") != "") & (F.col("_address") != ""))
-    merged = (
+    entities = cut_lineage(_entities(rows))
+    place, contact = ["name", "address"], ["name", "phone"]
+    located = entities.filter((F.col("name") != "") & (F.col("address") != ""))
+    shared = (
         located.groupBy(*place)
-        .agg(F.count("*").alias("_members"), F.min("id").alias("_keeper"))
+        .agg(F.count("*").alias("_members"), F.min("_first_id").alias("_keeper"))
         .filter(F.col("_members") > 1)
     )
-    members = located.join(merged.select(*place, "_keeper"), place)
-    combined = join_text(members, ["_keeper"], "id", "_histories", "_combined").select(
-        F.col("_keeper").alias("id"), "_combined"
+    members = located.join(shared, place).select("_url_key", "_first_id", "_keeper", "_histories")
+    combined = join_text(members, ["_keeper"], "_first_id", "_histories", "_combined")
+    merged = members.select("_url_key", "_first_id", "_keeper").join(
+        combined.select(F.col("_keeper").alias("_first_id"), "_combined"), "_first_id", "left"
     )
-    by_place = members.select("id", "_keeper").join(combined, "id", "left")
-
-    contact = ["_name", "primary_phone"]
-    reachable = keyed.filter((F.col("_name") != "") & (F.col("primary_phone") != ""))
-    shared = reachable.groupBy(*contact).agg(F.count("*").alias("_sharing")).filter("_sharing > 1")
-    by_phone = reachable.join(shared, contact, "left_semi").select(
-        "id", F.lit(True).alias("_same_phone")
+    reachable = entities.filter((F.col("name") != "") & (F.col("phone") != ""))
+    same = reachable.groupBy(*contact).agg(F.count("*").alias("_sharing")).filter("_sharing > 1")
+    by_phone = reachable.join(same, contact, "left_semi").select(
+        "_url_key", F.lit(True).alias("_same_phone")
     )
-    marked = annotated.join(by_place, "id", "left").join(by_phone, "id", "left")
-    duplicate = (
-        (F.col("_n") > 1) | F.col("_keeper").isNotNull() | F.col("_same_phone").isNotNull()
+    facts = (
+        entities.select("_url_key", "_n", "_first_id", "_histories")
+        .join(merged.drop("_first_id"), "_url_key", "left")
+        .join(by_phone, "_url_key", "left")
     )
+    marked = rows.drop("_history").join(facts, "_url_key")
+    first = F.col("id") == F.col("_first_id")
+    grouped = F.col("_keeper").isNotNull() | F.col("_same_phone").isNotNull()
     removed = F.col("_keeper").isNotNull() & (F.col("_keeper") != F.col("id"))
     return marked.withColumns(
         {
-            "duplicate_candidate": duplicate,
-            "all_search_conditions": F.coalesce("_combined", "_histories"),
-            "is_sales_row": (F.col("id") == F.col("_first_id")) & ~removed,
+            "duplicate_candidate": (F.col("_n") > 1) | (first & grouped),
+            "all_search_conditions": F.coalesce(
+                F.when(first, F.col("_combined")), F.col("_histories")
+            ),
+            "is_sales_row": first & ~removed,
         }
     ).select(*HEADERS, "is_sales_row")
 
@@ -306,21 +326,35 @@ def error_rows(annotated: DataFrame, orphans: DataFrame) -> DataFrame:
     return own.unionByName(orphans)
 
 
-def category_rows(annotated: DataFrame, orphans: DataFrame, category: str) -> DataFrame:
-    """Rows of one export category."""
-    sales = annotated.filter("is_sales_row")
-    sources = {
-        "all_results": annotated,
+def category_tests() -> dict[str, Column]:
+    """Membership test of every category over annotated rows."""
+    sales, target = F.col("is_sales_row"), F.col("is_business_target")
+    return {
+        "all_results": F.lit(True),
         "sales": sales,
-        "business_targets": sales.filter("is_business_target"),
-        "mobile_only": sales.filter(F.col("mobile_phones") != ""),
-        "no_phone": sales.filter(F.col("all_phone_numbers") == ""),
-        "review_required": sales.filter("review_required"),
-        "excluded": sales.filter(~F.col("is_business_target")),
+        "business_targets": sales & target,
+        "mobile_only": sales & (F.col("mobile_phones") != ""),
+        "no_phone": sales & (F.col("all_phone_numbers") == ""),
+        "review_required": sales & F.col("review_required"),
+        "excluded": sales & ~target,
+        "errors": F.col("error_message") != "",
     }
+
+
+def categorized(annotated: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Every export row once per category it belongs to, in one pass over the snapshot."""
+    names = F.array_compact(
+        F.array(*[F.when(test, F.lit(name)) for name, test in category_tests().items()])
+    )
+    own = annotated.withColumn("category", F.explode(names)).select("category", *HEADERS)
+    return own.unionByName(orphans.select(F.lit("errors").alias("category"), *HEADERS))
+
+
+def category_rows(annotated: DataFrame, orphans: DataFrame, category: str) -> DataFrame:
+    """Rows of one export category."""
     if category == "errors":
         return error_rows(annotated, orphans)
-    return sources[category].select(*HEADERS)
+    return annotated.filter(category_tests()[category]).select(*HEADERS)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
