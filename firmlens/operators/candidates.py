@@ -115,6 +115,7 @@ def retry_available_at(
     now: Column, status: Column, retry_after: Column, delay: int = RETRY_DELAY_SECONDS
 ) -> Column:
     """Earliest time of the next try; a 429 answer may ask for more by seconds or by date."""
+    now = now.cast("timestamp")
     text = F.btrim(retry_after)
     seconds = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
     date_text = F.regexp_replace(text, r"^[A-Za-z]+,\s*", "")

@@ -38,6 +38,7 @@ def running_totals(
 
     ``seq`` is a whole number that is unique within a key and gives the order. Sums start at 0 and
     maxima at NULL. Sequence numbers may have gaps; a block spans ``block_rows`` consecutive numbers.
+    The input is read twice, once for the block totals: pass a written table when it is costly.
     """
     sums = dict(sums or {})
     maxima = dict(maxima or {})

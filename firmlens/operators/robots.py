@@ -108,7 +108,7 @@ def robots_decisions(urls: DataFrame, policies: DataFrame) -> DataFrame:
     known = policies.select(
         F.col("origin").alias("_origin"), "rules", "crawl_delay", F.lit(True).alias("_known")
     )
-    hits = F.filter("rules", lambda rule: F.col("_path").rlike(rule["regex"]))
+    hits = F.filter("rules", lambda rule: F.rlike(F.col("_path"), rule["regex"]))
     winner = F.array_max(
         F.transform(hits, lambda rule: F.struct(rule["specificity"], rule["allow"]))
     )

@@ -23,17 +23,19 @@ from firmlens.operators.candidates import (
 )
 from firmlens.operators.ordered import top_per_key
 from firmlens.operators.relevance import prefetch_relevance
+from firmlens.operators.pages import PARSED_ONLY
 from firmlens.operators.search import (
     expand_queries,
     merge_results,
     official_site_query,
     score_results,
 )
+from firmlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Collection:
-    """Frames of one run; all lazy."""
+    """Frames of one run."""
 
     queries: DataFrame
     results: DataFrame
@@ -75,7 +77,7 @@ def discover(
 ) -> DataFrame:
     """Candidates of each condition with the decision taken before any page is read."""
     synonyms = industry_synonyms() if synonyms is None else synonyms
-    judged = prefetch_relevance(found, synonyms, excluded_domains)
+    judged = cut_lineage(prefetch_relevance(found, synonyms, excluded_domains))
     return discover_candidates(judged, limits.max_candidates)
 
 
@@ -102,10 +104,15 @@ def collect_conditions(
     rules: ScoringRules | None = None,
     keywords: Mapping[str, Sequence[str]] | None = None,
 ) -> Collection:
-    """Search, decide, process and summarise every condition in one set of plans."""
+    """Search, decide, process and summarise every condition, all conditions at once.
+
+    Three intermediate tables are written to the checkpoint folder because several later steps read
+    them: the judged results, the discovered candidates, and the processed candidates. So search results
+    are merged once and each page body is parsed once.
+    """
     limits = limits or CollectionLimits()
     queries, found = search_conditions(conditions, results, limits, providers, synonyms)
-    discovered = discover(found, limits, synonyms, excluded_domains)
+    discovered = cut_lineage(discover(found, limits, synonyms, excluded_domains))
     tasks = queue_ids(discovered, limits).select(
         "progress_id", "condition_id", "task_key", "url", "max_results",
         F.col("prefecture").alias("search_prefecture"),
@@ -116,6 +123,7 @@ def collect_conditions(
         tasks, fetches, pauses, known_pages, now, excluded_domains, rules, keywords,
         limits.count_no_phone_as_target,
     )
+    processed = cut_lineage(processed.drop(*PARSED_ONLY))
     rejected = discovered.filter(~F.col("accepted"))
     before = rejected.groupBy("condition_id").agg(F.count("*").alias("excluded"))
     outcomes = select_within_limits(processed, before, limits.max_candidates, limits.max_targets)
