@@ -10,7 +10,7 @@ from checks.registry import check
 from checks.sql_text import ENTITY, HOST, PAGE_TEXT, PATH
 from firmlens.functions.urls import hostname
 from firmlens.operators import extract, pages, score
-from firmlens.operators.page_type import with_page_type
+from firmlens.operators.page_type import PAGE_TYPE_FEATURES, with_page_type
 from firmlens.plans.profile import page_profile
 
 _PAGE_TYPE = f"""CASE
@@ -295,7 +295,8 @@ def _microdata(spark, sf):
     f"WITH {_TYPED} SELECT page_id, page_type FROM t_typed",
 )
 def _types(spark, sf):
-    return with_page_type(_features(spark, sf)).select("page_id", "page_type")
+    parsed = pages.page_features(table(spark, sf, "pages"), wanted=PAGE_TYPE_FEATURES)
+    return with_page_type(parsed).select("page_id", "page_type")
 
 
 # Phone numbers in order lines: three numbers per line, the second one a FAX.

@@ -287,7 +287,7 @@ def _signals(spark, sf):
         "ELSE '<b>Access Denied</b>' END"
     )
     rows = table(spark, sf, "pages").select("page_id", F.expr(f"{extra} || html").alias("html"))
-    shown = page_features(rows).select("page_id", visible_text().alias("shown"))
+    shown = page_features(rows, wanted=("tokens", "noscript")).select("page_id", visible_text().alias("shown"))
     return shown.select(
         "page_id", safety.captcha_signal(F.col("shown")).alias("captcha"),
         safety.block_signal(F.col("shown")).alias("blocked"),

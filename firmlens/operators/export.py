@@ -158,10 +158,13 @@ def export_base(
         "review_required", "reasons", F.col("positive_signals").alias("_positive"),
         F.col("negative_signals").alias("_negative"),
     )
+    # First everything keyed by company, then everything keyed by page, then the urls: each side is
+    # shuffled once per key.
+    company_side = listed_companies.join(first_addresses(addresses), "company_id", "left").join(
+        phone_lists(phones), "company_id", "left"
+    )
     details = (
-        page_side.join(listed_companies, "page_id", "left")
-        .join(first_addresses(addresses), "company_id", "left")
-        .join(phone_lists(phones), "company_id", "left")
+        page_side.join(company_side, "page_id", "left")
         .join(score_side, "page_id", "left")
         .join(page_errors(errors), "page_id", "left")
     )

@@ -34,7 +34,7 @@ def running_totals(
     maxima: Mapping[str, Column] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add, per row, the sums and maxima over the *earlier* rows of its key.
+    """Add, per row, the sums and maxima over the *earlier* rows of its key; keys must not be NULL.
 
     ``seq`` is a whole number that is unique within a key and gives the order. Sums start at 0 and
     maxima at NULL. Sequence numbers may have gaps; a block spans ``block_rows`` consecutive numbers.
@@ -54,15 +54,10 @@ def running_totals(
     )
     offsets = {f"_off_{name}": F.sum(f"_tot_{name}").over(before) for name in sums}
     offsets |= {f"_off_{name}": F.max(f"_tot_{name}").over(before) for name in maxima}
-    blocks = blocks.withColumns(offsets).select(
-        *[F.col(key).alias(f"_k_{key}") for key in block_keys], *offsets
-    )
+    blocks = blocks.withColumns(offsets).select(*block_keys, *offsets)
 
-    matched = None
-    for key in block_keys:
-        same = F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-        matched = same if matched is None else matched & same
-    joined = rows.join(blocks, matched, "left")
+    # The join puts the rows on (key, block), which is what the window inside a block needs as well.
+    joined = rows.join(blocks, block_keys)
     inside = (
         Window.partitionBy(*block_keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     )

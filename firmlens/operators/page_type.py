@@ -32,6 +32,7 @@ CONTENT_RULES = (
 )
 # The body counts as evidence up to this many characters; longer pages would match almost any rule.
 BODY_EVIDENCE_CHARS = 3000
+PAGE_TYPE_FEATURES = ("title", "h1", "description", "tokens")
 
 
 def with_page_type(df: DataFrame, url: str = "url", body_chars: int = BODY_EVIDENCE_CHARS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -238,8 +238,8 @@ def _microdata(scopes: list[Element]) -> list[dict[str, Any]]:
     return items
 
 
-def page_record(html: str) -> dict[str, Any]:
-    """All features of one page."""
+def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
+    """All features of one page; the normalised text lines only when asked for."""
     root = parse_html(html)
     tokens, label_owners = _lay_out(root)
     record: dict[str, Any] = {"title": None, "h1": None, "description": None, "og_site_name": None}
@@ -272,7 +272,8 @@ def page_record(html: str) -> dict[str, Any]:
         after = _next_element(owner)
         span = (after.start, after.end) if after is not None else (0, 0)
         labels.append({"at": index, "lo": span[0], "hi": span[1]})
-    lines = unicodedata.normalize("NFKC", "\n".join(tokens)).splitlines()
+    text = "\n".join(tokens) if with_lines else ""
+    lines = unicodedata.normalize("NFKC", text).splitlines()
     record.update(
         tokens=tokens, noscript=noscript, sections=sections, labels=labels, links=links,
         # A Japanese number starts with 0: lines without one cannot hold a phone number.
@@ -282,23 +283,27 @@ def page_record(html: str) -> dict[str, Any]:
     return record
 
 
-def page_features(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_features(
+    pages: DataFrame, html: str = "html", wanted: Sequence[str] | None = None
+) -> DataFrame:
     """Replace the body column by the parsed features; the other columns pass through untouched.
 
     This is the only step of extraction and scoring that leaves the JVM. Rows are independent, so it
-    adds no shuffle, and batches travel as Arrow without a pandas copy.
+    adds no shuffle, and batches travel as Arrow without a pandas copy. ``wanted`` names the features a
+    job needs; the others are not sent back.
     """
     kept = [name for name in pages.columns if name != html]
-    features_type = T.StructType.fromDDL(FEATURES)
+    fields = T.StructType.fromDDL(FEATURES).fields
+    features_type = T.StructType([f for f in fields if wanted is None or f.name in wanted])
     arrow_features = to_arrow_schema(features_type)
     schema = T.StructType([pages.schema[name] for name in kept] + features_type.fields)
-
     names = schema.names
+    with_lines = "digit_lines" in names
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(html)
-            records = [page_record(body.as_py() or "") for body in bodies]
+            records = [page_record(body.as_py() or "", with_lines) for body in bodies]
             features = pa.RecordBatch.from_pylist(records, schema=arrow_features)
             columns = [batch.column(name) for name in kept] + features.columns
             yield pa.RecordBatch.from_arrays(columns, names=names)

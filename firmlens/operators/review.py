@@ -34,10 +34,14 @@ def reviewed_scores(reviews: DataFrame, pages: DataFrame, scoring: DataFrame) ->
     """
     latest = latest_reviews(reviews)
     addresses = pages.select(
-        F.col("id").alias("page_id"), F.explode(F.array_distinct(F.array("url", "final_url"))).alias("url")
+        F.col("id").alias("page_id"),
+        F.explode(F.array_distinct(F.array("url", "final_url"))).alias("url"),
     ).filter(F.col("url").isNotNull())
+    # Inner joins first: the reviews are the small side, so the page and score tables need no shuffle.
+    hits = addresses.join(latest.select("url", "id"), "url").select("id", "page_id")
     flags = scoring.select("page_id", "is_official", "is_business_target", "review_required")
-    return latest.join(addresses, "url", "left").join(flags, "page_id", "left")
+    scored = flags.join(hits.select("page_id").distinct(), "page_id")
+    return latest.join(hits.join(scored, "page_id", "left"), "id", "left")
 
 
 def _share(hits: Column, total: Column) -> Column:

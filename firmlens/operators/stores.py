@@ -39,19 +39,28 @@ def upsert_latest(
 
 
 def upsert_pages(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Newest page per url; page_id and fetched_at stay those of the first save.
+    """Saved pages replace known ones; page_id and fetched_at stay those of the first save.
 
-    Both frames have page_id, url, fetched_at, updated_at and the page columns. The body rides along in
-    the newest-row step only; the first save is a small aggregate joined back on the unique url.
+    Both frames have page_id, url, fetched_at, updated_at and the page columns. The stored bodies pass
+    one anti join against the new urls only: no shuffle when those are few enough for Spark to broadcast
+    or the table is bucketed by url. Identity comes from a lean projection of the old table.
     """
-    both = existing.unionByName(new)
-    origin = both.groupBy("url").agg(
-        F.min("fetched_at").alias("_fetched_at"), F.min_by("page_id", "fetched_at").alias("_page_id")
+    newest = top_per_key(new, ["url"], [F.desc("updated_at")])
+    first = new.groupBy("url").agg(
+        F.min("fetched_at").alias("_new_fetched"), F.min_by("page_id", "fetched_at").alias("_new_id")
     )
-    newest = upsert_latest(existing, new, ["url"], "updated_at")
-    return newest.join(origin, "url").withColumns(
-        {"fetched_at": F.col("_fetched_at"), "page_id": F.col("_page_id")}
-    ).select(*existing.columns)
+    known = existing.select(
+        "url", F.col("page_id").alias("_old_id"), F.col("fetched_at").alias("_old_fetched")
+    )
+    identity = first.join(known, "url", "left").select(
+        "url", F.coalesce("_old_id", "_new_id").alias("_id"),
+        F.coalesce("_old_fetched", "_new_fetched").alias("_fetched"),
+    )
+    replaced = newest.join(identity, "url").withColumns(
+        {"page_id": F.col("_id"), "fetched_at": F.col("_fetched")}
+    )
+    kept = existing.join(new.select("url").distinct(), "url", "left_anti")
+    return kept.select(*existing.columns).unionByName(replaced.select(*existing.columns))
 
 
 def replace_children(existing: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:

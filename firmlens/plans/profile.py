@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions.urls import export_url_key
 from firmlens.operators.domains import domain_exclusion
-from firmlens.operators.page_type import with_page_type
+from firmlens.operators.page_type import PAGE_TYPE_FEATURES, with_page_type
 from firmlens.operators.pages import page_features
 
 
@@ -19,7 +19,8 @@ def page_profile(pages: DataFrame, domains: Sequence[str] | DataFrame) -> DataFr
     One parse, two projections and one aggregation: counting per entity key first keeps a host with a
     large share of the pages spread over all tasks until its counts are small.
     """
-    typed = with_page_type(domain_exclusion(page_features(pages.select("url", "html")), domains))
+    parsed = page_features(pages.select("url", "html"), wanted=PAGE_TYPE_FEATURES)
+    typed = with_page_type(domain_exclusion(parsed, domains))
     groups = [
         "host", F.coalesce("exclusion_category", F.lit("")).alias("exclusion_category"), "page_type"
     ]

@@ -90,5 +90,13 @@ def write_review_template(template: DataFrame, path: str) -> None:
     template.write.mode("ignore").option("header", True).csv(path)
 
 
+def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Save a table bucketed and sorted by its join key.
+
+    Pages bucketed by url join candidates and new pages without moving the stored bodies.
+    """
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def append_reviews(reviews: DataFrame, path: str, reviewed_at: Column) -> None:
     reviews.withColumn("reviewed_at", reviewed_at).write.mode("append").parquet(path)
