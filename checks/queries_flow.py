@@ -780,3 +780,46 @@ def _collected(spark, sf):
         "condition_id", "candidate_count", "processed_count", "excluded_count", "retry_count",
         "failed_count", "robots_denied_count", "condition_status",
     )
+
+
+@check(
+    "latest_states",
+    """SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id
+FROM events GROUP BY user_id""",
+)
+def _latest_states(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return stores.latest_per_key(rows, ["user_id"], "event_id")
+
+
+@check(
+    "finished_runs",
+    f"""{_SUMMARY}, t AS (SELECT 'run-' || CAST(condition_id % 2 AS VARCHAR) AS run_id,
+  count(*) FILTER (condition_id <> 4) AS done, count(*) FILTER (condition_id = 4) AS bad FROM s GROUP BY 1),
+r AS (SELECT DISTINCT 'run-' || CAST(user_id % 5 AS VARCHAR) AS run_id FROM events)
+SELECT run_id, CASE WHEN done IS NULL THEN 'running' WHEN bad > 0 THEN 'partial' ELSE 'completed' END
+  AS status, coalesce(done, 0) AS conditions_completed, coalesce(bad, 0) AS error_count,
+  done IS NOT NULL AS finished FROM r LEFT JOIN t USING (run_id)""",
+)
+def _finished(spark, sf):
+    zero = ", ".join(
+        f"CAST(0 AS BIGINT) AS {name}"
+        for name in ("conditions_completed", "business_targets", "processed_candidates", "error_count")
+    )
+    runs = table(spark, sf, "events").selectExpr(
+        "'run-' || CAST(user_id % 5 AS STRING) AS run_id"
+    ).distinct().selectExpr(
+        "run_id", "'running' AS status", "CAST(NULL AS TIMESTAMP) AS finished_at",
+        *zero.split(", "),
+    )
+    marked = _summaries(spark, sf).withColumns(
+        {
+            "run_id": F.concat(F.lit("run-"), (F.col("condition_id") % 2).cast("string")),
+            "status_ok": F.col("condition_id") != 4,
+        }
+    )
+    finished = stores.finish_runs(runs, candidates.run_totals(marked), _now())
+    return finished.select(
+        "run_id", "status", "conditions_completed", "error_count",
+        F.col("finished_at").isNotNull().alias("finished"),
+    )

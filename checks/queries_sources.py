@@ -154,6 +154,21 @@ def _decoded(spark, sf):
     )
 
 
+@check(
+    "stored_page_texts",
+    """SELECT page_id, md5(html) AS text_md5 FROM pages""",
+)
+def _stored(spark, sf):
+    wide = F.col("page_id") % 3 == 0
+    rows = table(spark, sf, "pages").select(
+        "page_id",
+        F.when(wide, F.encode("html", "UTF-16LE")).otherwise(F.encode("html", "UTF-8")).alias("body"),
+        F.when(wide, "utf-16-le").when(F.col("page_id") % 3 == 1, "unheard-of").alias("name"),
+    )
+    text = encoding.stored_text(F.col("body"), F.col("name"))
+    return rows.select("page_id", F.md5(text).alias("text_md5"))
+
+
 # Result pages of every layout, written from the given pages: five results per response.
 _PROVIDERS = ("bing_html", "yahoo_japan_html", "duckduckgo_html", "brave_search", "mojeek")
 _ITEMS = {

@@ -227,6 +227,47 @@ def process_candidates(
     return decided.drop("_gate", "_state", "url").withColumnRenamed("requested_url", "url")
 
 
+def outcome_pages(outcomes: DataFrame, now: Column) -> DataFrame:
+    """Page rows to save: every candidate that was fetched; paused and known ones keep their page."""
+    skipped = (F.col("status") == "duplicate") | F.col("error_type").eqNullSafe("domain_paused")
+    return outcomes.filter(~skipped).select(
+        F.col("progress_id").alias("page_id"), "url", "final_url", "http_status", "fetch_error",
+        F.col("status").alias("processing_status"), now.alias("fetched_at"), now.alias("updated_at"),
+    )
+
+
+def outcome_errors(outcomes: DataFrame, now: Column) -> DataFrame:
+    """Error rows of failed candidates; a pause or a robots refusal is not an error."""
+    failed = F.col("error_type").isNotNull() & (F.col("error_type") != "domain_paused")
+    return outcomes.filter(failed).select(
+        F.col("progress_id").alias("page_id"), "progress_id", "error_type",
+        F.coalesce("error_message", F.lit("")).alias("message"), now.alias("created_at"),
+    )
+
+
+def outcome_transitions(outcomes: DataFrame) -> DataFrame:
+    """Queue transitions of processed candidates, as ``apply_outcomes`` takes them."""
+    retry = F.col("available_at").isNotNull()
+    failed = F.col("status").isin("extraction_failed", "scoring_failed")
+    action = F.when(retry, "retry").when(failed, "fail").otherwise("complete")
+    paused = F.col("error_type").eqNullSafe("domain_paused")
+    reason = F.when(paused, "domain_paused").when(retry, F.col("status")).otherwise(
+        F.col("error_message")
+    )
+    return outcomes.select(
+        F.col("progress_id").alias("id"), action.alias("action"), reason.alias("error"),
+        "available_at", F.expr("CAST(NULL AS STRING)").alias("cursor"),
+    )
+
+
+def outcome_pauses(outcomes: DataFrame) -> DataFrame:
+    """Origins to pause: every retryable answer pauses its origin until the next try."""
+    retried = F.col("available_at").isNotNull() & ~F.col("error_type").eqNullSafe("domain_paused")
+    return outcomes.filter(retried).select(
+        "url", "status", "available_at", F.col("progress_id").alias("seq")
+    )
+
+
 def count_outcomes(outcomes: DataFrame, keys: Sequence[str] = ("condition_id",)) -> DataFrame:
     """Collection summary per condition with the count of every status."""
     status = F.col("status")

@@ -112,6 +112,14 @@ def test_candidate_outcomes(spark):
         5: ("http_429", "http_429"), 6: ("http_503", "http_503"), 7: ("http_404", "http_404"), 8: ("failed", "failed"),
         9: ("extraction_failed", "extraction_error"),
     }
+    processed = candidates.process_candidates(tasks, fetches, pauses, known, now, ("x.com",)).persist()
+    saved = candidates.outcome_pages(processed, now).collect()
+    assert {r.page_id for r in saved} == {3, 4, 5, 6, 7, 8, 9}
+    assert {r.progress_id for r in candidates.outcome_errors(processed, now).collect()} == {4, 5, 6, 7, 8, 9}
+    moves = {r.id: (r.action, r.error) for r in candidates.outcome_transitions(processed).collect()}
+    assert moves[1] == ("retry", "domain_paused") and moves[2][0] == "complete" and moves[3][0] == "complete"
+    assert moves[5] == ("retry", "http_429") and moves[9] == ("fail", "source_url must not be empty")
+    assert {r.seq for r in candidates.outcome_pauses(processed).collect()} == {4, 5, 6}
     wait = {r.progress_id: r.available_at and (r.available_at - NOW).total_seconds() for r in got}
     assert (wait[1], wait[4], wait[5], wait[6], wait[7]) == (3600, 300, 900, 300, None)
 
