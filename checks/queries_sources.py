@@ -132,15 +132,16 @@ _DECLARED = "CASE page_id % 6 WHEN 0 THEN 'text/html; charset=\"UTF-8\"' WHEN 1
     "decoded_bodies",
     """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'utf-8-sig'
   WHEN 5 THEN 'utf-16' ELSE 'utf-8' END AS encoding, md5(CASE page_id % 6 WHEN 2 THEN
-  replace(html, '<meta charset="utf-8">', '') WHEN 3 THEN replace(html, '<meta charset="utf-8">', '')
-  ELSE html END) AS text_md5 FROM pages""",
+  replace(html, '<meta charset="utf-8">', '') WHEN 3 THEN
+  translate(replace(html, '<meta charset="utf-8">', ''), 'æçã', 'aca') ELSE html END) AS text_md5 FROM pages""",
 )
 def _decoded(spark, sf):
     bare = F.replace("html", F.lit('<meta charset="utf-8">'), F.lit(""))
     kind = F.col("page_id") % 6
     body = (
         F.when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(bare, "UTF-8")))
-        .when(kind == 3, F.encode(bare, "UTF-8"))
+        # Letters that count as signs of a wrong decoding would leave the undeclared case to a guess.
+        .when(kind == 3, F.encode(F.translate(bare, "æçã", "aca"), "UTF-8"))
         .when(kind == 5, F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE")))
         .otherwise(F.encode("html", "UTF-8"))
     )

@@ -109,3 +109,13 @@ def test_unsafe_and_broken_feeds_are_unparsed(spark):
     df = spark.createDataFrame(rows, "body string")
     got = [r.r for r in df.select(serp.rss_results(F.col("body")).alias("r")).collect()]
     assert got == [None, None, None, []]
+
+
+def test_undeclared_charset_takes_the_cleanest_strict_decoding():
+    french = "ça çà déjà".encode()
+    # UTF-8 shows two signs of a wrong decoding; CP932 decodes strictly and shows fewer.
+    assert encoding.page_charset(french, "", "") == "cp932"
+    assert encoding.page_charset("déjà".encode(), "", "") == "utf-8"
+    # Declared charsets are never second-guessed.
+    assert encoding.page_charset(french, "text/html; charset=utf-8", "") == "utf-8"
+    assert encoding.page_charset(b"\xff\xff", "", "latin1") == "utf-8"

@@ -216,3 +216,24 @@ def test_upserted_page_keeps_its_identity(spark):
 def test_html_types(spark):
     rows = spark.createDataFrame([("Text/HTML; x",), ("application/xhtml+xml",), ("text/plain",), (None,)], "t string")
     assert [r[0] for r in rows.select(safety.is_html(F.col("t"))).collect()] == [True, True, False, False]
+
+
+def test_audit_is_appended_by_run(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    for run in ("a", "b", "a"):
+        exports.append_audit(spark.createDataFrame([(run, 1)], "run_id string, n int"), path)
+    assert spark.read.parquet(path).filter("run_id = 'a'").count() == 2
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bucketed_pages", "bucketed_tasks"):
+            exports.save_bucketed(spark.range(50).selectExpr("CAST(id AS STRING) AS url", "id"), name, "url", 4)
+        joined = spark.table("bucketed_pages").join(spark.table("bucketed_tasks").select("url"), "url")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        for name in ("bucketed_pages", "bucketed_tasks"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
