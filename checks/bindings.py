@@ -114,9 +114,6 @@ def _conditions(spark, sf):
     return wanted.join(nations, F.expr("n_nationkey = c_nationkey"))
 
 
-_QUERY_NO = "page_id % 50"
-
-
 @_binding(
     "b_found",
     "(SELECT p.*, n.*, unnest([1, 2, 3]) AS k FROM pages p JOIN nation n "

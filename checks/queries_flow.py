@@ -381,7 +381,7 @@ _GOOD = "id % 11 <> 0 AND id % 13 <> 0 AND id % 5 >= 1"
     with_tables(
         "b_progress",
         f"""SELECT id, url, 'q' || CAST(id % 7 AS VARCHAR) AS query, 1 + id % 20 AS rank,
-  id % 5 AS max_results, 0.0 AS relevance_score FROM b_progress WHERE {_GOOD}""",
+  id % 5 AS max_results, CAST(0 AS DOUBLE) AS relevance_score FROM b_progress WHERE {_GOOD}""",
     ),
 )
 def _payloads(spark, sf):
@@ -446,7 +446,7 @@ def _new_queries(spark, sf):
         "b_found",
         """WITH f AS (SELECT *, pos * 10 + provider_no AS seq FROM b_found),
 n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY seq) = 1)
-SELECT seq AS id, query_id, url, provider, rank, 0.25 AS relevance_score FROM n
+SELECT seq AS id, query_id, url, provider, rank, CAST(0.25 AS DOUBLE) AS relevance_score FROM n
 WHERE (query_id, url) NOT IN (SELECT (query_id, url) FROM b_found WHERE page_id % 7 = 0)""",
     ),
 )
@@ -632,7 +632,7 @@ _ROBOT_PAGES = """r AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/
     f"""WITH {_ROBOT_PAGES} SELECT page_id, CASE WHEN origin LIKE '%://m.%' THEN FALSE
   WHEN path LIKE '%.html' THEN FALSE WHEN path LIKE '/en/4%' THEN TRUE
   WHEN path LIKE '/en/%' THEN FALSE ELSE TRUE END AS robots_allowed,
-  CASE WHEN origin NOT LIKE '%://m.%' THEN 7.0 END AS crawl_delay FROM r""",
+  CASE WHEN origin NOT LIKE '%://m.%' THEN CAST(7 AS DOUBLE) END AS crawl_delay FROM r""",
 )
 def _robots_any(spark, sf):
     policies = robots.robots_policies(_robots_files(spark, sf), "Crawler/1.0")
@@ -643,7 +643,7 @@ def _robots_any(spark, sf):
 @check(
     "robots_named_agent",
     f"""WITH {_ROBOT_PAGES} SELECT page_id, origin NOT LIKE '%://m.%' AND NOT path LIKE '/fr/%'
-  AS robots_allowed, CASE WHEN origin NOT LIKE '%://m.%' THEN 3.0 END AS crawl_delay FROM r""",
+  AS robots_allowed, CASE WHEN origin NOT LIKE '%://m.%' THEN CAST(3 AS DOUBLE) END AS crawl_delay FROM r""",
 )
 def _robots_named(spark, sf):
     policies = robots.robots_policies(_robots_files(spark, sf), "ScoutBot/2.1")

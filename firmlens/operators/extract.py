@@ -13,7 +13,6 @@ from firmlens.functions.text import (
     count_literal,
     let,
     lookup,
-    ordered_distinct,
     py_strip,
 )
 from firmlens.operators.pages import HEADING_TAGS, page_text, span_text
@@ -70,13 +69,6 @@ _BEFORE = rf"(?<=(^.{{0,{USAGE_CHARS - 1}}}|.{{{USAGE_CHARS}}}))"
 _PHONE_IN_CONTEXT = rf"(?s)(?=0){_BEFORE}(?=(.{{0,{USAGE_CHARS}}})){PHONE}"
 _MARK, _FIELD = "\x01", "\x02"
 
-VALUE = "struct<value:string,source:string>"
-PHONES = "array<struct<number:string,kind:string,usage:string,source:string>>"
-
-
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
 
 def _first(items: Column) -> Column:
     return F.try_element_at(items, F.lit(1))
@@ -532,10 +524,3 @@ def phone_rows(extracted: DataFrame, key: str = "page_id") -> DataFrame:
 
 def address_rows(extracted: DataFrame, key: str = "page_id") -> DataFrame:
     return extracted.filter(F.col("address").isNotNull()).select(key, "address.*")
-
-
-def merged_sources(*values: Column) -> Column:
-    """Distinct sources that supplied a value, in field order."""
-    return ordered_distinct(
-        *[F.filter(F.array(value["source"]), lambda source: source.isNotNull()) for value in values]
-    )

@@ -13,11 +13,6 @@ PROGRESS = (
 )
 
 
-def sorted_json(payload: Column) -> Column:
-    """JSON text of a struct whose fields the caller lists in alphabetical order."""
-    return F.to_json(payload, {"ignoreNullFields": "false"})
-
-
 def enqueue(progress: DataFrame, tasks: DataFrame, now: Column, id_offset: int = 0) -> DataFrame:
     """New pending rows for unseen task keys; the earliest ``seq`` of a key wins.
 

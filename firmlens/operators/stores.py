@@ -69,15 +69,6 @@ def replace_children(existing: DataFrame, new: DataFrame, parents: DataFrame, ke
     return kept.unionByName(new)
 
 
-def prefetch_exclusion_rows(rejected: DataFrame, now: Column) -> DataFrame:
-    """Page rows of candidates rejected before a fetch."""
-    return rejected.select(
-        "url", F.lit("excluded").alias("processing_status"),
-        F.col("reject_reason").alias("fetch_error"), now.alias("fetched_at"),
-        now.alias("updated_at"),
-    )
-
-
 def save_prefetch_exclusions(existing: DataFrame, rejected: DataFrame, now: Column) -> DataFrame:
     """Mark pages excluded: new rows for unseen urls, status and reason replaced for known ones."""
     reasons = rejected.groupBy("url").agg(F.max_by("reject_reason", "seq").alias("_reason"))

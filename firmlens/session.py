@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +41,20 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; a temporary one is made only when none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+        return configured.rstrip("/")
     made = tempfile.mkdtemp(prefix="firmlens-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and continue from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the frame below the checkpoint folder and continue from the written table.
+
+    The table is computed once, survives lost executors, and is read with column pruning, which a
+    checkpointed RDD is not.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
