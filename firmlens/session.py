@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import firmlens
+
 RUNTIME_CONF = {
     # Timestamps are UTC on both the write and the read side.
     "spark.sql.session.timeZone": "UTC",
@@ -28,14 +29,8 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the Python workers of the session."""
-    package = Path(__file__).resolve().parent
-    known = spark.conf.get("spark.firmlens.shipped", None)
-    if known != spark.sparkContext.applicationId:
-        folder = tempfile.mkdtemp(prefix="firmlens-package-")
-        archive = shutil.make_archive(f"{folder}/firmlens", "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(archive)
-        spark.conf.set("spark.firmlens.shipped", spark.sparkContext.applicationId)
+    """Send this package's parsing functions to the Python workers inside the tasks that use them."""
+    cloudpickle.register_pickle_by_value(firmlens)
     return spark
 
 
