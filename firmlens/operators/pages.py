@@ -22,6 +22,7 @@ BUSINESS_TYPES = ("Organization", "LocalBusiness", "HairSalon", "MedicalBusiness
 # Words in ids, classes or headings that can open a section, and company-name labels.
 SECTION_WORDS = "company|会社概要|法人概要|access|アクセス|店舗情報|運営会社|サービス|事業内容|service"
 LABEL_WORDS = "法人名|会社名|運営会社"
+SPREAD_BYTES = 256 * 1024 * 1024
 BOX_TAGS = frozenset({"section", "article", "div"})
 HEADING_TAGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
@@ -283,13 +284,27 @@ def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
     return record
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """Spread a small input over all cores; a large one already comes in enough splits.
+
+    A file of a few megabytes is one split, and parsing would keep one core busy. The optimizer's size
+    estimate decides, so no more than ``SPREAD_BYTES`` are ever moved for this.
+    """
+    if pages.isStreaming:
+        return pages
+    size = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return pages
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def page_features(
     pages: DataFrame, html: str = "html", wanted: Sequence[str] | None = None
 ) -> DataFrame:
     """Replace the body column by the parsed features; the other columns pass through untouched.
 
-    This is the only step of extraction and scoring that leaves the JVM. Rows are independent, so it
-    adds no shuffle, and batches travel as Arrow without a pandas copy. ``wanted`` names the features a
+    This is the only step of extraction and scoring that leaves the JVM. Rows are independent, so a
+    large table is not shuffled, and batches travel as Arrow without a pandas copy. ``wanted`` names the features a
     job needs; the others are not sent back.
     """
     kept = [name for name in pages.columns if name != html]
@@ -308,7 +323,7 @@ def page_features(
             columns = [batch.column(name) for name in kept] + features.columns
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return pages.select(*kept, html).mapInArrow(parse, schema)
+    return _spread(pages.select(*kept, html)).mapInArrow(parse, schema)
 
 
 def span_text(lo: Column, hi: Column) -> Column:
