@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from firmlens.llm.ngram_join import jaccard_components
+from firmlens.llm.packing import pack
+from firmlens.llm.piece_bpe import decode, encode
+from firmlens.llm.token_shards import write_shards
 from firmlens.session import ship, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +40,27 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more, as components."""
     return jaccard_components(_table(spark, sf, "documents"), size=4, num=85, den=100)
+
+
+@_query("op2_token_shards")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as shards of 512-id records in training order; the index of every record."""
+    return write_shards(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+
+
+@_query("op4_piece_bpe")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode(encode(_table(spark, sf, "documents"), model), model)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op10_packing")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 2048 ids, one row per piece."""
+    return pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
