@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmlens.llm import line_quality
 from firmlens.llm.ngram_join import jaccard_components
 from firmlens.llm.packing import pack
+from firmlens.llm.passages import repeated_passages
 from firmlens.llm.piece_bpe import decode, encode
 from firmlens.llm.token_shards import write_shards
 from firmlens.session import ship, tune
@@ -60,7 +62,31 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query("op6_line_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every document; the line field is fitted on a bounded sample of ``labels``."""
+    docs = _table(spark, sf, "documents")
+    judged = line_quality.judge(docs, line_quality.fit(docs, _table(spark, sf, "labels")))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_content_lines",
+    )
+
+
+@_query("op7_passages")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document, or an earlier place of the same one, holds too."""
+    return repeated_passages(_table(spark, sf, "documents"), min_words=50, identity=0.8)
+
+
 @_query("op10_packing")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 2048 ids, one row per piece."""
     return pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

@@ -69,9 +69,9 @@ class WordHasher:
         cuts = bounds[(bounds > 0) & (bounds <= len(data))] - 1
         after[cuts] = True
         ends = np.flatnonzero(word & after) + 1
-        return starts, ends, self._hashes(data, starts, ends)
+        return starts, ends, self.spans(data, starts, ends)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the spans; a stretch of the buffer at a time, spans over a border finished on their own."""
         hashes = np.zeros(len(starts), dtype=np.uint64)
         first = 0
