@@ -47,7 +47,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op2_token_shards")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as shards of 512-id records in training order; the index of every record."""
-    return write_shards(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return write_shards(_table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, end_id=50256)
 
 
 @_query("op4_piece_bpe")

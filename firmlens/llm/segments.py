@@ -7,8 +7,10 @@ texts are gathered with array operations.
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +124,19 @@ def library_memory(model: bytes, special_as_text: bool = False) -> PieceMemory:
         return flat, np.append(0, np.cumsum(lengths))
 
     return PieceMemory(encode)
+
+
+def ranks_memory(model: bytes, pattern: str) -> PieceMemory:
+    """Piece memory over a file of byte-pair ranks for the ``tiktoken`` library; there are no special tokens."""
+    import tiktoken
+
+    ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, model.splitlines())}
+    one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+    def encode(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(one, pieces))
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
+        return flat, np.append(0, np.cumsum(lengths))
+
+    return PieceMemory(encode)

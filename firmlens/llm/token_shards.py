@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import model_file, written
-from firmlens.llm.segments import library_memory
+from firmlens.llm.segments import ranks_memory
 from firmlens.session import checkpoint_dir
 
 _RECORDS = "slot long, shard int, doc_id long, piece int, n_ids int, crc32 long, ids binary"
@@ -65,13 +65,13 @@ def slots(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.ndar
 class _Sequences:
     """Ids of the documents of a task as sequences, with a fingerprint of what was read."""
 
-    def __init__(self, model, end_id: int, length: int):
-        self._model, self._end, self._length = model, end_id, length
+    def __init__(self, model, pattern: str, end_id: int, length: int):
+        self._model, self._pattern, self._end, self._length = model, pattern, end_id, length
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         memory = None
         for batch in batches:
-            memory = memory or library_memory(self._model.value, special_as_text=True)
+            memory = memory or ranks_memory(self._model.value, self._pattern)
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = memory(part.column(1))
@@ -153,7 +153,7 @@ class _Writer:
 
 
 def write_shards(
-    docs: DataFrame, model_path: str, end_id: int, folder: str | None = None, length: int = 512, per_shard: int = 32768,
+    docs: DataFrame, ranks_path: str, pattern: str, end_id: int, folder: str | None = None, length: int = 512, per_shard: int = 32768,
     key: int = 20260101, width: int = 2, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Write the shards below ``folder`` (default: the shared folder) and return their index, one row per sequence:
@@ -166,7 +166,7 @@ def write_shards(
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    maker = _Sequences(model_file(spark, model_path), end_id, length)
+    maker = _Sequences(model_file(spark, ranks_path), pattern, end_id, length)
     first, total = {}, 0
     counted = source.mapInArrow(maker.counts, "part int, number long, print long").collect()  # one row per input partition
     for row in sorted(counted, key=lambda row: row["part"]):
