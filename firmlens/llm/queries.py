@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.llm import line_quality
+from firmlens.llm.chat_template import format_conversations, turns_of, unescape
+from firmlens.llm.license_scan import license_scan
+from firmlens.llm.main_text import main_text
 from firmlens.llm.ngram_join import jaccard_components
 from firmlens.llm.packing import pack
 from firmlens.llm.passages import repeated_passages
 from firmlens.llm.piece_bpe import decode, encode
 from firmlens.llm.token_shards import write_shards
+from firmlens.llm.vector_search import nearest_neighbours
 from firmlens.session import ship, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +58,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return write_shards(_table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, end_id=50256)
 
 
+@_query("op3_main_text")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(_table(spark, sf, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query("op4_piece_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids of every document and of the text decoded from them."""
@@ -63,6 +76,12 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query("op5_license_scan")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of a license text or notice in every document."""
+    return license_scan(_table(spark, sf, "documents"))
+
+
 @_query("op6_line_quality")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and verdict of every document; the line field is fitted on a bounded sample of ``labels``."""
@@ -80,6 +99,48 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(_table(spark, sf, "documents"), min_words=50, identity=0.8)
 
 
+@_query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth vector, out of all vectors."""
+    return nearest_neighbours(_table(spark, sf, "embeddings"), F.expr("id % 100 = 0"), k=10)
+
+
+_CHAT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of every conversation, from its rendering alone; parts of a conversation come one after the other."""
+    rows = []
+    parts = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    for conv, own in groupby(parts, key=lambda row: row[0]):
+        turns, loss, counts = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
+        for _, _, text, starts, ends in own:
+            for role, said in turns_of(text):
+                turns.update(f"{role}\n{said}\n".encode())
+                counts[0] += 1
+            for low, high in zip(starts, ends):
+                trained = unescape(text[low:high])
+                loss.update(trained.encode())
+                counts[1] += len(trained)
+            counts[2] += len(text)
+        rows.append((conv, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), counts[2]))
+        if len(rows) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[p.split(" ")[0] for p in _CHAT.split(", ")])
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[p.split(" ")[0] for p in _CHAT.split(", ")])
+
+
+@_query("op9_chat_template")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one that says control strings, read back from the output."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string"
+    )
+    return format_conversations(turns.unionByName(probe)).mapInArrow(_read_back, _CHAT)
+
+
 @_query("op10_packing")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 2048 ids, one row per piece."""
