@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import drop, model_file, written
-from firmlens.llm.segments import PieceMemory, library_memory
+from firmlens.llm.segments import PieceMemory, folded, library_memory
 
 #: Documents per hash block, on average.
 BLOCK_DOCS = 20_000
@@ -38,6 +38,10 @@ _LENGTHS = "doc_id long, tokens long, full array<long>, rest int, rest_crc long,
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _memory(model: bytes) -> PieceMemory:
+    return library_memory(model, fold=folded)
+
+
 class _Lengths:
     """Ids of every document: their number and the checksums of all pieces that a plan may choose."""
 
@@ -280,7 +284,7 @@ def _numbered(lengths: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, model_path: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    A document is its ids (no special tokens added) and ``end_id``. A null or empty text is ``end_id`` alone.
+    A document is its ids (no special tokens added) and ``end_id``. The tokenizer must drop white space and letter case. A null or empty text is ``end_id`` alone.
     Repeated rows are packed once each, a null id like any other; further columns are left out. An empty
     table gives no rows. All sequences are full but for one; their numbers are dense from 0.
     """
@@ -288,7 +292,7 @@ def pack(docs: DataFrame, model_path: str, window: int = 2048, end_id: int = 1,
         raise ValueError("the window must be a power of two")
     model = model_file(docs.sparkSession, model_path)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lengths = written(source.mapInArrow(_Lengths(model, end_id, window, library_memory), _LENGTHS))
+    lengths = written(source.mapInArrow(_Lengths(model, end_id, window, _memory), _LENGTHS))
     counts = np.zeros(window, dtype=np.int64)
     for row in lengths.groupBy("rest").count().collect():  # at most ``window`` rows
         counts[row["rest"]] = row["count"]

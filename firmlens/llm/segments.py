@@ -108,8 +108,11 @@ class PieceMemory:
         return Ids(self._flat[gathered(self._starts[places], lengths)], ends[np.searchsorted(begins, offsets)])
 
 
-def library_memory(model: bytes, special_as_text: bool = False) -> PieceMemory:
-    """Piece memory over a tokenizer file of the ``tokenizers`` library; no special tokens are added."""
+def library_memory(model: bytes, special_as_text: bool = False, fold: Callable[[str], str] | None = None) -> PieceMemory:
+    """Piece memory over a tokenizer file of the ``tokenizers`` library; no special tokens are added.
+
+    ``fold`` maps pieces that the tokenizer cannot tell apart to one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -118,14 +121,22 @@ def library_memory(model: bytes, special_as_text: bool = False) -> PieceMemory:
         tokenizer.encode_special_tokens = True
 
     def encode(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [item.ids for item in tokenizer.encode_batch(list(pieces), add_special_tokens=False)]
+        plain = [fold(piece) for piece in pieces] if fold else list(pieces)
+        place = {piece: at for at, piece in enumerate(dict.fromkeys(plain))}
+        found = [item.ids for item in tokenizer.encode_batch_fast(list(place), add_special_tokens=False)]
+        found = [found[place[piece]] for piece in plain]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((x for ids in found for x in ids), dtype=np.int32, count=int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(lengths.sum()))
         return flat, np.append(0, np.cumsum(lengths))
 
     return PieceMemory(encode)
 
 
+def folded(piece: str) -> str:
+    """The piece as a tokenizer sees it that drops white space and letter case; only for pieces in ASCII."""
+    return piece.strip(" \t\n\r\f\v").lower() if piece.isascii() and "<|" not in piece else piece
+
+
 def ranks_memory(model: bytes, pattern: str) -> PieceMemory:
     """Piece memory over a file of byte-pair ranks for the ``tiktoken`` library; there are no special tokens."""
     import tiktoken
