@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample; a small graph over them, held in memory by every task, finds the
 centroids near a vector. A vector goes to the list of its nearest centroid, and near a border also to those almost
 as near that lie in another direction. A query reads the lists whose centroids are within a ratio of its
-nearest one (distance-ratio pruning), computes exact distances there, and its best are merged.
+nearest one (distance-ratio pruning), computes exact distances there, and its best are merged. The ratio is measured on
+the sample, so clustered vectors read few lists and vectors without structure many.
 
 How it scales: every vector is indexed. A list is cut into blocks by vector id, so a list that very many equal vectors
 share is many groups of bounded size, and queries that meet in one list are cut into blocks as well; a block returns at
@@ -30,13 +31,14 @@ CENTROIDS_MOST = 8192
 #: Rows of a block of a list, and queries that meet it at once.
 BLOCK = 4096
 QUERY_BLOCK = 512
-#: Neighbours per centroid in the graph, and centroids kept during a walk.
+#: Neighbours per centroid in the graph, and centroids kept during the walk of a vector and of a query.
 EDGES = 16
-BEAM = 64
+BEAM, QUERY_BEAM = 64, 1024
 #: A vector is copied to centroids within this ratio of its nearest, at most so many.
 BORDER, COPIES = 1.10, 4
-#: A query reads lists within this ratio of its nearest, at least and at most so many.
-READ, LEAST, MOST = 1.5, 12, 48
+#: A query reads lists within a ratio of its nearest one, at least so many. The ratio is measured: it reaches this
+#: share of the true neighbours of PROBES vectors of the sample.
+LEAST, REACHED, PROBES = 8, 0.99, 512
 
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -83,15 +85,43 @@ class Graph:
             order = np.argpartition(apart, min(width, len(points) - 1), axis=1)[:, : width + 1]
             rank = np.argsort(np.take_along_axis(apart, order, 1), axis=1, kind="stable")
             edges[low : low + 1024] = np.take_along_axis(order, rank, 1)[:, 1 : width + 1] if len(points) > 1 else 0
+        edges = cls._both_ways(edges)
         # far entry points: each next one is the farthest from those taken
         entries, apart = [0], _squares(points, points[:1])[:, 0]
         while len(entries) < min(24, len(points)):
             entries.append(int(apart.argmax()))
             apart = np.minimum(apart, _squares(points, points[entries[-1:]])[:, 0])
+        reached = np.zeros(len(points), dtype=bool)  # centroids that no walk would come to are entry points too
+        front = np.unique(entries)
+        while True:
+            reached[front] = True
+            front = np.unique(edges[front])
+            front = front[~reached[front]]
+            if not len(front):
+                lost = np.flatnonzero(~reached)
+                if not len(lost):
+                    break
+                front = lost[:1]
+                entries.append(int(lost[0]))
         return cls(points, edges, np.array(entries))
 
-    def near(self, vectors: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near each vector, nearest first, and their distances: best-first walks of a whole batch at once."""
+    @staticmethod
+    def _both_ways(edges: np.ndarray) -> np.ndarray:
+        """Edges in both directions, up to twice as many per centroid; nearer ends first, free places point to itself."""
+        count, width = edges.shape
+        ends = [dict.fromkeys(row) for row in edges.tolist()]
+        for slot in range(width):
+            for start, end in enumerate(edges[:, slot].tolist()):
+                if len(ends[end]) < 2 * width and start != end:
+                    ends[end].setdefault(start)
+        out = np.repeat(np.arange(count)[:, None], 2 * width, axis=1)
+        for start, own in enumerate(ends):
+            out[start, : len(own)] = list(own)
+        return out
+
+    def near(self, vectors: np.ndarray, count: int, ratio: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Centroids near each vector, nearest first, and their distances: best-first walks of a whole batch at once.
+        Centroids beyond ``ratio`` times the nearest distance are not walked on from."""
         size, beam = len(vectors), min(max(BEAM, count), len(self.points))
         start = np.argsort(_squares(vectors, self.points[self.entries]), axis=1, kind="stable")
         kept = np.full((size, beam), -1, dtype=np.int64)
@@ -99,12 +129,13 @@ class Graph:
         done = np.zeros((size, beam), dtype=bool)
         seen = np.zeros((size, len(self.points)), dtype=bool)
         rows = np.arange(size)
-        first = self.entries[start[:, : min(4, beam)]]
+        first = self.entries[start[:, : min(8, beam)]]
         kept[:, : first.shape[1]] = first
         apart[:, : first.shape[1]] = self._distances(vectors, first)
         seen[rows[:, None], first] = True
         while len(rows):
-            open_ = np.where(done[rows] | (kept[rows] < 0), np.inf, apart[rows])
+            limit = np.maximum(apart[rows, :1] * ratio * ratio, apart[rows, min(BEAM, beam) - 1][:, None])
+            open_ = np.where(done[rows] | (kept[rows] < 0) | (apart[rows] > limit), np.inf, apart[rows])
             step = open_.argmin(1)
             live = np.isfinite(open_[np.arange(len(rows)), step])
             rows, step = rows[live], step[live]
@@ -113,6 +144,7 @@ class Graph:
             done[rows, step] = True
             next_ = self.edges[kept[rows, step]]
             fresh = ~seen[rows[:, None], next_]
+            fresh &= next_ != kept[rows, step][:, None]
             seen[rows[:, None], next_] = True
             far = np.where(fresh, self._distances(vectors[rows], next_), np.inf)
             all_kept = np.concatenate([kept[rows], np.where(fresh, next_, -1)], axis=1)
@@ -136,8 +168,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 class _Post:
     """(list, id, vector) for every list a vector is kept in or, as a query, reads."""
 
-    def __init__(self, graph: Graph, queries: bool):
-        self._graph, self._queries = graph, queries
+    def __init__(self, graph: Graph, ratio: float | None = None):
+        self._graph, self._ratio = graph, ratio
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = self._graph.points
@@ -145,31 +177,50 @@ class _Post:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 vectors = _matrix(part.column(1), points.shape[1])
-                near, apart = self._graph.near(vectors, MOST if self._queries else 2 * COPIES)
-                real = near >= 0
-                if self._queries:
-                    rank = np.arange(near.shape[1])[None]
-                    chosen = real & ((apart <= READ * apart[:, :1]) | (rank < LEAST))
+                if self._ratio is None:
+                    near, _, chosen = copies(self._graph, vectors)
                 else:
-                    chosen = self._copies(near, apart, real)
+                    near, apart = self._graph.near(vectors, QUERY_BEAM, self._ratio)
+                    chosen = (near >= 0) & ((apart <= self._ratio * apart[:, :1]) | (np.arange(near.shape[1])[None] < LEAST))
                 rows, slots = np.nonzero(chosen)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(near[rows, slots]), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))],
                     names=["list", "id", "vector"],
                 )
 
-    def _copies(self, near: np.ndarray, apart: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """The nearest, and others within the ratio that are nearer to the vector than to any chosen one."""
-        points, chosen = self._graph.points, np.zeros(near.shape, dtype=bool)
-        chosen[:, 0] = real[:, 0]
-        for slot in range(1, near.shape[1]):
-            fits = real[:, slot] & (apart[:, slot] <= BORDER * apart[:, 0]) & (chosen.sum(1) < COPIES)
-            for other in range(slot):
-                both = fits & chosen[:, other]
-                between = np.sqrt(((points[near[:, slot]] - points[near[:, other]]) ** 2).sum(1))
-                fits &= ~(both & (between < apart[:, slot]))
-            chosen[:, slot] = fits
-        return chosen
+
+def copies(graph: Graph, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near centroids, their distances, and which of them keep a copy: the nearest, and others within the border that
+    are nearer to the vector than to any chosen one."""
+    near, apart = graph.near(vectors, 2 * COPIES)
+    real, chosen = near >= 0, np.zeros(near.shape, dtype=bool)
+    chosen[:, 0] = real[:, 0]
+    for slot in range(1, near.shape[1]):
+        fits = real[:, slot] & (apart[:, slot] <= BORDER * apart[:, 0]) & (chosen.sum(1) < COPIES)
+        for other in range(slot):
+            between = np.sqrt(((graph.points[near[:, slot]] - graph.points[near[:, other]]) ** 2).sum(1))
+            fits &= ~(chosen[:, other] & (between < apart[:, slot]))
+        chosen[:, slot] = fits
+    return near, apart, chosen
+
+
+def read_ratio(graph: Graph, sample: np.ndarray, k: int) -> float:
+    """Ratio of distances that reaches REACHED of the k nearest of PROBES vectors within the sample."""
+    sample = np.unique(sample, axis=0)
+    if len(sample) < 2:
+        return 1.0
+    kept = [copies(graph, sample[low : low + 256]) for low in range(0, len(sample), 256)]
+    near, chosen = np.concatenate([part[0] for part in kept]), np.concatenate([part[2] for part in kept])
+    probes = np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(np.int64)
+    ratios = []
+    for probe in probes:
+        apart = _squares(sample[probe : probe + 1], sample)[0]
+        apart[probe] = np.inf
+        best = np.argpartition(apart, min(k, len(apart) - 1) - 1)[:k]
+        to_lists = np.sqrt(_squares(sample[probe : probe + 1], graph.points)[0])
+        reach = np.where(chosen[best], to_lists[np.maximum(near[best], 0)], np.inf).min(1)
+        ratios.extend(reach / max(to_lists.min(), 1e-12))
+    return float(max(1.0, np.quantile(ratios, REACHED)))
 
 
 def _nearest(width: int, k: int):
@@ -226,8 +277,8 @@ def nearest_neighbours(
     sample = rows.select("vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()  # at most SAMPLE rows
     points = _matrix(sample.column(0).combine_chunks(), width)
     graph = Graph.over(centroids(points, min(CENTROIDS_MOST, len(points) // 4 + 1, -(-total // LIST_SIZE))))
-    posted = written(rows.mapInArrow(_Post(graph, False), "list long, id long, vector array<double>"))
-    asked = written(rows.where(is_query).mapInArrow(_Post(graph, True), "list long, id long, vector array<double>"))
+    posted = written(rows.mapInArrow(_Post(graph), "list long, id long, vector array<double>"))
+    asked = written(rows.where(is_query).mapInArrow(_Post(graph, read_ratio(graph, points, k)), "list long, id long, vector array<double>"))
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     query_blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("query_blocks"))
     shape = blocks.join(query_blocks, "list")
