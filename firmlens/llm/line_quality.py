@@ -93,7 +93,7 @@ def measured(column: pa.Array, hasher: WordHasher) -> Lines:
     breaks = np.flatnonzero(data == 10)
     line_starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     line_starts = line_starts[line_starts < len(data)]
-    line_ends = np.append(line_starts[1:], len(data))
+    line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
     line_ends = line_ends - (data[line_ends - 1] == 10) if len(line_ends) else line_ends
     first = np.searchsorted(starts, line_starts)
     count = np.diff(np.append(first, len(starts)))
