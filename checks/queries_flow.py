@@ -296,7 +296,7 @@ def _applied(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
   AS act FROM b_progress)
 SELECT id, CASE act WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' WHEN 'retry' THEN
     'pending' ELSE status END AS status,
-  CASE WHEN act IN ('fail', 'retry') THEN 2000 WHEN act = 'complete' THEN NULL
+  CASE WHEN act IN ('fail', 'retry') THEN 2005 WHEN act = 'complete' THEN NULL
     ELSE length(last_error) END AS error_chars,
   CASE act WHEN 'cursor' THEN 'rank:1' END AS cursor,
   CASE WHEN act = 'retry' THEN '{_NOW}' ELSE strftime(available_at, '%Y-%m-%d %H:%M:%S') END

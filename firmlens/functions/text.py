@@ -17,9 +17,6 @@ _PLAIN = "".join(chr(code - 0xFEE0) for code in range(0xFF01, 0xFF5F)) + " "
 TRUE_WORDS = ("true", "1", "yes", "y", "はい", "有効", "対象", "含める")
 FALSE_WORDS = ("false", "0", "no", "n", "いいえ", "無効", "対象外", "含めない")
 
-MESSAGE_LIMIT = 2000
-CELL_LIMIT = 32767
-
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """Value of a small fixed table, NULL for an unknown key."""
@@ -107,10 +104,6 @@ def ordered_distinct(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*arrays))
 
 
-def bounded_message(text: Column) -> Column:
-    return F.left(text, F.lit(MESSAGE_LIMIT))
-
-
 def csv_cell(value: Column, kind: str) -> Column:
     """Display text of one cell; text that a spreadsheet would run as a formula is quoted."""
     if kind == "boolean":
@@ -121,10 +114,6 @@ def csv_cell(value: Column, kind: str) -> Column:
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def sheet_cell(value: Column, kind: str) -> Column:
-    return F.left(csv_cell(value, kind), F.lit(CELL_LIMIT))
-
-
 def count_literal(text: Column, word: str) -> Column:
     """Number of non-overlapping occurrences of a fixed word; 0 for NULL."""
     lost = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.dims import ScoringRules
-from firmlens.functions.text import bounded_message
 from firmlens.functions.urls import pause_origin, task_key
 from firmlens.operators.extract import extract_companies
 from firmlens.operators.ordered import running_totals, top_per_key
@@ -211,7 +210,7 @@ def process_candidates(
         {
             "status": status,
             "error_type": error_type,
-            "error_message": bounded_message(message),
+            "error_message": message,
             "available_at": retry,
             "extracted": parsed,
             "has_phone": has_phone,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.text import csv_cell, entity_text_key, search_history, sheet_cell
+from firmlens.functions.text import csv_cell, entity_text_key, search_history
 from firmlens.functions.urls import export_url_key
 from firmlens.operators.ordered import join_text
 from firmlens.session import cut_lineage
@@ -372,5 +372,5 @@ def sheet_rows(rows: DataFrame) -> DataFrame:
     """Display cells cut to the length a spreadsheet cell can hold."""
     kinds = dict(rows.dtypes)
     return rows.select(
-        *[sheet_cell(F.col(name), kinds[name]).alias(header) for name, header in HEADERS.items()]
+        *[csv_cell(F.col(name), kinds[name]).alias(header) for name, header in HEADERS.items()]
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.text import bounded_message
 
 PROGRESS = (
     "id bigint, task_key string, payload string, status string, cursor string, attempts int, "
@@ -70,7 +69,7 @@ def apply_outcomes(progress: DataFrame, outcomes: DataFrame, now: Column) -> tup
         .otherwise(F.col("status"))
     )
     error = F.when(action == "complete", F.expr("CAST(NULL AS STRING)")).when(
-        action.isin("fail", "retry"), bounded_message(F.col("_error"))
+        action.isin("fail", "retry"), F.col("_error")
     )
     updated = joined.select(
         "id", "task_key", "payload",

@@ -137,7 +137,7 @@ def test_queue_round(spark):
     )
     updated, illegal = queue.apply_outcomes(running, outcomes, now)
     first = updated.filter("id = 1").first()
-    assert (first.status, first.attempts, len(first.last_error)) == ("pending", 1, 2000)
+    assert (first.status, first.attempts, len(first.last_error)) == ("pending", 1, 3000)
     assert [r.message for r in illegal.collect()] == ["Task 3 is not running"]
     assert [r.id for r in queue.claimable(updated, now, 9).collect()] == [3]
 
