@@ -21,7 +21,7 @@ HIDDEN = frozenset({"script", "style", "template", "rt", "rp"})
 class Element:
     """One element with its attributes, parent and ordered children (elements and strings)."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "end", "start")
+    __slots__ = ("tag", "attrs", "parent", "children", "end", "start", "scope")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None) -> None:
         self.tag = tag
@@ -29,6 +29,7 @@ class Element:
         self.parent = parent
         self.children: list[Element | str] = []
         self.start = self.end = 0
+        self.scope = None  # for the caller's walk
 
     def walk(self) -> Iterator[Element]:
         """All descendants in document order."""
@@ -109,13 +110,13 @@ class _Builder(HTMLParser):
 
 
 def parse_html(html: str) -> Element:
-    """Parse one document; malformed markup never raises."""
+    """Parse one document. Markup the parser gives up on is kept up to there, with ``parse_error`` on the root."""
     builder = _Builder()
     try:
         builder.feed(html)
         builder.close()
-    except (AssertionError, ValueError):
-        pass  # the parser gave up on a broken declaration: keep what was read so far
+    except (AssertionError, ValueError) as error:
+        builder.root.attrs["parse_error"] = f"{type(error).__name__}: {error}"
     return builder.root
 
 

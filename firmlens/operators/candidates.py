@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from firmlens.dims import ScoringRules
 from firmlens.functions.urls import pause_origin, task_key
+from firmlens.operators.domains import domain_exclusion
 from firmlens.operators.extract import extract_companies
 from firmlens.operators.ordered import running_totals, top_per_key
 from firmlens.operators.pages import page_features
 from firmlens.operators.score import counts_as_target, score_pages
+from firmlens.session import cut_lineage
 
 # Processing states and the groups they are counted in.
 RETRY_STATUSES = ("http_429", "http_503", "timeout", "transport_error")
@@ -139,16 +141,18 @@ def process_candidates(
     """Outcome of every candidate: paused, duplicate, transport problem, or extracted and scored.
 
     ``candidates``: progress_id, condition_id, url and the search_* context columns. ``fetches``: url,
-    final_url, http_status, fetch_error, retry_after, html. Bodies of candidates that need no parsing
-    are blanked before the Python step, so only good pages are parsed.
+    final_url, http_status, fetch_error, retry_after, html, one row per url.
+
+    The gates read everything but the bodies; their narrow result is written, so its size is known when the bodies of the
+    candidates that passed are joined: a small set is broadcast and the body table is not moved. A page that cannot be
+    parsed is ``extraction_failed`` with its reason. Rows that are not parsed have NULL in the extracted columns.
     """
     gated = gate_pauses(candidates, pauses, now)
     final = known_pages.filter(~F.col("processing_status").isin(*RETRY_STATUSES)).select(
         F.col("url").alias("_known_url")
     )
     fetched = fetches.select(
-        F.col("url").alias("_fetch_url"), "final_url", "http_status", "fetch_error", "retry_after",
-        "html",
+        F.col("url").alias("_fetch_url"), "final_url", "http_status", "fetch_error", "retry_after"
     )
     joined = gated.join(final, F.col("url") == F.col("_known_url"), "left").join(
         fetched, F.col("url") == F.col("_fetch_url"), "left"
@@ -161,23 +165,25 @@ def process_candidates(
         .when(F.coalesce(F.btrim("final_url"), F.lit("")) == "", "extraction_failed")
         .otherwise("page")
     )
-    staged = joined.withColumns({"_gate": gate, "_state": state}).withColumn(
-        "html", F.when(F.col("_gate") == "page", F.col("html"))
-    )
+    staged = joined.withColumns({"_gate": gate, "_state": state}).drop("_known_url", "_fetch_url")
     staged = staged.withColumnsRenamed({"url": "requested_url"}).withColumn(
         "url", F.coalesce("final_url", "requested_url")
     )
-    scored = score_pages(
-        extract_companies(page_features(staged.drop("_known_url", "_fetch_url"))),
-        domains, rules, keywords,
-    )
-    parsed = F.col("_gate") == "page"
+    # Domains are looked up on these narrow rows as well, before a body is read.
+    gates = cut_lineage(domain_exclusion(staged, domains))
+    usable = gates.filter(F.col("_gate") == "page")
+    bodies = fetches.select(F.col("url").alias("requested_url"), "html").join(usable, "requested_url")
+    pages = score_pages(extract_companies(page_features(bodies)), None, rules, keywords)
+    others = gates.filter(F.col("_gate") != "page")
+    scored = pages.unionByName(others, allowMissingColumns=True)
+    broken = F.col("parse_error").isNotNull()
+    parsed = (F.col("_gate") == "page") & ~broken
     no_host = parsed & (F.col("host") == "")
     status = (
         F.when(F.col("_gate") == "paused", "http_429")
         .when(F.col("_gate") == "duplicate", "duplicate")
         .when(F.col("_gate") == "transport", F.col("_state.status"))
-        .when(F.col("_gate") == "extraction_failed", "extraction_failed")
+        .when((F.col("_gate") == "extraction_failed") | broken, "extraction_failed")
         .when(no_host, "scoring_failed")
         .when(F.col("is_business_target"), "success")
         .otherwise("excluded")
@@ -188,7 +194,7 @@ def process_candidates(
     error_type = (
         F.when(F.col("_gate") == "paused", "domain_paused")
         .when(F.col("_gate") == "transport", transport_error)
-        .when(F.col("_gate") == "extraction_failed", "extraction_error")
+        .when((F.col("_gate") == "extraction_failed") | broken, "extraction_error")
         .when(no_host, "scoring_error")
     )
     pause_text = F.date_format("paused_until", "yyyy-MM-dd HH:mm:ss")
@@ -198,13 +204,14 @@ def process_candidates(
         )
         .when(F.col("_gate") == "transport", F.col("fetch_error"))
         .when(F.col("_gate") == "extraction_failed", "source_url must not be empty")
+        .when(broken, F.col("parse_error"))
         .when(no_host, "url must contain a hostname")
     )
     retry = F.when(
         (F.col("_gate") == "transport") & F.col("_state.retryable"),
         retry_available_at(now, F.col("_state.status"), F.col("retry_after")),
     ).when(F.col("_gate") == "paused", F.col("paused_until"))
-    has_phone = parsed & (F.size("phones") > 0)
+    has_phone = parsed & F.coalesce(F.size("phones") > 0, F.lit(False))
     scoring_ok = parsed & ~no_host
     decided = scored.withColumns(
         {
@@ -223,7 +230,7 @@ def process_candidates(
             },
         }
     ).withColumn("counts_as_target", counts_as_target(count_no_phone))
-    return decided.drop("_gate", "_state", "url").withColumnRenamed("requested_url", "url")
+    return decided.drop("_gate", "_state", "url", "parse_error").withColumnRenamed("requested_url", "url")
 
 
 def outcome_pages(outcomes: DataFrame, now: Column) -> DataFrame:

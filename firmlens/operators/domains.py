@@ -27,25 +27,28 @@ CATEGORY_HINTS = {
 SUFFIX_CATEGORIES = {"go.jp": "government", "lg.jp": "government", "or.jp": "association"}
 OTHER_CATEGORY = "excluded"
 
-# A list up to this length is inlined as an expression; a longer one must come as a DataFrame.
-INLINE_LIMIT = 200
-
 
 def _under(host: Column, domain: str) -> Column:
     return (host == domain) | host.endswith(f".{domain}")
 
 
-def _check_inline(domains: Sequence[str]) -> None:
-    if len(domains) > INLINE_LIMIT:
-        raise ValueError(f"more than {INLINE_LIMIT} domains: pass them as a DataFrame")
+def host_suffixes(host: Column) -> Column:
+    """The host and the domains above it, longest first."""
+    labels = F.split(host, r"\.")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda start: F.array_join(F.slice(labels, start, F.size(labels)), "."),
+    )
+
+
+def first_listed(host: Column, domains: Sequence[str]) -> Column:
+    """First domain of the list, of any length, that is the host or above it; NULL for none."""
+    names = F.lit(list(domains)) if domains else F.array().cast("array<string>")
+    return F.get(F.array_intersect(names, host_suffixes(host)), F.lit(0))
 
 
 def host_in_list(host: Column, domains: Sequence[str]) -> Column:
-    _check_inline(domains)
-    result = F.lit(False)
-    for domain in domains:
-        result = result | _under(host, domain)
-    return result
+    return F.coalesce(first_listed(host, domains).isNotNull(), F.lit(False))
 
 
 def domain_category(domain: Column) -> Column:
@@ -89,25 +92,17 @@ def _describe(df: DataFrame, configured: Column) -> DataFrame:
 def domain_exclusion(df: DataFrame, domains: Sequence[str] | DataFrame, url: str = "url") -> DataFrame:
     """Add host, domain_excluded, exclusion_category, matched_domain and exclusion_reason.
 
-    A short list becomes one projection without any shuffle. A DataFrame of ``domain`` and ``position``
+    A list of any length becomes one projection without any shuffle. A DataFrame of ``domain`` and ``position``
     is joined on the dot-suffixes of the distinct hosts, so a host with many pages is looked up once;
-    Spark decides by measured size whether either side is broadcast.
+    Spark decides by measured size whether either side is broadcast. Call this before bodies are parsed: the frame is
+    read twice then.
     """
     hosted = df.withColumn("host", F.rtrim(hostname(F.col(url)), F.lit(".")))
     if not isinstance(domains, DataFrame):
-        _check_inline(domains)
-        listed = F.expr("CAST(NULL AS STRING)")
-        for domain in reversed(list(domains)):
-            listed = F.when(_under(F.col("host"), domain), domain).otherwise(listed)
-        return _describe(hosted, listed)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda start: F.array_join(F.slice(labels, start, F.size(labels)), "."),
-    )
+        return _describe(hosted, first_listed(F.col("host"), domains))
     hosts = hosted.select("host").filter(F.col("host") != "").distinct()
     listed_hosts = (
-        hosts.select("host", F.explode(suffixes).alias("domain"))
+        hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain"))
         .join(domains.select("domain", "position"), "domain")
         .groupBy("host")
         .agg(F.min_by("domain", "position").alias("_configured"))

@@ -62,7 +62,7 @@ EVIDENCE_KEYWORDS = {
 ARTICLE_SIGNALS = ("観光", "旅行", "ニュース", "ランキング", "まとめ", "記事")
 BUSINESS_SECTION = "会社概要|店舗情報|サービス|事業内容|service|company"
 
-FAX_CHARS, USAGE_CHARS, COPYRIGHT_CHARS = 15, 25, 100
+FAX_CHARS, USAGE_CHARS = 15, 25
 # A number with the text before and after its start: the look-behind takes 25 characters, or what there
 # is from the start of the line.
 _BEFORE = rf"(?<=(^.{{0,{USAGE_CHARS - 1}}}|.{{{USAGE_CHARS}}}))"
@@ -136,10 +136,10 @@ def _company_section(text: Column) -> Column:
 
 
 def _copyright(text: Column) -> Column:
-    """Legal name shortly after the first copyright marker that occurs."""
+    """Legal name anywhere after the first copyright marker that occurs."""
     result = None
     for marker in COPYRIGHT_MARKERS:
-        after = F.substring(text, F.instr(text, marker) + len(marker), COPYRIGHT_CHARS)
+        after = F.substring(text, F.instr(text, marker) + len(marker), F.length(text))
         found = F.contains(text, F.lit(marker))
         if result is None:
             result = F.when(found, legal_name(after))

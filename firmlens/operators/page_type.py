@@ -12,7 +12,7 @@ from firmlens.operators.pages import page_text
 # Type rules, in the order they are tested. The evidence is lower case, so plain word
 # searches give the case-insensitive result.
 HARMFUL_RULES = (
-    ("portal", ("ポータル", "ランキング", "まとめ", "比較サイト"), r"おすすめ.*一覧"),
+    ("portal", ("ポータル", "ランキング", "まとめ", "比較サイト"), r"(?d)おすすめ.*一覧"),
     ("job", ("求人", "採用情報", "recruit", "/job"), None),
     ("directory", ("電話帳", "企業一覧", "店舗一覧", "directory"), None),
     ("article", ("/article", "/blog", "ニュース", "コラム", "記事"), None),
@@ -30,18 +30,19 @@ CONTENT_RULES = (
     ("company", ("会社概要", "法人概要"), None),
     ("store", ("店舗情報",), r"(?U)\w+店"),
 )
-# The body counts as evidence up to this many characters; longer pages would match almost any rule.
-BODY_EVIDENCE_CHARS = 3000
 PAGE_TYPE_FEATURES = ("title", "h1", "description", "tokens")
 
 
-def with_page_type(df: DataFrame, url: str = "url", body_chars: int = BODY_EVIDENCE_CHARS) -> DataFrame:
-    """Add page_type, the first matching rule; needs the parsed feature columns."""
+def with_page_type(df: DataFrame, url: str = "url", body_chars: int | None = None) -> DataFrame:
+    """Add page_type, the first matching rule; needs the parsed feature columns.
+
+    The whole body counts as evidence; ``body_chars`` narrows it to its first characters where a user asks for that.
+    """
     blank = F.lit("")
     path = F.lower(path_of(F.col(url)))
     title, h1 = F.coalesce("title", blank), F.coalesce("h1", blank)
     description = F.coalesce("description", blank)
-    body = F.left(page_text(), F.lit(body_chars))
+    body = page_text() if body_chars is None else F.left(page_text(), F.lit(body_chars))
     # The evidence texts are columns of their own, so each is built once and not once per rule.
     prepared = df.withColumns(
         {

@@ -22,16 +22,20 @@ BUSINESS_TYPES = ("Organization", "LocalBusiness", "HairSalon", "MedicalBusiness
 # Words in ids, classes or headings that can open a section, and company-name labels.
 SECTION_WORDS = "company|会社概要|法人概要|access|アクセス|店舗情報|運営会社|サービス|事業内容|service"
 LABEL_WORDS = "法人名|会社名|運営会社"
-SPREAD_BYTES = 256 * 1024 * 1024
+# Attributes that carry an item's value; other elements, and empty attributes, give their text.
+VALUE_ATTRIBUTES = {"meta": "content", "a": "href", "link": "href", "img": "src", "source": "src"}
 BOX_TAGS = frozenset({"section", "article", "div"})
 HEADING_TAGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 _SECTION = re.compile(SECTION_WORDS, re.IGNORECASE)
 _LABEL = re.compile(LABEL_WORDS)
 _DESCRIPTION = re.compile("description", re.IGNORECASE)
+_TEL = re.compile("tel:", re.IGNORECASE)
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
-# lo and hi are a half-open range of token positions.
+# lo and hi are a half-open range of token positions; parse_error is NULL for a page that was read whole.
 FEATURES = """
+    parse_error string,
     title string, h1 string, description string, og_site_name string,
     tokens array<string>,
     noscript array<struct<lo:int,hi:int>>,
@@ -55,8 +59,17 @@ PARSED_ONLY = (
 )
 
 
+def _sound(text: str) -> str:
+    """JSON escapes can spell half a surrogate pair, which no column can hold."""
+    return _SURROGATE.sub("\ufffd", text)
+
+
 def _clean(value: Any) -> str | None:
-    return value.strip() or None if isinstance(value, str) else None
+    return _sound(value).strip() or None if isinstance(value, str) else None
+
+
+def _strings(value: Any) -> list[str]:
+    return [_sound(item) for item in (value if isinstance(value, list) else [value]) if isinstance(item, str)]
 
 
 def _lay_out(root: Element) -> tuple[list[str], dict[int, Element]]:
@@ -138,38 +151,32 @@ def _flatten(value: Any) -> Iterator[dict]:
             yield item
 
 
-def _types(value: Any) -> list[str]:
-    values = [value] if isinstance(value, str) else value if isinstance(value, list) else []
-    return [item.rsplit("/", 1)[-1] for item in values if isinstance(item, str)]
-
-
 def _numbers(value: Any) -> list[str]:
-    values = value if isinstance(value, list) else [value]
-    return [unicodedata.normalize("NFKC", item) for item in values if isinstance(item, str)]
+    return [unicodedata.normalize("NFKC", item) for item in _strings(value)]
 
 
-def _entity(data: dict, types: list[str]) -> dict[str, Any]:
+def _entity(data: dict) -> dict[str, Any]:
     address = data.get("address")
     fields = address if isinstance(address, dict) else {}
     points = data.get("contactPoint")
     points = points if isinstance(points, list) else [points]
     postal = fields.get("postalCode")
     return {
-        "types": types,
+        "types": _strings(data.get("@type")),
         "name": _clean(data.get("name")),
         "legal_name": _clean(data.get("legalName")),
         "alternate_name": _clean(data.get("alternateName")),
         "telephones": _numbers(data.get("telephone")),
         "contacts": [
             {
-                "kind": str(point.get("contactType", "")),
+                "kind": _sound(str(point.get("contactType", ""))),
                 "telephones": _numbers(point.get("telephone")),
             }
             for point in points
             if isinstance(point, dict)
         ],
-        "address_text": address if isinstance(address, str) else None,
-        "postal_code": postal if isinstance(postal, str) else None,
+        "address_text": _sound(address) if isinstance(address, str) else None,
+        "postal_code": _sound(postal) if isinstance(postal, str) else None,
         "region": _clean(fields.get("addressRegion")),
         "locality": _clean(fields.get("addressLocality")),
         "street": _clean(fields.get("streetAddress")),
@@ -183,60 +190,43 @@ def _jsonld(blocks: list[str]) -> list[dict[str, Any]]:
             value = json.loads(block)
         except (ValueError, RecursionError):
             continue
-        for data in _flatten(value):
-            types = _types(data.get("@type"))
-            if any(name in BUSINESS_TYPES for name in types):
-                entities.append(_entity(data, types))
+        entities.extend(_entity(data) for data in _flatten(value) if "@type" in data)
     return entities
 
 
-def _scope_of(element: Element) -> Element | None:
-    node = element.parent
-    while node is not None and "itemscope" not in node.attrs:
-        node = node.parent
-    return node
-
+def _item_text(element: Element) -> str:
+    """Value of an item property that is no item itself."""
+    source = VALUE_ATTRIBUTES.get(element.tag, "")
+    value = element.attrs.get(source, "") or element.text()
+    return (_TEL.sub("", value, count=1) if source == "href" and _TEL.match(value) else value).strip()
 
-def _item_value(element: Element) -> str:
-    attrs = element.attrs
-    if element.tag == "meta":
-        value = attrs.get("content", "")
-    elif element.tag in ("a", "link") and attrs.get("href"):
-        value = attrs["href"]
-        value = value[4:] if value[:4].lower() == "tel:" else value
-    elif element.tag in ("img", "source") and attrs.get("src"):
-        value = attrs["src"]
-    else:
-        value = element.text()
-    return value.strip()
 
+def _note_item(element: Element, items: list[dict[str, Any]]) -> None:
+    """Enter one element of a walk in document order into the item it lies in, and open the item it starts.
 
-def _item_props(scope: Element) -> dict[str, Any]:
-    """Text properties of one item scope; a nested scope is a dict of its own text properties."""
-    props: dict[str, Any] = {}
-    for element in scope.walk():
-        if "itemprop" not in element.attrs or _scope_of(element) is not scope:
-            continue
-        nested = "itemscope" in element.attrs
-        props[element.attrs["itemprop"]] = _item_props(element) if nested else _item_value(element)
-    return props
+    Outermost items with a type go to ``items``. The last property of a name wins; of a nested item its own texts count.
+    """
+    attrs, around = element.attrs, element.parent.scope
+    element.scope = around
+    if "itemscope" in attrs:
+        element.scope = {"types": [attrs.get("itemtype", "")], "texts": {}, "items": {}}
+        if around is None and "itemtype" in attrs:
+            items.append(element.scope)
+    if around is None or "itemprop" not in attrs:
+        return
+    name = attrs["itemprop"]
+    around["texts"].pop(name, None)
+    around["items"].pop(name, None)
+    if element.scope is not around:
+        around["items"][name] = element.scope
+    else:
+        value = _item_text(element)
+        around["texts"][name] = unicodedata.normalize("NFKC", value) if name == "telephone" else value
 
 
-def _microdata(scopes: list[Element]) -> list[dict[str, Any]]:
-    items = []
-    for scope in scopes:
-        types = [scope.attrs["itemtype"].rstrip("/").rsplit("/", 1)[-1]]
-        if types[0] not in BUSINESS_TYPES:
-            continue
-        props = _item_props(scope)
-        texts = {key: value for key, value in props.items() if isinstance(value, str)}
-        nested = {
-            key: {name: text for name, text in value.items() if isinstance(text, str)}
-            for key, value in props.items()
-            if isinstance(value, dict)
-        }
-        items.append({"types": types, "props": texts, "nested": nested})
-    return items
+def _item_row(item: dict[str, Any]) -> dict[str, Any]:
+    nested = {name: inner["texts"] for name, inner in item["items"].items()}
+    return {"types": item["types"], "props": item["texts"], "nested": nested}
 
 
 def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
@@ -244,8 +234,9 @@ def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
     root = parse_html(html)
     tokens, label_owners = _lay_out(root)
     record: dict[str, Any] = {"title": None, "h1": None, "description": None, "og_site_name": None}
+    record["parse_error"] = root.attrs.get("parse_error")
     seen_meta: set[str] = set()
-    sections, links, noscript, blocks, scopes = [], [], [], [], []
+    sections, links, noscript, blocks, items = [], [], [], [], []
     for element in root.walk():
         tag, attrs = element.tag, element.attrs
         if tag in ("title", "h1") and record[tag] is None:
@@ -263,8 +254,7 @@ def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
             noscript.append({"lo": element.start, "hi": element.end})
         elif tag == "script" and attrs.get("type") == "application/ld+json":
             blocks.append(element.raw_text())
-        if "itemscope" in attrs and "itemtype" in attrs and _scope_of(element) is None:
-            scopes.append(element)
+        _note_item(element, items)
         marked = _SECTION.search(attrs.get("id", "")) or _SECTION.search(attrs.get("class", ""))
         if marked or tag in HEADING_TAGS or tag in ("footer", "small"):
             sections.append(_section(element))
@@ -279,37 +269,48 @@ def page_record(html: str, with_lines: bool = True) -> dict[str, Any]:
         tokens=tokens, noscript=noscript, sections=sections, labels=labels, links=links,
         # A Japanese number starts with 0: lines without one cannot hold a phone number.
         digit_lines=[line for line in lines if "0" in line],
-        jsonld=_jsonld(blocks), microdata=_microdata(scopes),
+        jsonld=_jsonld(blocks), microdata=[_item_row(item) for item in items],
     )
     return record
 
 
-def _spread(pages: DataFrame) -> DataFrame:
-    """Spread a small input over all cores; a large one already comes in enough splits.
-
-    A file of a few megabytes is one split, and parsing would keep one core busy. The optimizer's size
-    estimate decides, so no more than ``SPREAD_BYTES`` are ever moved for this.
-    """
-    if pages.isStreaming:
-        return pages
-    size = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_BYTES:
-        return pages
-    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+def _guarded_record(html: str, with_lines: bool) -> dict[str, Any]:
+    """Features of one page; a page that cannot be parsed has empty ones and says why."""
+    try:
+        return page_record(html, with_lines)
+    except Exception as error:  # whatever one page does, the others go on
+        return {**page_record(""), "parse_error": f"{type(error).__name__}: {error}"}
+
+
+def _business_only(entities: str) -> Column:
+    """Entities of a supported type, their types without the vocabulary's address."""
+    named = F.transform(
+        entities,
+        lambda item: item.withField(
+            "types",
+            F.transform(
+                item["types"], lambda kind: F.substring_index(F.rtrim(kind, F.lit("/")), "/", -1)
+                if entities == "microdata" else F.substring_index(kind, "/", -1),
+            ),
+        ),
+    )
+    supported = F.array(*[F.lit(name) for name in BUSINESS_TYPES])
+    return F.filter(named, lambda item: F.arrays_overlap(item["types"], supported))
 
 
 def page_features(
-    pages: DataFrame, html: str = "html", wanted: Sequence[str] | None = None
+    pages: DataFrame, html: str = "html", wanted: Sequence[str] | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Replace the body column by the parsed features; the other columns pass through untouched.
 
-    This is the only step of extraction and scoring that leaves the JVM. Rows are independent, so a
-    large table is not shuffled, and batches travel as Arrow without a pandas copy. ``wanted`` names the features a
-    job needs; the others are not sent back.
+    This is the only step of extraction and scoring that leaves the JVM. Rows are independent, so nothing is shuffled
+    (``partitions`` spreads an input with too few splits), and batches travel as Arrow without a pandas copy. ``wanted``
+    names the features a job needs; the others are not sent back. No page ends the job: ``parse_error`` says what was wrong
+    with one.
     """
     kept = [name for name in pages.columns if name != html]
     fields = T.StructType.fromDDL(FEATURES).fields
-    features_type = T.StructType([f for f in fields if wanted is None or f.name in wanted])
+    features_type = T.StructType([f for f in fields if wanted is None or f.name in (*wanted, "parse_error")])
     arrow_features = to_arrow_schema(features_type)
     schema = T.StructType([pages.schema[name] for name in kept] + features_type.fields)
     names = schema.names
@@ -318,12 +319,15 @@ def page_features(
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = batch.column(html)
-            records = [page_record(body.as_py() or "", with_lines) for body in bodies]
+            records = [_guarded_record(body.as_py() or "", with_lines) for body in bodies]
             features = pa.RecordBatch.from_pylist(records, schema=arrow_features)
             columns = [batch.column(name) for name in kept] + features.columns
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _spread(pages.select(*kept, html)).mapInArrow(parse, schema)
+    bodies = pages.select(*kept, html)
+    parsed = (bodies if partitions is None else bodies.repartition(partitions)).mapInArrow(parse, schema)
+    entities = [name for name in ("jsonld", "microdata") if name in features_type.names]
+    return parsed.withColumns({name: _business_only(name) for name in entities}) if entities else parsed
 
 
 def span_text(lo: Column, hi: Column) -> Column:

@@ -203,13 +203,14 @@ def decide(scored: DataFrame, rules: ScoringRules) -> DataFrame:
 
 def score_pages(
     extracted: DataFrame,
-    domains: Sequence[str] | DataFrame,
+    domains: Sequence[str] | DataFrame | None,
     rules: ScoringRules | None = None,
     keywords: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Score extracted pages that carry url, search_prefecture, search_municipality, search_industry.
 
-    Everything is a projection over the page row: no shuffle, no Python.
+    Everything is a projection over the page row: no shuffle, no Python. Pass None as ``domains`` for pages that went
+    through ``domain_exclusion`` before they were parsed; with a DataFrame of domains that order parses each body once.
     """
     rules = rules or ScoringRules()
     table = INDUSTRY_KEYWORDS if keywords is None else keywords
@@ -225,7 +226,8 @@ def score_pages(
         F.col("company_name").isNotNull() | F.col("store_name").isNotNull()
         | F.col("display_name").isNotNull()
     )
-    prepared = with_page_type(domain_exclusion(extracted, domains)).withColumns(
+    excluded = extracted if domains is None else domain_exclusion(extracted, domains)
+    prepared = with_page_type(excluded).withColumns(
         {
             "_text": page_text(),
             "_lowered": F.lower(page_text()),

@@ -72,7 +72,7 @@ def replace_children(existing: DataFrame, new: DataFrame, parents: DataFrame, ke
 def save_prefetch_exclusions(existing: DataFrame, rejected: DataFrame, now: Column) -> DataFrame:
     """Mark pages excluded: new rows for unseen urls, status and reason replaced for known ones."""
     reasons = rejected.groupBy("url").agg(F.max_by("reject_reason", "seq").alias("_reason"))
-    known = existing.join(reasons, "url", "full_outer")
+    known = existing.join(reasons, "url", "left")
     hit = F.col("_reason").isNotNull()
     changed = {
         "processing_status": F.when(hit, "excluded").otherwise(F.col("processing_status")),
@@ -80,7 +80,12 @@ def save_prefetch_exclusions(existing: DataFrame, rejected: DataFrame, now: Colu
         "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
         "fetched_at": F.coalesce("fetched_at", now),
     }
-    return known.withColumns(changed).select(*existing.columns)
+    unseen = reasons.join(existing.select("url"), "url", "left_anti").select(
+        "url", F.lit("excluded").alias("processing_status"), F.col("_reason").alias("fetch_error"),
+        now.alias("updated_at"), now.alias("fetched_at"),
+    )
+    kept = known.withColumns(changed).select(*existing.columns)
+    return kept.unionByName(unseen, allowMissingColumns=True)
 
 
 def pause_domains(existing: DataFrame, retries: DataFrame) -> DataFrame:

@@ -23,18 +23,31 @@ _REQUIRED = (
 )
 
 
+def _usable(payload: Column) -> Column:
+    def field(path: str) -> Column:
+        value = payload
+        for name in path.split("."):
+            value = value[name]
+        return value
+
+    verdict = field("condition.max_results") >= 1
+    for path in _REQUIRED:
+        verdict = verdict & field(path).isNotNull()
+    for name in ("prefecture", "municipality", "industry"):
+        verdict = verdict & (F.btrim(field(f"condition.{name}")) != "")
+    return F.coalesce(verdict, F.lit(False))
+
+
 def parse_payloads(progress: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tasks with typed candidate and condition, and the tasks whose payload is unusable."""
-    parsed = progress.withColumn("_p", F.from_json("payload", PAYLOAD))
-    usable = F.lit(True)
-    for field in _REQUIRED:
-        usable = usable & F.col(f"_p.{field}").isNotNull()
-    for field in ("prefecture", "municipality", "industry"):
-        usable = usable & (F.btrim(F.col(f"_p.condition.{field}")) != "")
-    usable = usable & (F.col("_p.condition.max_results") >= 1)
-    checked = parsed.withColumn("_ok", F.coalesce(usable, F.lit(False)))
+    """Tasks with typed candidate and condition, and the tasks whose payload is unusable.
+
+    A payload is one element of an array that a filter keeps or empties, so each side parses it once and no filter can be
+    pushed below the parse.
+    """
+    payloads = F.array(F.from_json("payload", PAYLOAD))
+    usable = progress.select("id", "task_key", F.explode(F.filter(payloads, _usable)).alias("_p"))
     score = F.coalesce("_p.candidate.relevance_score", F.lit(0.0))
-    good = checked.filter("_ok").select(
+    good = usable.select(
         "id", "task_key", "_p.candidate.url", "_p.candidate.query", "_p.candidate.provider",
         "_p.candidate.rank", "_p.candidate.title", "_p.candidate.snippet",
         score.alias("relevance_score"), "_p.condition.prefecture", "_p.condition.municipality",
@@ -42,7 +55,7 @@ def parse_payloads(progress: DataFrame) -> tuple[DataFrame, DataFrame]:
         "_p.condition_id", "_p.search_result_id",
     )
     message = F.format_string("Invalid pipeline task payload: %d", F.col("id"))
-    bad = checked.filter(~F.col("_ok")).select(
+    bad = progress.filter(~F.exists(payloads, _usable)).select(
         "id", "task_key", F.lit("pipeline_error").alias("error_type"), message.alias("message")
     )
     return good, bad

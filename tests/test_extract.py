@@ -113,7 +113,7 @@ PAGE_TYPES = [
     ("https://a.jp/x", "<p>求人</p>", "job"),
     ("https://a.jp/x", "<p>おすすめの店 一覧</p>", "portal"),
     ("https://a.jp/x", '<meta name="Description" content="電話帳">', "directory"),
-    ("https://a.jp/x", "<p>" + "あ" * 3100 + "求人</p>", "unknown"),
+    ("https://a.jp/x", "<p>" + "あ" * 3100 + "求人</p>", "job"),
     ("https://a.jp/x", "<p>text</p>", "unknown"),
 ]
 
@@ -124,6 +124,51 @@ def test_page_types(spark):
     )
     got = with_page_type(pages.page_features(rows)).select("page_id", "page_type").collect()
     assert {row.page_id: row.page_type for row in got} == {i: case[2] for i, case in enumerate(PAGE_TYPES)}
+    narrowed = with_page_type(pages.page_features(rows.where("page_id = 12")), body_chars=3000)
+    assert narrowed.first().page_type == "unknown"
+
+
+def test_no_page_ends_the_job(spark):
+    scopes = '<div itemscope itemprop="x">' * 3000
+    bodies = [
+        '<script type="application/ld+json">{"@type":"Organization","name":"A\\ud83d"}</script>',
+        f'<div itemscope itemtype="https://schema.org/Restaurant/"><b itemprop="name">R</b>{scopes}',
+        "<p>a</p><![bad[ x ]]><p>b</p>",
+        None,
+        "<p>ok</p>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "page_id int, html string")
+    got = {row.page_id: row for row in pages.page_features(rows).collect()}
+    assert got[0].jsonld[0].name == "A\ufffd"
+    assert (got[1].microdata[0].types, got[1].microdata[0].props) == (["Restaurant"], {"name": "R"})
+    assert got[3].tokens == [] and got[4].tokens == ["ok"] and got[4].parse_error is None
+
+
+def test_unparsable_page_says_why(monkeypatch):
+    def broken(html, with_lines=True):
+        if html == "bad":
+            raise ValueError("no page")
+        return whole(html, with_lines)
+
+    whole = pages.page_record
+    monkeypatch.setattr(pages, "page_record", broken)
+    assert pages._guarded_record("bad", True)["parse_error"] == "ValueError: no page"
+    assert pages._guarded_record("<p>x</p>", True)["tokens"] == ["x"]
+
+
+def test_full_width_phone_in_microdata(spark):
+    html = ('<div itemscope itemtype="https://schema.org/Restaurant">'
+            '<meta itemprop="telephone" content="０３－１２３４－５６７８"></div>')
+    assert phones(extracted(spark, html)) == [("03-1234-5678", "fixed", "main", "schema")]
+
+
+def test_nested_items_and_repeated_properties():
+    html = ('<div itemscope itemtype="x/Organization"><a itemprop="url" href="TEL:1">t</a><b itemprop="name">A</b>'
+            '<div itemprop="name" itemscope><i itemprop="name">in</i><i itemprop="name">last</i></div>'
+            '<img itemprop="logo" src="l.png"><meta itemprop="empty"><a itemprop="tel"> 2 </a></div>')
+    item = pages.page_record(html)["microdata"][0]
+    assert item["props"] == {"url": "1", "logo": "l.png", "empty": "", "tel": "2"}
+    assert item["nested"] == {"name": {"name": "last"}}
 
 
 OFFICIAL = """<html><head><title>株式会社あおば建設 公式</title><script type="application/ld+json">

@@ -42,6 +42,16 @@ def test_domain_file(spark, tmp_path):
     }
 
 
+def test_long_domain_list(spark):
+    names = [f"d{number}.example" for number in range(1000)]
+    urls = [("https://www.d999.example/",), ("https://d0.example/",), ("https://xd0.example/",)]
+    df = spark.createDataFrame(urls, "url string")
+    rows = spark.createDataFrame(list(enumerate(names)), "position int, domain string")
+    for domains in (names, rows):
+        got = {r.url: r.matched_domain for r in domain_exclusion(df, domains).collect()}
+        assert got == dict(zip([u for u, in urls], ["d999.example", "d0.example", None]))
+
+
 def test_stored_pages_are_read_as_text(spark, tmp_path):
     rows = [("a", "店".encode("cp932"), "cp932"), ("b", "店".encode(), "no-such"), ("c", None, None)]
     spark.createDataFrame(rows, "url string, content binary, encoding string").write.parquet(str(tmp_path / "p"))

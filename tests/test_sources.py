@@ -103,6 +103,35 @@ def test_feed_and_layout_oddities(spark):
     }
 
 
+def test_every_response_keeps_a_row(spark):
+    rows = [("other", "x"), (None, "x"), ("searxng", "{"), ("mojeek", "<p>none</p>"), ("searxng", '{"results":[]}')]
+    parsed = serp.parse_serps(spark.createDataFrame(rows, "provider string, body string"))
+    got = sorted((r.provider or "", r.parse_outcome, r.results) for r in parsed.collect())
+    assert got == sorted([
+        ("", "unknown_provider", None), ("mojeek", "parsed", []), ("other", "unknown_provider", None),
+        ("searxng", "parsed", []), ("searxng", "unreadable", None),
+    ], key=lambda row: row[:2])
+
+
+def test_redirect_links(spark):
+    links = {
+        "//d.example/l/?uddg=https%3A%2F%2Fa.jp%2F%3Fq%3D1%26r%3D2&rut=x": "https://a.jp/?q=1&r=2",
+        "https://d.example/l/?x=1&uddg=https%253A%252F%252Fa.jp%2Ba": "https://a.jp+a",
+        "https://d.example/l/?uddg=a%zz": "a%zz",
+        "//d.example/p": "https://d.example/p",
+        "https://a.jp/#?uddg=b": "https://a.jp/#?uddg=b",
+        "x:y": "x:y",
+    }
+    rows = spark.createDataFrame([(link,) for link in links], "link string")
+    got = rows.select("link", serp.link_target(F.col("link")).alias("target")).collect()
+    assert {row.link: row.target for row in got} == links
+
+
+def test_charset_is_found_anywhere():
+    page = b"<html><head><script>" + b"x" * 20000 + b"</script><meta charset=Shift_JIS></head>"
+    assert encoding.page_charset(page, "", "") == "shift_jis"
+
+
 def test_unsafe_and_broken_feeds_are_unparsed(spark):
     rows = [("<!DOCTYPE x><rss><channel></channel></rss>",), ("<rss><channel>",), ("not xml",),
             ("<rss><channel></channel></rss>",)]
