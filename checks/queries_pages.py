@@ -71,30 +71,54 @@ def _links(spark, sf):
     )
 
 
+# Links of the page itself, then two hosts of other sites and three links without a foreign host in front of it.
+_LINKED = """'<a href="https://www.' || page_id % 50 || '.example/a">x</a><a href="//CDN' || page_id % 7 || '.example/y">y</a>'
+  || '<a href="//cdn' || page_id % 7 || '.example/z">z</a><a href="' || url || '">own</a><a href="mailto:a@b.example">m</a>' || html"""
+
+
 @check(
     "external_link_hosts",
-    """WITH l AS (SELECT p.page_id, p.url, unnest([o.url, upper(o.url), p.url, '/x', '//cdn.example/y',
-    'mailto:a@b.example']) AS link FROM pages p JOIN pages o ON o.page_id = p.page_id % 40),
+    f"""WITH p AS (SELECT page_id, url, {_LINKED} AS html FROM pages),
+l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS link FROM p),
 h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS own,
     lower(regexp_extract(link, '^(?:[A-Za-z]+:)?//([^/?#]+)', 1)) AS host FROM l)
 SELECT page_id, count(DISTINCT CASE WHEN host <> '' AND host <> own THEN host END) AS external_hosts
 FROM h GROUP BY page_id""",
 )
 def _external(spark, sf):
-    source = table(spark, sf, "pages").select("page_id", "url")
-    other = source.select(F.col("page_id").alias("other_id"), F.col("url").alias("other"))
-    joined = source.join(other, F.expr("other_id = page_id % 40")).select(
-        "page_id", "url",
-        F.array(
-            "other", F.upper("other"), "url", F.lit("/x"), F.lit("//cdn.example/y"),
-            F.lit("mailto:a@b.example"),
-        ).alias("links"),
-    )
-    return joined.select(
+    source = table(spark, sf, "pages").selectExpr("page_id", "url", f"{_LINKED} AS html")
+    return pages.page_features(source, wanted=("links",)).select(
         "page_id", F.size(pages.external_hosts(hostname(F.col("url")))).alias("external_hosts")
     )
 
 
+# A quarter of the pages each begins with half a surrogate pair, with 2,000 nested items, with a declaration that the
+# parser refuses, and without a fault.
+_FAULTY = """CASE page_id % 4
+WHEN 0 THEN '<script type="application/ld+json">{"@type":"Organization","name":"N' || page_id || '~ud83d"}</script>'
+WHEN 1 THEN '<div itemscope itemtype="https://schema.org/Restaurant"><b itemprop="name">R' || page_id || '</b>'
+  || repeat('<div itemscope itemprop="x">', 2000) WHEN 2 THEN '<a href="/before">x</a><![bad[ x ]]>' ELSE '' END"""
+
+
+@check(
+    "faulty_pages",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'N' || page_id || chr(65533) END AS linked_name,
+  CASE page_id % 4 WHEN 1 THEN 'R' || page_id END AS item_name,
+  CASE page_id % 4 WHEN 2 THEN 1 ELSE len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) END AS links,
+  page_id % 4 = 2 AS refused FROM pages""",
+)
+def _faulty(spark, sf):
+    faulty = F.concat(F.translate(F.expr(_FAULTY), "~", "\\"), F.col("html"))
+    source = table(spark, sf, "pages").select("page_id", faulty.alias("html"))
+    return pages.page_features(source).select(
+        "page_id",
+        F.get(F.col("jsonld")["name"], F.lit(0)).alias("linked_name"),
+        F.get(F.transform("microdata", lambda item: item["props"]["name"]), F.lit(0)).alias("item_name"),
+        F.size("links").alias("links"),
+        F.col("parse_error").isNotNull().alias("refused"),
+    )
+
+
 # Company pages written from customer rows: six layouts, one per source of the extraction rules.
 _N = "CAST(c_custkey AS STRING)"
 _P4 = "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"

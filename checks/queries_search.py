@@ -373,3 +373,15 @@ def _text(spark, sf):
         text.bounded_score(F.col("c_acctbal") / 100).alias("score"),
         text.count_literal(name, "00").alias("zeros"),
     )
+
+
+@check(
+    "excluded_domains_by_thousands",
+    """WITH u AS (SELECT c_custkey, 'www.d' || c_custkey || '.example' AS host FROM customer)
+SELECT c_custkey, p_partkey IS NOT NULL AS domain_excluded, 'd' || p_partkey || '.example' AS matched_domain
+FROM u LEFT JOIN part ON p_partkey = c_custkey""",
+)
+def _long_list(spark, sf):
+    urls = table(spark, sf, "customer").selectExpr("c_custkey", "'https://www.d' || c_custkey || '.example/' AS url")
+    listed = table(spark, sf, "part").selectExpr("'d' || p_partkey || '.example' AS domain", "p_partkey AS position")
+    return domain_exclusion(urls, listed).select("c_custkey", "domain_excluded", "matched_domain")

@@ -10,6 +10,7 @@ from checks.registry import check
 from checks.sql_text import ENTITY
 from firmlens.operators import export, report, review, status
 from firmlens.plans.export import Store, export_snapshot
+from firmlens.session import cut_lineage
 
 _TABLES = "b_conditions b_found b_queries b_results b_pages b_companies b_addresses b_phones b_scoring b_errors b_progress"
 _FLAGS = ("is_official", "is_business_target", "review_required")
@@ -446,7 +447,7 @@ UNION ALL SELECT 'Provider ' || provider || ' ' || unnest(['実行回数', '成
 )
 def _live_summary(spark, sf):
     tables = store(spark, sf)
-    annotated, _ = export_snapshot(tables)
+    annotated = cut_lineage(export_snapshot(tables)[0])
     moment = "yyyy-MM-dd'T'HH:mm:ss"
     runs = table(spark, sf, "events").agg(
         F.lit("live-check").alias("command"),

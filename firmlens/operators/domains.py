@@ -47,10 +47,6 @@ def first_listed(host: Column, domains: Sequence[str]) -> Column:
     return F.get(F.array_intersect(names, host_suffixes(host)), F.lit(0))
 
 
-def host_in_list(host: Column, domains: Sequence[str]) -> Column:
-    return F.coalesce(first_listed(host, domains).isNotNull(), F.lit(False))
-
-
 def domain_category(domain: Column) -> Column:
     """Category of an excluded domain: the first hint that occurs in it."""
     category = None
@@ -60,6 +56,20 @@ def domain_category(domain: Column) -> Column:
     return category.otherwise(OTHER_CATEGORY)
 
 
+def with_first_listed(df: DataFrame, host: str, domains: Sequence[str] | DataFrame, name: str) -> DataFrame:
+    """Add the first listed domain that is the host or above it; a DataFrame has ``domain`` and ``position``."""
+    if not isinstance(domains, DataFrame):
+        return df.withColumn(name, first_listed(F.col(host), domains))
+    hosts = df.select(host).filter(F.col(host) != "").distinct()
+    listed = (
+        hosts.select(host, F.explode(host_suffixes(F.col(host))).alias("domain"))
+        .join(domains.select("domain", "position"), "domain")
+        .groupBy(host)
+        .agg(F.min_by("domain", "position").alias(name))
+    )
+    return df.join(listed, host, "left").select(*df.columns, name)
+
+
 def _describe(df: DataFrame, configured: Column) -> DataFrame:
     """Turn the configured match (NULL when none) of ``host`` into the decision columns."""
     suffix = F.expr("CAST(NULL AS STRING)")
@@ -98,14 +108,5 @@ def domain_exclusion(df: DataFrame, domains: Sequence[str] | DataFrame, url: str
     read twice then.
     """
     hosted = df.withColumn("host", F.rtrim(hostname(F.col(url)), F.lit(".")))
-    if not isinstance(domains, DataFrame):
-        return _describe(hosted, first_listed(F.col("host"), domains))
-    hosts = hosted.select("host").filter(F.col("host") != "").distinct()
-    listed_hosts = (
-        hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain"))
-        .join(domains.select("domain", "position"), "domain")
-        .groupBy("host")
-        .agg(F.min_by("domain", "position").alias("_configured"))
-    )
-    joined = hosted.join(listed_hosts, "host", "left").select(*hosted.columns, "_configured")
+    joined = with_first_listed(hosted, "host", domains, "_configured")
     return _describe(joined, F.col("_configured")).drop("_configured")

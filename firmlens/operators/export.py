@@ -272,11 +272,11 @@ def deduplicate(base: DataFrame) -> DataFrame:
     """Annotate export rows with duplicate_candidate, all_search_conditions and is_sales_row.
 
     Rows of one URL key form an entity represented by the smallest id. Representatives with the same
-    name and address merge into the first one; the same name and phone is only flagged. The entity table
-    is written to the checkpoint folder once because five steps read it; all groups are judged by plain
+    name and address merge into the first one; the same name and phone is only flagged. The rows and the entity table
+    are written to the checkpoint folder once because several steps read them; all groups are judged by plain
     aggregates joined back, never by a window over a group.
     """
-    rows = base.withColumns(
+    keyed = base.withColumns(
         {
             "_url_key": export_url_key(F.col("official_url")),
             "_history": search_history(
@@ -285,6 +285,7 @@ def deduplicate(base: DataFrame) -> DataFrame:
             ),
         }
     )
+    rows = cut_lineage(keyed)
     entities = cut_lineage(_entities(rows))
     place, contact = ["name", "address"], ["name", "phone"]
     located = entities.filter((F.col("name") != "") & (F.col("address") != ""))
@@ -369,8 +370,5 @@ def csv_rows(rows: DataFrame) -> DataFrame:
 
 
 def sheet_rows(rows: DataFrame) -> DataFrame:
-    """Display cells cut to the length a spreadsheet cell can hold."""
-    kinds = dict(rows.dtypes)
-    return rows.select(
-        *[csv_cell(F.col(name), kinds[name]).alias(header) for name, header in HEADERS.items()]
-    )
+    """Display cells of a named dataset: the same whole cells as in a CSV file."""
+    return csv_rows(rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions.text import contains_any
 from firmlens.functions.urls import hostname
-from firmlens.operators.domains import host_in_list
+from firmlens.operators.domains import with_first_listed
 
 # Host fragments and text signals of non-business results, in the order they are tested.
 PUBLIC_HOST_FRAGMENTS = ("wikipedia.org", ".go.jp")
@@ -43,9 +43,12 @@ def industry_terms(industry: Column, synonyms: Mapping[str, Sequence[str]]) -> C
 
 
 def prefetch_relevance(
-    results: DataFrame, synonyms: Mapping[str, Sequence[str]], excluded_domains: Sequence[str]
+    results: DataFrame, synonyms: Mapping[str, Sequence[str]], excluded_domains: Sequence[str] | DataFrame
 ) -> DataFrame:
-    """Add ``accepted`` and the ``reject_reason`` of a result; needs url, title, snippet, industry."""
+    """Add ``accepted`` and the ``reject_reason`` of a result; needs url, title, snippet, industry.
+
+    Excluded domains are a list or a DataFrame of ``domain`` and ``position``, either of any length.
+    """
     blank = F.lit("")
     text = F.lower(
         F.concat(
@@ -60,8 +63,13 @@ def prefetch_relevance(
             "_terms": industry_terms(F.col("industry"), synonyms),
         }
     )
-    listed = [domain.lower().lstrip(".") for domain in excluded_domains]
-    reason = F.when(host_in_list(F.col("_host"), listed), "prefetch_excluded_domain").when(
+    if isinstance(excluded_domains, DataFrame):
+        bare = F.ltrim(F.lower("domain"), F.lit("."))
+        listed = excluded_domains.select(bare.alias("domain"), "position")
+    else:
+        listed = [domain.lower().lstrip(".") for domain in excluded_domains]
+    prepared = with_first_listed(prepared, "_host", listed, "_excluded")
+    reason = F.when(F.col("_excluded").isNotNull(), "prefetch_excluded_domain").when(
         contains_any(F.col("_host"), PUBLIC_HOST_FRAGMENTS), "prefetch_public_or_wikipedia"
     )
     for category, signals in TEXT_SIGNALS.items():

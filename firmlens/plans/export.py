@@ -16,6 +16,7 @@ from firmlens.operators.report import (
     search_rows,
 )
 from firmlens.operators.review import review_accuracy, reviewed_scores
+from firmlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,8 @@ def live_sheets(
     run_id: str = "",
     provider_run_id: str = "",
 ) -> dict[str, DataFrame]:
-    """The eight named report partitions."""
+    """The eight named report partitions, all from one written snapshot."""
+    annotated, orphans = cut_lineage(annotated), cut_lineage(orphans)
     accuracy = review_accuracy(reviewed_scores(reviews, store.pages, store.scoring))
     frames = (
         candidate_rows(category_rows(annotated, orphans, "business_targets")),

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.functions.text import jp_boolean, keyword_list, positive_int
-from firmlens.sources.encoding import decode_file
+from firmlens.functions.text import jp_boolean, keyword_list, positive_int, py_strip
+from firmlens.sources.encoding import DECODED, decode_file
 
 # Column headers and messages of a condition file.
 PREFECTURE, MUNICIPALITY, INDUSTRY = "都道府県", "市区町村", "検索業種"
@@ -30,41 +27,78 @@ EMPTY_FIELDS = {
 }
 SHOWN_ISSUES = 20
 
-PARSED_FILE = (
-    "struct<encoding:string,columns:array<string>,"
-    "records:array<struct<row_number:int,cells:map<string,string>>>>"
-)
+# One field and one record of a CSV text. Quotes count at the start of a field only, and hold line ends.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"?[^,\r\n]*+|[^",\r\n][^,\r\n]*+)?'
+_RECORD = rf"{_FIELD}(?:,{_FIELD})*+"
+_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
+
+
+class FileIssues(ValueError):
+    """A strict read met issues: the message has their count and the first ones, ``issues`` is the whole table."""
+
+    def __init__(self, issues: DataFrame, label: str = "row %d: %s") -> None:
+        self.issues = issues
+        first = issues.orderBy("path", "row_number").limit(SHOWN_ISSUES).collect()
+        shown = "; ".join(label % (row.row_number, row.message) for row in first)
+        super().__init__(f"{shown} ({issues.count()} issues)")
 
 
-class ConditionFileError(ValueError):
-    """A strict read met at least one issue."""
+class ConditionFileError(FileIssues):
+    """A strict read of condition files met at least one issue."""
 
 
-def _parse(content: bytes) -> dict:
-    text, encoding = decode_file(content)
-    if text is None:
-        return {"encoding": None, "columns": None, "records": None}
-    reader = csv.DictReader(io.StringIO(text, newline=""))
-    columns = [(name or "").strip() for name in reader.fieldnames or ()]
-    records = []
-    for number, raw in enumerate(reader, 2):
-        cells = {
-            key.strip(): (value or "").strip() for key, value in raw.items() if key is not None
-        }
-        if any(cells.values()):
-            records.append({"row_number": number, "cells": cells})
-    return {"encoding": encoding, "columns": columns, "records": records}
+def _fields(record: Column) -> Column:
+    """Unquoted fields of one record."""
+    given = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_FIELD})"), F.lit(1))
+    return F.transform(given, lambda field: F.when(field.startswith('"'), _unquoted(field)).otherwise(field))
+
+
+def _unquoted(field: Column) -> Column:
+    inside = F.replace(F.regexp_extract(field, _QUOTED, 1), F.lit('""'), F.lit('"'))
+    return F.concat(inside, F.regexp_extract(field, _QUOTED, 2))
 
 
 def parse_files(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add the parsed file struct to a table of raw CSV files."""
+    """Add ``file`` to a table of raw CSV files: encoding, trimmed column names and the texts of the records.
+
+    Only the decoding leaves the JVM. Blank lines are no records. A file in no known encoding has NULL throughout.
+    """
+
+    @F.pandas_udf(DECODED)
+    def decode(bodies: pd.Series) -> pd.DataFrame:
+        texts = [decode_file(bytes(body)) for body in bodies]
+        return pd.DataFrame([(name, text) for text, name in texts], columns=["encoding", "text"])
+
+    text = F.col("_decoded.text")
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda record: record != "")
+    names = F.transform(_fields(F.regexp_extract(text, "^" + _RECORD, 0)), py_strip)
+    decoded = files.withColumn("_decoded", decode(F.col(content)))
+    file = F.struct(
+        F.when(text.isNotNull(), F.col("_decoded.encoding")).alias("encoding"),
+        names.alias("columns"),
+        records.alias("records"),
+    )
+    return decoded.withColumn("file", file).drop("_decoded")
+
 
-    @F.pandas_udf(PARSED_FILE)
-    def parse(bodies: pd.Series) -> pd.DataFrame:
-        rows = [_parse(bytes(body)) for body in bodies]
-        return pd.DataFrame(rows, columns=["encoding", "columns", "records"])
+def file_rows(parsed: DataFrame, key: str) -> DataFrame:
+    """Records below the header as ``row_number`` (the header is 1) and ``cells`` by column name.
 
-    return files.withColumn("file", parse(F.col(content)))
+    Cells are trimmed, missing ones empty; the last column of a name wins; records without any text are left out.
+    """
+    names = F.array_distinct("_names")
+    slots = F.transform(names, lambda name: F.size("_names") - F.array_position(F.reverse("_names"), name))
+    rows = parsed.select(
+        key, F.col("file.encoding").alias("encoding"), F.col("file.columns").alias("_names"),
+        F.posexplode("file.records").alias("_at", "_record"),
+    )
+    rows = rows.filter("_at > 0").withColumn("_fields", _fields(F.col("_record")))
+    cells = F.transform(
+        slots, lambda at: py_strip(F.coalesce(F.get(F.col("_fields"), at.cast("int")), F.lit("")))
+    )
+    celled = rows.select(key, "encoding", (F.col("_at") + 1).alias("row_number"), names.alias("_keys"), cells.alias("_cells"))
+    filled = celled.filter(F.exists("_cells", lambda cell: cell != ""))
+    return filled.select(key, "encoding", "row_number", F.map_from_arrays("_keys", "_cells").alias("cells"))
 
 
 def _cell(name: str) -> Column:
@@ -103,7 +137,7 @@ def split_conditions(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, D
     encoding = F.col("file.encoding")
     missing = F.array_except(F.array(*[F.lit(name) for name in REQUIRED]), F.col("file.columns"))
     checked = parsed.select(
-        key, encoding.alias("encoding"), F.col("file.records").alias("records"),
+        "*",
         F.when(encoding.isNull(), F.struct(F.lit(0).alias("row_number"), F.lit(BAD_ENCODING).alias("message")))
         .when(
             F.size(missing) > 0,
@@ -116,9 +150,7 @@ def split_conditions(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, D
     )
     broken = checked.filter(F.col("file_issue").isNotNull()).select(key, "file_issue.*")
     rows = (
-        checked.filter(F.col("file_issue").isNull())
-        .select(key, "encoding", F.explode("records").alias("record"))
-        .select(key, "encoding", "record.row_number", "record.cells")
+        file_rows(checked.filter(F.col("file_issue").isNull()), key)
         .withColumn("message", _row_message())
     )
     fields = {
@@ -154,10 +186,8 @@ def read_conditions(
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     valid, issues = split_conditions(parse_files(files))
     if strict:
-        shown = issues.orderBy("path", "row_number").limit(SHOWN_ISSUES).collect()
-        if shown:
-            text = "; ".join(f"row {row.row_number}: {row.message}" for row in shown)
-            raise ConditionFileError(text)
+        if not issues.isEmpty():
+            raise ConditionFileError(issues)
     return valid, issues
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firmlens.functions.urls import is_web_url
 from firmlens.operators.report import REVIEW_HEADERS
 from firmlens.operators.review import JUDGMENTS
-from firmlens.sources.conditions import SHOWN_ISSUES, parse_files
+from firmlens.sources.conditions import FileIssues, file_rows, parse_files
 
 JUDGMENT_COLUMNS = (
     "company_name_judgment", "store_name_judgment", "phone_judgment", "address_judgment",
@@ -18,7 +18,7 @@ JUDGMENT_COLUMNS = (
 URL_HEADER, NOTE_HEADER = REVIEW_HEADERS[0], REVIEW_HEADERS[-1]
 
 
-class ReviewFileError(ValueError):
+class ReviewFileError(FileIssues):
     """A review file cannot be imported."""
 
 
@@ -37,9 +37,7 @@ def check_reviews(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, Data
     )
     values = F.array(*[_cell(name) for name in REVIEW_HEADERS[1:9]])
     rows = (
-        checked.filter(F.size("_missing") == 0)
-        .select(key, F.explode("file.records").alias("record"))
-        .select(key, "record.row_number", "record.cells")
+        file_rows(checked.filter(F.size("_missing") == 0), key)
         .withColumns({"url": _cell(URL_HEADER), "note": _cell(NOTE_HEADER), "_values": values})
     )
     unknown = F.filter("_values", lambda value: ~value.isin(*JUDGMENTS))
@@ -61,7 +59,6 @@ def read_reviews(spark: SparkSession, path: str, reviewer: str | None = None) ->
     """Reviews of a CSV file; any bad row refuses the file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     good, issues = check_reviews(parse_files(files))
-    shown = issues.orderBy("path", "row_number").limit(SHOWN_ISSUES).collect()
-    if shown:
-        raise ReviewFileError("; ".join(row.message for row in shown))
+    if not issues.isEmpty():
+        raise ReviewFileError(issues, "%.0s%s")
     return good.withColumn("reviewer", F.lit(reviewer))

@@ -37,7 +37,9 @@ def read_batches(
     """
     try:
         rows = spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{schema}, {BATCH} BIGINT")
     return rows if before is None else rows.filter(F.col(BATCH) < before)
 

@@ -141,6 +141,7 @@ def test_no_page_ends_the_job(spark):
     got = {row.page_id: row for row in pages.page_features(rows).collect()}
     assert got[0].jsonld[0].name == "A\ufffd"
     assert (got[1].microdata[0].types, got[1].microdata[0].props) == (["Restaurant"], {"name": "R"})
+    assert got[2].tokens == ["a"] and got[2].parse_error.startswith("AssertionError")
     assert got[3].tokens == [] and got[4].tokens == ["ok"] and got[4].parse_error is None
 
 
