@@ -31,7 +31,8 @@ CENTROIDS_MOST = 8192
 #: Rows of a block of a list, and queries that meet it at once.
 BLOCK = 4096
 QUERY_BLOCK = 512
-#: Neighbours per centroid in the graph, and centroids kept during the walk of a vector and of a query.
+#: Neighbours per centroid in the graph, and centroids kept during the walk of a vector and of a query; a query that needs
+#: more is measured against all centroids.
 EDGES = 16
 BEAM, QUERY_BEAM = 64, 1024
 #: A vector is copied to centroids within this ratio of its nearest, at most so many.
@@ -179,16 +180,29 @@ class _Post:
                 vectors = _matrix(part.column(1), points.shape[1])
                 if self._ratio is None:
                     near, _, chosen = copies(self._graph, vectors)
+                    rows, slots = np.nonzero(chosen)
+                    lists = near[rows, slots]
                 else:
-                    near, apart = self._graph.near(vectors, QUERY_BEAM, self._ratio)
-                    chosen = (near >= 0) & ((apart <= self._ratio * apart[:, :1]) | (np.arange(near.shape[1])[None] < LEAST))
-                rows, slots = np.nonzero(chosen)
+                    rows, lists = lists_to_read(self._graph, vectors, self._ratio)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(near[rows, slots]), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))],
+                    [pa.array(lists), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))],
                     names=["list", "id", "vector"],
                 )
 
 
+def lists_to_read(graph: Graph, vectors: np.ndarray, ratio: float, beam: int = QUERY_BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of a query, list) of all lists within the ratio. A query whose walk keeps ``beam`` centroids and
+    is still within the ratio at the last one is measured against every centroid instead, so none is cut off."""
+    near, apart = graph.near(vectors, beam, ratio)
+    chosen = (near >= 0) & ((apart <= ratio * apart[:, :1]) | (np.arange(near.shape[1])[None] < LEAST))
+    wide = np.flatnonzero(chosen[:, -1]) if near.shape[1] < len(graph.points) else np.empty(0, dtype=np.int64)
+    chosen[wide] = False
+    rows, slots = np.nonzero(chosen)
+    far = _squares(vectors[wide], graph.points)
+    more, lists = np.nonzero(far <= ratio * ratio * far.min(1, keepdims=True)) if len(wide) else (wide, wide)
+    return np.append(rows, wide[more]), np.append(near[rows, slots], lists)
+
+
 def copies(graph: Graph, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Near centroids, their distances, and which of them keep a copy: the nearest, and others within the border that
     are nearer to the vector than to any chosen one."""

@@ -12,7 +12,7 @@ from firmlens.llm import line_quality as quality
 from firmlens.llm.chat_template import CONTROL, Template, TemplateError, escape, format_conversations, turns_of, unescape
 from firmlens.llm.license_scan import license_scan, notices
 from firmlens.llm.main_text import Page, main_text
-from firmlens.llm.vector_search import Graph, centroids, nearest_neighbours
+from firmlens.llm.vector_search import Graph, centroids, lists_to_read, nearest_neighbours
 
 BODY = "A first sentence of the article that is long enough to count, and more. "
 
@@ -168,6 +168,22 @@ def test_neighbours_edge_cases(spark):
     assert nearest_neighbours(df.limit(0), F.expr("id % 100 = 0")).count() == 0
 
 
+def test_wide_queries_read_every_list_within_the_ratio():
+    rnd = np.random.default_rng(5)
+    points, queries = rnd.normal(size=(600, 24)), rnd.normal(size=(40, 24))
+    graph = Graph.over(points)
+    apart = np.sqrt(((queries[:, None] - points[None]) ** 2).sum(2))
+    within = set(zip(*np.nonzero(apart <= 1.3 * apart.min(1, keepdims=True))))
+    for beam in (64, 1024):
+        got = list(zip(*lists_to_read(graph, queries, 1.3, beam)))
+        assert len(got) == len(set(got))
+        if beam == 64:
+            wide = {q for q in range(40) if (apart[q] <= 1.3 * apart[q].min()).sum() > 64}
+            assert wide and {pair for pair in got if pair[0] in wide} == {pair for pair in within if pair[0] in wide}
+        else:
+            assert len(within & set(got)) >= 0.99 * len(within)
+
+
 def test_graph_walks_reach_the_nearest_centroid():
     rng = np.random.default_rng(1)
     points = centroids(rng.normal(size=(3000, 16)), 300)
