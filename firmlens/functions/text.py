@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Mapping
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every character Python's str.isspace accepts; all of them lie below U+3001.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
-# Full-width ASCII block and its plain counterpart, built from the Unicode offset.
-_WIDE = "".join(chr(code) for code in range(0xFF01, 0xFF5F)) + "\u3000"
-_PLAIN = "".join(chr(code - 0xFEE0) for code in range(0xFF01, 0xFF5F)) + " "
-
 # Accepted spellings of true and false in condition files.
 TRUE_WORDS = ("true", "1", "yes", "y", "はい", "有効", "対象", "含める")
 FALSE_WORDS = ("false", "0", "no", "n", "いいえ", "無効", "対象外", "含めない")
@@ -38,14 +36,35 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(py_strip(text), F.lit(""))
 
 
-def half_width(text: Column) -> Column:
-    """Fold full-width ASCII and the ideographic space, as NFKC does for those characters."""
-    return F.translate(text, _WIDE, _PLAIN)
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that NFKC makes a sign, digit or letter of the accepted spellings, what they become, and numbers in one
+    character of several digits; other scripts' digits count as digits."""
+    wanted = set("+-_").union(*TRUE_WORDS, *FALSE_WORDS)
+    wanted |= {letter.upper() for letter in wanted}
+    single, numbers = {}, {}
+    for char in map(chr, range(0x80, 0x30000)):
+        plain = unicodedata.normalize("NFKC", char)
+        if plain.isdecimal():
+            plain = "".join(str(unicodedata.decimal(digit)) for digit in plain)
+            (single if len(plain) == 1 else numbers)[char] = plain
+        elif plain != char and plain in wanted:
+            single[char] = plain
+    return "".join(single), "".join(single.values()), numbers
+
+
+def folded_word(text: Column) -> Column:
+    """Fold the text of a number or switch as NFKC does."""
+    source, target, numbers = _folds()
+    folded = F.translate(text, source, target)
+    for char, plain in numbers.items():
+        folded = F.replace(folded, F.lit(char), F.lit(plain))
+    return folded
 
 
 def positive_int(text: Column) -> Column:
     """Integer of one or more, NULL otherwise; full-width digits are accepted."""
-    value = py_strip(half_width(text))
+    value = py_strip(folded_word(text))
     number = F.when(value.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(value, F.lit("_"), F.lit("")))
     number = number.try_cast("bigint")
     return F.when(number >= 1, number)
@@ -53,7 +72,7 @@ def positive_int(text: Column) -> Column:
 
 def jp_boolean(text: Column) -> Column:
     """True, false, or NULL for an unknown spelling."""
-    value = F.lower(py_strip(half_width(text)))
+    value = F.lower(py_strip(folded_word(text)))
     return F.when(value.isin(*TRUE_WORDS), F.lit(True)).when(
         value.isin(*FALSE_WORDS), F.lit(False)
     )

@@ -1,3 +1,5 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from firmlens.functions import text
@@ -17,6 +19,16 @@ def test_numbers_and_booleans(spark):
     ]
 
 
+def test_numbers_in_any_script(spark):
+    chars = [chr(code) for code in range(1, 0x20000) if not 0xD800 <= code < 0xE000]
+    given = [char for char in chars if unicodedata.normalize("NFKC", char).isdecimal()]
+    rows = spark.createDataFrame([(char,) for char in given], "n string")
+    got = {row.n: row.v for row in rows.select("n", text.positive_int(F.col("n")).alias("v")).collect()}
+    expected = {char: int(unicodedata.normalize("NFKC", char)) for char in given}
+    assert got == {char: value or None for char, value in expected.items()}
+    assert one(spark, text.jp_boolean(F.lit("𝐓ｒⓤⅇ"))) is True
+
+
 def test_json_list(spark):
     rows = spark.createDataFrame(
         [(None,), ("",), ('["a", 1]',), ('"x"',), ("5",), ("broken [",), ("[]",)], "j string"
