@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firmlens.llm.common import components
 from firmlens.llm.ngram_join import jaccard_components, jaccard_pairs
-from firmlens.llm.passages import aligned, chains, common_words, repeated_passages, without_passages
+from firmlens.llm.passages import aligned, alike, chains, common_words, repeated_passages, without_passages
 
 DOCS = "doc_id long, text string, id string, n int, token string, doc long, key int"
 
@@ -122,3 +122,30 @@ def test_chaining_keeps_order_and_alignment_counts():
     a = np.arange(100)
     b = np.concatenate([[500], a[10:40], [777], a[41:60], [501]])
     assert aligned(a, b, [(12, 3, 10)]) == [(10, 60, 1, 51, 49)]
+
+
+def test_copies_are_found_behind_holders_of_fragments(spark):
+    rnd = random.Random(8)
+    words = [f"u{k}" for k in range(4000)]
+    halves = [rnd.choices(words, k=30), rnd.choices(words, k=30)]
+    rows = [(doc, " ".join([*rnd.choices(words, k=20), *halves[doc % 2], *rnd.choices(words, k=20)])) for doc in range(100)]
+    rows += [(doc, " ".join([*rnd.choices(words, k=doc % 7 + 5), *halves[0], *halves[1], *rnd.choices(words, k=9)])) for doc in range(100, 105)]
+    exact = rnd.choices(words, k=50)  # the shortest passage, between holders of its first and its last 45 words
+    rows += [(200 + k, " ".join([*rnd.choices(words, k=12), *exact[5 * (k % 2) : 45 + 5 * (k % 2)], *rnd.choices(words, k=12)])) for k in range(30)]
+    rows += [(300 + k, " ".join([*rnd.choices(words, k=k), *exact, *rnd.choices(words, k=12)])) for k in range(3)]
+    spans = {(r.doc_id, r.source_id): (r.start, r.length, r.matches) for r in repeated_passages(frame(spark, rows)).collect()}
+    assert set(spans) == {(doc, 100) for doc in range(101, 105)} | {(301, 300), (302, 300)}
+    assert all(spans[doc, 100] == (doc % 7 + 5, 60, 60) for doc in range(101, 105))
+    assert spans[301, 300] == (1, 50, 50) and spans[302, 300] == (2, 50, 50)
+
+
+def test_an_equal_run_beside_unlike_words_is_a_passage(spark):
+    import numpy as np
+
+    rnd = random.Random(9)
+    words = [f"u{k}" for k in range(4000)]
+    run, tail = rnd.choices(words, k=55), rnd.choices(words, k=20)
+    rows = [(doc, " ".join([*run, *rnd.choices(words, k=40), *tail])) for doc in range(2)]
+    assert [(r.start, r.length, r.matches) for r in repeated_passages(frame(spark, rows)).collect()] != []
+    same = np.array([True] * 55 + [False] * 40 + [True] * 20)
+    assert alike(same, 50, 0.8) == [(0, 55)] and alike(same, 50, 1.0) == [(0, 55)] and alike(~same, 50, 0.8) == []
