@@ -3,7 +3,11 @@
 Every page is walked once; its containers are scored by the text of their paragraphs, less what is link text, and
 by what their names suggest. The page votes for the generalised tag-class path of its best container. Votes are counted
 per host and path in Spark, so a host with very many pages is a small aggregate; the path with most votes wins.
-Then every page is read again and its best container on the winning path is taken; a page without one uses its own best.
+Then every page is read again and all its containers with text on the winning path are taken, in page order; a page
+without one uses the path of its own best.
+
+A container gives a share of its score to the one above, so the innermost container that holds all parts of a content
+beats the largest part. Lists are no containers of their own, and a table gives what it has to the text around it.
 
 How it scales: two narrow reads of the pages; only (host, path) counts are shuffled, and the winners are one row per
 host, joined by Spark's own choice of size.
@@ -34,6 +38,10 @@ _BLOCK = _LEAF | _DROPPED | frozenset(
     "html body div section article main header ul ol dl table thead tbody tfoot tr address details hr center".split()
 )
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th"}
+_LISTS = frozenset("ul ol dl".split())
+#: Share of a container's score that the one above gets; parts of tables pass on nearly all, so that ties go inwards.
+SHARE = 0.75
+_SHARES = dict.fromkeys("table thead tbody tfoot".split(), 0.99)
 #: Words in a class, id or role that mark what is no article.
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
@@ -126,15 +134,12 @@ class Page:
                 self._link_chars += len(text.strip())
 
     def _flush(self) -> None:
-        """End the current block and give its score to its container and, by half, to the one above."""
+        """End the current block and give its score to its container."""
         if self._text:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                own = max(0.0, len(text) - 2.0 * self._link_chars) * (0.3 if len(text) < 25 else 1.0)
-                self._box.score += own
-                if self._box.parent:
-                    self._box.parent.score += own / 2
+                self._box.score += max(0.0, len(text) - 2.0 * self._link_chars) * (0.3 if len(text) < 25 else 1.0)
                 self.blocks.append(text)
         self._link_chars = 0
 
@@ -166,7 +171,7 @@ class Page:
             dropped = dropped or tag in _BLOCK or tag in ("span", "a")
         if tag == "a":
             self._in_link += 1
-        if tag in _BLOCK and tag not in _LEAF and not dropped and not self._dropped and tag not in ("html", "body"):
+        if tag in _BLOCK and tag not in _LEAF and tag not in _LISTS and not dropped and not self._dropped and tag not in ("html", "body"):
             bonus = {"article": 2.0, "main": 1.5}.get(tag, 1.0) * (1.3 if words & _GOOD else 1.0)
             box = _Box(f"{self._box.path}>{tag}{classes}", bonus, self._box, first=len(self.blocks))
             self.boxes.append(box)
@@ -185,6 +190,7 @@ class Page:
             self._dropped -= 1
         if box is not None:
             box.last = len(self.blocks)
+            box.parent.score += box.score * _SHARES.get(tag, SHARE)
             self._box = box.parent
 
     def _pop_to(self, tag: str) -> None:
@@ -216,7 +222,9 @@ class Page:
         return chosen
 
     def text(self, box: _Box | None) -> str:
-        return "\n\n".join(self.blocks[box.first : box.last]) if box else ""
+        """Blocks of ``box`` and of the other containers with text on its path, in page order."""
+        same = [other for other in self.boxes if other is box or box and other.path == box.path and other.score > 0]
+        return "\n\n".join(block for other in same for block in self.blocks[other.first : other.last])
 
 
 class _Vote:

@@ -39,6 +39,27 @@ def test_hosts_agree_on_their_path(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_no_part_of_the_content_is_left_out(spark):
+    a, b, c = (f"{name} part. " + "Some words of it that are long enough to count. " * n for name, n in (("First", 12), ("Second", 8), ("Third", 1)))
+    lines = "".join(f"<li>list line number {k} with enough words to count</li>" for k in range(30))
+    rows = "".join(f"<tr><td>table cell number {k} with enough words to count</td></tr>" for k in range(30))
+    pages = [
+        f"<div class=c><section>{a}</section><section>{b}</section></div>",
+        f"<article><div><section><p>{a}</p></section><section><p>{b}</p></section></div></article>",
+        f"<div class=c><section>{a}</section><section>{c}</section></div>",
+        f"<div class=c><p>{b}</p><ul>{lines}</ul></div>",
+        f"<div class=c><p>{c}</p><table>{rows}</table><p>{b}</p></div>",
+    ]
+    df = spark.createDataFrame([(10 * k + copy, f"http://h{k}.example/{copy}", page) for k, page in enumerate(pages) for copy in range(3)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[10 * k + copy] == got[10 * k] for k in range(5) for copy in range(3))
+    assert got[0] == got[10] == f"{a.strip()}\n\n{b.strip()}" and got[20] == f"{a.strip()}\n\n{c.strip()}"
+    assert got[30].startswith(b.strip()) and got[30].count("list line") == 30
+    assert got[40].startswith(c.strip()) and got[40].endswith(b.strip()) and got[40].count("table cell") == 30
+    left = Page(f"<table><tr><td><a href=x>{c}</a></td></tr><tr><td>{a}</td></tr></table><div class=menu>{c}</div>")
+    assert left.text(left.best()) == a.strip()
+
+
 def test_licenses_are_found_where_they_are(spark):
     texts = notices()
     mit = texts["MIT"].split()
