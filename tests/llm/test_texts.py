@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from firmlens.llm import line_quality as quality
 from firmlens.llm.chat_template import CONTROL, Template, TemplateError, escape, format_conversations, turns_of, unescape
-from firmlens.llm.license_scan import license_scan, notices
+from firmlens.llm.license_scan import full_texts, license_scan, notices
 from firmlens.llm.main_text import Page, main_text
 from firmlens.llm.vector_search import Graph, centroids, lists_to_read, nearest_neighbours
 
@@ -74,6 +74,29 @@ def test_licenses_are_found_where_they_are(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+def test_usual_notices_full_texts_and_tags_are_found(spark):
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0/name"),
+        ("This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "CC-BY-NC-SA-3.0/name"),
+        (gnu.format("library", ";", "Lesser General Public License", ";", "2.1"), "LGPL-2.1/notice"),
+        (gnu.format("library", ":", "Lesser General Public License", ",", "3"), "LGPL-3.0/notice"),
+        (gnu.format("program", ":", "Affero General Public License", ",", "3"), "AGPL-3.0/notice"),
+        (gnu.format("program", ":", "General Public License", ",", "3"), "GPL-3.0-or-later/notice"),
+        (gnu.format("program", ";", "General Public License", ";", "2"), "GPL-2.0-or-later/notice"),
+        ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0/notice"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */\nint main", "GPL-2.0-only WITH Linux-syscall-note/spdx"),
+        ("# see spdx-license-identifier: MIT.", "MIT/spdx"),
+        ("SPDX is a list of licenses, and this one is no tag", None),
+    ]
+    rows += [(f"some words before\n{text}\nand after", name) for name, text in full_texts().items()]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(rows)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.license_id) for r in license_scan(df).collect())
+    assert got == {(k, name): 1 for k, (_, name) in enumerate(rows) if name}
+    tag = license_scan(df.where("doc_id = 9")).first()
+    assert (tag.start, tag.length) == (1, 4)
+
+
 def counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
