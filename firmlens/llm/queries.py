@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from firmlens.llm import line_quality
 from firmlens.llm.chat_template import format_conversations, turns_of, unescape
+from firmlens.llm.circulant_minhash import near_duplicates
 from firmlens.llm.license_scan import license_scan
 from firmlens.llm.main_text import main_text
 from firmlens.llm.ngram_join import jaccard_components
@@ -147,6 +148,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pack(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
 
 
+@_query("op11_circulant_minhash")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose sets of two-word shingles have a Jaccard similarity of 0.8 or more, as groups."""
+    return near_duplicates(_table(spark, sf, "documents"), size=2, num=80, den=100)
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline

@@ -4,12 +4,16 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from firmlens.llm import line_quality
 from firmlens.llm.common import components
 from firmlens.llm.ngram_join import jaccard_components, jaccard_pairs
 from firmlens.llm.passages import aligned, alike, chains, common_words, repeated_passages, without_passages
+from firmlens.llm.shingles import WordHasher
 
 DOCS = "doc_id long, text string, id string, n int, token string, doc long, key int"
 
@@ -149,3 +153,27 @@ def test_an_equal_run_beside_unlike_words_is_a_passage(spark):
     assert [(r.start, r.length, r.matches) for r in repeated_passages(frame(spark, rows)).collect()] != []
     same = np.array([True] * 55 + [False] * 40 + [True] * 20)
     assert alike(same, 50, 0.8) == [(0, 55)] and alike(same, 50, 1.0) == [(0, 55)] and alike(~same, 50, 0.8) == []
+
+
+def unlike_words(doublings=10):
+    """A Thue-Morse word and its complement: equal under every polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("doublings", [10, 11, 12])
+def test_words_that_collide_under_polynomials_stay_apart(spark, doublings):
+    one, other = unlike_words(doublings)
+    out = {r[0]: r[2] for r in jaccard_components(frame(spark, [(1, one), (2, other), (3, one.upper())]), size=4, num=85).collect()}
+    assert out == {1: 1, 2: 2, 3: 1}
+    counts = [line_quality.measured(pa.array([f"{one}\n{other}"]), WordHasher(False)).dup_lines[0]]
+    assert counts == [0]
+
+
+def test_long_words_hash_alike_wherever_they_stand():
+    word = bytes(random.Random(1).choices(range(97, 123), k=700_001))
+    data = np.frombuffer(b"ab " + word + b" x " + word.upper() + b" " + word[:-1], dtype=np.uint8)
+    hashes = WordHasher().words(data, np.array([0, len(data)]))[2]
+    assert hashes[1] == hashes[3] and len(set(hashes.tolist())) == 4
