@@ -10,12 +10,15 @@ What the bands can miss: a pair of similarity 0.8 shares none of ``BANDS`` bands
 coordinates; 0.8 falls below that with a chance under 1e-9. The bounds hold for ``num/den`` of 0.8 and more, and a
 smaller threshold is refused.
 
-How it scales: features are one pass over the texts and are written; equal sets are one class, and the later joins
-carry class numbers, sizes and 150-byte signatures. In every band bucket all members are compared with one leader;
-links join components, and only members outside a bucket's largest component become leaders after that, four times
-as many each round until none is left. Members of one component are never compared again, so a group
-of near copies costs its size, not its square, and no candidate pair is dropped. Leaders are one row per
-bucket in the first round, so a hot bucket is split by adaptive execution on its member side.
+How it scales: features are one pass over the texts and are written next to them; equal sets are one class, and the
+later joins carry class numbers, sizes and 150-byte signatures. In every band bucket all members are compared with
+one leader, the member that shares most with others, so a group of near copies falls into one component after work in
+proportion to its size. Buckets that then still span several components form groups by their largest component, and an
+exact way finds every link that is left in them: the shingles of a group are ordered by their frequency in it, rarest
+first, and only members of different components that share a shingle of their prefixes, early enough for the overlap they
+need, are compared. No candidate pair is dropped and none inside a component is made. Buckets meet one leader
+row and group shingles one frequency row each, so adaptive execution can split a hot one on its other side. Joins whose
+one side grows with the corpus are sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import components, drop, no_rows, written
+from firmlens.llm.common import components, drop, written
 from firmlens.llm.shingles import WordHasher, mixed, text_buffer, windows
 
 BAND_ROWS = 5
@@ -38,14 +41,12 @@ COORDINATES = BAND_ROWS * BANDS
 AGREE = 90
 #: The least similarity for which the bounds above hold.
 LEAST = 0.8
-#: Leaders per bucket grow by this factor from round to round.
-GROWTH = 4
 #: Shingles signed at once, so that all steps of a coordinate stay in the processor's cache.
 _STRETCH = 1 << 15
 #: Shingles gathered before a batch of features leaves the task.
 _BATCH = 1 << 20
 _SCATTER = np.uint64(0x5851F42D4C957F2D)
-_FEATURES = "doc_id long, n int, digest binary, bands array<long>, signature binary, shingles binary"
+_FEATURES = "doc_id long, n int, digest binary, bands array<long>, signature binary, text string"
 
 
 def _ranked(places: np.ndarray) -> np.ndarray:
@@ -81,34 +82,28 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def shingle_sets(column: pa.Array, size: int, hasher: WordHasher) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of every text of a column."""
+    data, offsets = text_buffer(column)
+    starts, _, words = hasher.words(data, offsets)
+    cuts = np.searchsorted(starts, offsets)
+    return [np.unique(windows(words[low:high], size)) for low, high in zip(cuts[:-1], cuts[1:])]
+
+
 class _Features:
-    """Per document: size and digest of its set, band keys, lowest bytes of its signature, its sorted shingles."""
+    """Per document: size and digest of its set, band keys, lowest bytes of its signature, and its text."""
 
     def __init__(self, size: int):
         self._size = size
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
-        ids: list[int | None] = []
-        sets: list[np.ndarray] = []
-        held = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                data, offsets = text_buffer(part.column(1))
-                starts, _, words = hasher.words(data, offsets)
-                cuts = np.searchsorted(starts, offsets)
-                for row, doc in enumerate(part.column(0).to_pylist()):
-                    ids.append(doc)
-                    sets.append(np.unique(windows(words[cuts[row] : cuts[row + 1]], self._size)))
-                    held += len(sets[-1])
-                    if held >= _BATCH:
-                        yield self._rows(ids, sets)
-                        ids, sets, held = [], [], 0
-        if ids:
-            yield self._rows(ids, sets)
-
-    def _rows(self, ids: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
+                yield self._rows(part.column(0), part.column(1), shingle_sets(part.column(1), self._size, hasher))
+
+    def _rows(self, ids: pa.Array, texts: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(values) for values in sets], dtype=np.int64)
         full = np.flatnonzero(sizes)
         bands, marks = [None] * len(ids), [None] * len(ids)
@@ -117,12 +112,11 @@ class _Features:
             keys, low = band_keys(signed), signed.astype(np.uint8)
             for at, row in enumerate(full):
                 bands[row], marks[row] = keys[at], low[at].tobytes()
+        digests = [hashlib.blake2b(values.tobytes(), digest_size=16).digest() for values in sets]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
-                pa.array([hashlib.blake2b(values.tobytes(), digest_size=16).digest() for values in sets], pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
-                pa.array([values.tobytes() for values in sets], pa.binary()),
+                ids, pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), texts,
             ],
             names=[part.split(" ")[0] for part in _FEATURES.split(", ")],
         )
@@ -142,38 +136,102 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Linked:
-    """Pairs with both whole sets; keeps those of the wanted similarity."""
+    """Pairs (a, b, a_text, b_text); keeps those whose whole sets have the wanted similarity."""
 
-    def __init__(self, num: int, den: int):
-        self._num, self._den = num, den
+    def __init__(self, size: int, num: int, den: int):
+        self._size, self._num, self._den = size, num, den
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
         for batch in batches:
-            a, b, left, right = (batch.column(name).to_pylist() for name in ("a", "b", "a_shingles", "b_shingles"))
-            kept = []
-            for at, (x, y) in enumerate(zip(left, right)):
-                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                if self._den * common >= self._num * (len(one) + len(other) - common):
-                    kept.append(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([side[at] for at in kept], pa.int64()) for side in (a, b)], names=["a", "b"]
-            )
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                kept = []
+                sides = (shingle_sets(part.column(name), self._size, hasher) for name in ("a_text", "b_text"))
+                for one, other in zip(*sides):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    kept.append(self._den * common >= self._num * (len(one) + len(other) - common))
+                alike = pa.array(kept, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(name).filter(alike) for name in "ab"], names=["a", "b"])
 
 
-def _sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    left, right = (table.select(F.col("rep").alias(s), F.col(column).alias(f"{s}_{column}")) for s in "ab")
-    return pairs.join(left, "a").join(right, "b")
+class _Shingles:
+    """Classes of groups (main, rep, text) as (main, rep, shingles)."""
 
+    def __init__(self, size: int):
+        self._size = size
 
-def _links(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Written table of the pairs (a, b) whose whole sets are similar enough."""
-    alike = written(_sides(pairs, classes, "signature").mapInArrow(_agreeing, "a long, b long"))
-    ends = alike.select(F.col("a").alias("rep")).unionByName(alike.select(F.col("b").alias("rep"))).distinct()
-    sets = written(classes.select("rep", "shingles").join(ends, "rep", "left_semi"))
-    links = written(_sides(alike, sets, "shingles").mapInArrow(_Linked(num, den), "a long, b long"))
-    drop(alike, sets)
-    return links
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(lower=True)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = [values.view(np.int64) for values in shingle_sets(part.column("text"), self._size, hasher)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("main"), part.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["main", "rep", "shingles"]
+                )
+
+
+class _Corpus:
+    """The written rows of the corpus and what is asked of them; ``rep`` names the first row of a class."""
+
+    def __init__(self, rows: DataFrame, size: int, num: int, den: int):
+        self._rows, self._size, self._num, self._den = rows.withColumnRenamed("row", "rep"), size, num, den
+
+    def _sides(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        left, right = (table.select(F.col("rep").alias(s), F.col(column).alias(f"{s}_{column}")).hint("merge") for s in "ab")
+        return pairs.join(left, "a").join(right, "b")
+
+    def texts(self, reps: DataFrame) -> DataFrame:
+        return self._rows.select("rep", "text").join(reps.select("rep").distinct().hint("merge"), "rep", "left_semi")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Written table of the pairs (a, b) whose whole sets are similar enough."""
+        alike = written(self._sides(pairs, self._rows, "signature").mapInArrow(_agreeing, "a long, b long"))
+        ends = alike.select(F.col("a").alias("rep")).unionByName(alike.select(F.col("b").alias("rep")))
+        texts = written(self.texts(ends))
+        verify = _Linked(self._size, self._num, self._den)
+        links = written(self._sides(alike, texts, "text").mapInArrow(verify, "a long, b long"))
+        drop(alike, texts)
+        return links
+
+    def needed(self, left: str, right: str) -> str:
+        """Smallest overlap of two sets of the wanted similarity, as SQL over their sizes."""
+        return f"((({left} + {right}) * {self._num} + {self._num + self._den - 1}) div {self._num + self._den})"
+
+    def near_sizes(self, left: str, right: str) -> str:
+        return f"least({left}, {right}) * {self._den} >= greatest({left}, {right}) * {self._num}"
+
+    def prefix_pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a group's members (main, rep, n, component) that can still be similar.
+
+        ``at`` is the place of a shingle in its set, rarest first; shingles that no other member holds come before
+        all others, so ``shared`` is the most that can be common with any member.
+        """
+        texts = members.select("main", "rep").join(self.texts(members), "rep").select("main", "rep", "text")
+        held = written(texts.mapInArrow(_Shingles(self._size), "main long, rep long, shingles array<long>"))
+        spread = held.select("main", "rep", F.explode("shingles").alias("shingle"))
+        often = spread.groupBy("main", "shingle").agg(F.count("*").alias("often")).where("often > 1").hint("merge")
+        own = Window.partitionBy("main", "rep")
+        placed = (
+            spread.join(often, ["main", "shingle"])
+            .withColumn("turn", F.row_number().over(own.orderBy("often", "shingle")))
+            .withColumn("shared", F.count("*").over(own))
+            .join(members, ["main", "rep"])
+            .withColumn("at", F.expr("n - shared + turn - 1"))
+            .where(f"at <= n - ((n * {self._num} + {self._den - 1}) div {self._den})")
+            .select("main", "shingle", "rep", "n", "component", "shared", F.expr("n - at").alias("ahead"))
+        )
+        placed = written(placed)
+        need = self.needed("a.n", "b.n")
+        pairs = placed.where("component <> main").alias("a").join(placed.alias("b"), F.expr(
+            "a.main = b.main and a.shingle = b.shingle and a.component <> b.component "
+            f"and (b.component = b.main or a.rep < b.rep) and {self.near_sizes('a.n', 'b.n')} "
+            f"and least(a.shared, b.shared) >= {need} and least(a.ahead, b.ahead) >= {need}"
+        ))
+        out = written(_ordered(pairs.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))))
+        drop(held, placed)
+        return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -194,71 +252,55 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         raise ValueError(f"the bands are laid out for similarities of {LEAST} and more")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = written(source.mapInArrow(_Features(size), _FEATURES).withColumn("row", F.monotonically_increasing_id()))
+    corpus = _Corpus(rows, size, num, den)
     reps = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"))
     members = written(
-        rows.select("row", "doc_id", "n", "digest").join(reps, "digest", "left")
-        .select("doc_id", "n", F.coalesce("rep", "row").alias("rep"))
+        rows.select("row", "doc_id", "n", "digest").join(reps.hint("merge"), "digest", "left")
+        .select("row", "doc_id", "n", F.coalesce("rep", "row").alias("rep"))
+    )
+    posted = written(
+        rows.select("row", "n", F.explode("bands").alias("key"))
+        .join(members.where("row = rep").select("row").hint("merge"), "row", "left_semi").withColumnRenamed("row", "rep")
+    )
+
+    # Every member of a bucket against the one that meets most classes in its buckets.
+    sizes = posted.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").hint("merge")
+    shared = written(posted.join(sizes, "key"))
+    met = shared.groupBy("rep").agg(F.sum("many").alias("met"))
+    leaders = shared.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", F.expr("-rep").alias("back"), "n")).alias("lead"))
+    first_pairs = (
+        shared.join(leaders, "key").select("rep", "n", F.expr("-lead.back").alias("l_rep"), F.col("lead.n").alias("l_n"))
+        .where(corpus.near_sizes("n", "l_n")).select(F.col("rep").alias("x"), F.col("l_rep").alias("y"))
     )
-    classes = rows.withColumnRenamed("row", "rep")  # only the first row of a class is ever asked for
-
-    # Round one: every member of a bucket against the bucket's first class.
-    posted = written(classes.join(reps.select("rep"), "rep", "left_semi").select("rep", "n", F.explode("bands").alias("key")))
-    leaders = posted.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("rep", "n")).alias("lead")).where("many > 1")
-    shared = written(posted.join(leaders.drop("many"), "key").where("rep <> lead.rep"))
-    apart = f"least(n, lead.n) * {den} >= greatest(n, lead.n) * {num}"
-    tried = written(_ordered(shared.where(apart).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"))))
-    found = _links(tried, classes, num, den)
+    tried = written(_ordered(first_pairs))
+    found = corpus.links(tried)
     labels = components(found)
+
+    # Buckets that still span several components: exact prefix join inside the groups of their largest components.
     lists = written(
         shared.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component", F.coalesce("component", "rep"))
     )
-    drop(posted, shared, found)
-
-    # Later rounds: members outside a bucket's largest component against all others of the bucket.
-    width = 1
-    while True:
-        parts = lists.groupBy("key", "component").agg(F.count("*").alias("many"))
-        mains = (
-            parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("many", "component")).alias("main"))
-            .where("parts > 1").select("key", "main")
-        )
-        split = written(lists.join(mains, "key"))
-        drop(lists)
-        if no_rows(split):
-            drop(split)
-            break
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        chosen = written(
-            split.where("component <> main").withColumn("turn", turn).where(F.col("turn") <= width)
-            .select("key", F.col("rep").alias("l_rep"), F.col("n").alias("l_n"), F.col("component").alias("l_component"))
-        )
-        pairs = (
-            split.join(chosen, "key")
-            .where(f"component <> l_component and least(n, l_n) * {den} >= greatest(n, l_n) * {num}")
-            .select(F.col("rep").alias("x"), F.col("l_rep").alias("y"))
-        )
-        fresh = written(_ordered(pairs).join(tried, ["a", "b"], "left_anti"))
-        found = _links(fresh, classes, num, den)
-        named = labels.select(F.col("node").alias("end"), F.col("component").alias("named"))
-        joined = components(
-            found.join(named, F.col("a") == F.col("end"), "left").select(F.coalesce("named", "a").alias("a"), "b")
-            .join(named, F.col("b") == F.col("end"), "left").select("a", F.coalesce("named", "b").alias("b"))
-        )
-        step = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        moved = written(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        alone = joined.join(labels.select("node"), "node", "left_anti")
-        labels = written(moved.unionByName(alone.select("node", "component")))
-        lists = written(
-            split.join(chosen.select("key", F.col("l_rep").alias("rep")), ["key", "rep"], "left_anti")
-            .join(step, "component", "left").select("key", "rep", "n", F.coalesce("to", "component").alias("component"))
-        )
-        tried = written(tried.unionByName(fresh))
-        drop(split, chosen, fresh, found, moved)
-        width *= GROWTH
+    mains = (
+        lists.groupBy("key", "component").agg(F.count("*").alias("many"))
+        .groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("many", "component")).alias("main"))
+        .where("parts > 1").select("key", "main")
+    )
+    groups = written(lists.join(mains, "key").select("main", "rep", "n", "component").distinct())
+    left = written(corpus.prefix_pairs(groups).join(tried, ["a", "b"], "left_anti"))
+    more = corpus.links(left)
+    named = labels.select(F.col("node").alias("end"), F.col("component").alias("named"))
+    joined = components(
+        more.join(named, F.col("a") == F.col("end"), "left").select(F.coalesce("named", "a").alias("a"), "b")
+        .join(named, F.col("b") == F.col("end"), "left").select("a", F.coalesce("named", "b").alias("b"))
+    )
 
-    grouped = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    grouped = written(grouped.select("doc_id", "n", "component"))
+    grouped = written(
+        members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .withColumn("one", F.coalesce("component", "rep"))
+        .join(joined.select(F.col("node").alias("one"), F.col("component").alias("two")), "one", "left")
+        .select("doc_id", "n", F.coalesce("two", "one").alias("component"))
+    )
     several = grouped.groupBy("component").agg(F.count("*").alias("many"), F.min("doc_id").alias("first")).where("many > 1")
     out = written(
         grouped.join(several.drop("many"), "component", "left")
@@ -268,5 +310,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         )
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
-    drop(rows, members, labels, tried, grouped)
+    drop(rows, members, posted, shared, tried, found, labels, lists, groups, left, more, joined, grouped)
     return out

@@ -16,6 +16,7 @@ from firmlens.llm.chat_template import format_conversations, turns_of, unescape
 from firmlens.llm.circulant_minhash import near_duplicates
 from firmlens.llm.license_scan import license_scan
 from firmlens.llm.main_text import main_text
+from firmlens.llm.merkle_manifest import folded, manifest, proof_digest
 from firmlens.llm.ngram_join import jaccard_components
 from firmlens.llm.packing import pack
 from firmlens.llm.passages import repeated_passages
@@ -154,6 +155,64 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), size=2, num=80, den=100)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _merkle_sql(levels: int = 10) -> str:
+    """The manifest in SQL, a fixed number of levels of eight children each (8 ** levels rows per language)."""
+    parts = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    known = " || ".join(parts)
+    steps = [
+        """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(
+            list_prepend(i::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i)))""",
+        f"""leaves AS MATERIALIZED (SELECT doc_id, lang, sha256({known} || coalesce(strlen(text)::varchar || ':' || text, '-')) AS leaf,
+            coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS hit,
+            sha256({known} || coalesce(strlen(text)::varchar || ':' || translate(text, '{_UPPER}', '{_LOWER}'), '-')) AS altered
+            FROM documents, crc)""",
+        """n0 AS MATERIALIZED (SELECT *, leaf AS node, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY lang) AS cnt, CASE WHEN hit THEN altered ELSE leaf END AS f, '' AS proof FROM leaves)""",
+    ]
+
+    def level(name: str, before: str, tree: str) -> list[str]:
+        group = f"{tree}, pos // 8" if tree else "pos // 8"
+        same = f"r.{tree} IS NOT DISTINCT FROM n.{tree} AND " if tree else ""
+        head = f"{tree}, " if tree else ""
+        return [
+            f"""k{name} AS (SELECT {head}pos // 8 AS run, list(DISTINCT {{'p': pos, 'd': node}}) AS kids FROM {before} WHERE cnt > 1 GROUP BY {group})""",
+            f"""r{name} AS (SELECT {head}run, list_transform(list_sort(kids), lambda x: x.d) AS ds FROM k{name})""",
+            f"""{name} AS MATERIALIZED (SELECT n.* EXCLUDE (node, pos, cnt, f, proof),
+                CASE WHEN ds IS NULL THEN node ELSE sha256(array_to_string(ds, '')) END AS node, pos // 8 AS pos, (cnt + 7) // 8 AS cnt,
+                CASE WHEN ds IS NULL THEN f ELSE sha256(array_to_string(ds[:pos % 8], '') || f || array_to_string(ds[pos % 8 + 2:], '')) END AS f,
+                CASE WHEN ds IS NULL THEN proof ELSE proof || array_to_string(ds[:pos % 8], '') || array_to_string(ds[pos % 8 + 2:], '') END AS proof
+                FROM {before} n LEFT JOIN r{name} r ON {same}r.run = n.pos // 8 AND n.cnt > 1)""",
+        ]
+
+    for at in range(levels):
+        steps += level(f"n{at + 1}", f"n{at}", "lang")
+    steps.append(
+        f"""m0 AS MATERIALIZED (SELECT * EXCLUDE (pos, cnt), node AS subroot, dense_rank() OVER (ORDER BY coalesce('=' || lang, '-')) - 1 AS pos,
+            (SELECT count(DISTINCT coalesce('=' || lang, '-')) FROM leaves) AS cnt FROM n{levels})"""
+    )
+    for at in range(levels):
+        steps += level(f"m{at + 1}", f"m{at}", "")
+    return (
+        "WITH " + ", ".join(steps) + f" SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, f AS folded_root, "
+        f"f = node AS verified FROM m{levels}"
+    )
+
+
+@_query("op12_merkle_manifest", _merkle_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest, proof and verdict of every document; a third of them is tampered with by lower-casing the text."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    found = manifest(_table(spark, sf, "documents"), claims={"text": tampered})
+    found = found.withColumn("proof_sha256", proof_digest(F.col("path"))).withColumn("folded_root", folded(F.col("claimed"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
