@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from firmlens.llm import line_quality
 from firmlens.llm.chat_template import format_conversations, turns_of, unescape
 from firmlens.llm.circulant_minhash import near_duplicates
+from firmlens.llm.hard_negatives import mine
 from firmlens.llm.license_scan import license_scan
 from firmlens.llm.main_text import main_text
 from firmlens.llm.merkle_manifest import folded, manifest, proof_digest
@@ -213,6 +214,36 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::bigint AS score
+    FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+), n AS (
+    SELECT p.a, p.b, p.score AS positive_score, s.b AS negative, s.score,
+        row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS place
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT a AS anchor_id, b AS positive_id, place::int AS rank, negative AS negative_id, positive_score, score AS negative_score
+FROM n WHERE place <= 3
+"""
+
+
+@_query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Three hard negatives of every positive of every fiftieth vector, out of all vectors; every seventh label is moved first."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    vectors = _table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine(vectors, F.expr("vec_id % 50 = 0"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
