@@ -31,7 +31,9 @@ ROWS = 1 << 16
 ANCHORS = 1 << 14
 _FEW = 1024
 #: Entries of the matrix of intervals held at once.
-_CELL = 1 << 20
+_CELL = 1 << 18
+#: Pairs scored at once.
+_PAIRS = 1 << 13
 #: Share of the product of lengths by which every interval is widened, for rounding.
 _SLACK = 1e-9
 _CODED = "row long, id long, label long, anchor boolean, ints binary, code binary, length double, aligned double, rest double"
@@ -110,20 +112,21 @@ def intervals(anchors: np.ndarray, block: _Block) -> tuple[np.ndarray, np.ndarra
     return middle - spread, middle + spread
 
 
-def integer_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer arrays; beyond 64 bits they stop at its ends."""
-    if not len(left):
-        return np.zeros(0, dtype=np.int64)
-    most = float(np.abs(left.astype(np.float64)).max()) * float(np.abs(right.astype(np.float64)).max()) * left.shape[1]
-    if most < 2.0**53:
-        out = np.empty(len(left), dtype=np.int64)
-        for low in range(0, len(left), 1 << 14):
-            part = slice(low, low + (1 << 14))
-            out[part] = np.einsum("ij,ij->i", left[part].astype(np.float64), right[part].astype(np.float64)).astype(np.int64)
+def integer_scores(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of ``left[a[i]]`` and ``right[b[i]]``; beyond 64 bits they stop at its ends."""
+    out = np.empty(len(a), dtype=np.int64)
+    if not len(a):
+        return out
+    x, y = left.astype(np.float64), right.astype(np.float64)
+    if float(np.abs(x).max()) * float(np.abs(y).max()) * left.shape[1] < 2.0**53:
+        for low in range(0, len(a), _PAIRS):
+            part = slice(low, low + _PAIRS)
+            out[part] = np.einsum("ij,ij->i", x[a[part]], y[b[part]])
         return out
     ends = np.iinfo(np.int64)
-    totals = (sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(left, right))
-    return np.array([min(max(total, ends.min), ends.max) for total in totals], dtype=np.int64)
+    for at, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        out[at] = min(max(sum(map(int.__mul__, left[i].tolist(), right[j].tolist())), ends.min), ends.max)
+    return out
 
 
 def _reach(low: np.ndarray, sure: np.ndarray, count: int) -> np.ndarray:
@@ -165,7 +168,7 @@ class _Positives:
                 low, high = intervals(asked.ints[part], block)
                 fit = (asked.label[part, None] == block.label) & (asked.row[part, None] != block.row)
                 a, r = np.nonzero(fit & (high >= _reach(low, fit, self._count)))
-                score = integer_scores(asked.ints[part][a], block.ints[r])
+                score = integer_scores(asked.ints[part], block.ints, a, r)
                 best = _first(a, score, block.id[r], block.row[r], self._count)
                 a, r = a[best], r[best]
                 found.append(np.stack([asked.row[part][a], block.row[r], block.id[r], score[best]]))
@@ -200,7 +203,7 @@ class _Negatives:
                     can = other & (high >= np.maximum(bottom * (1 - _SLACK), _reach(low, sure, self._count))) & (low <= top * (1 + _SLACK))
                     wanted |= can & (bottom <= top)
                 a, r = np.nonzero(wanted)
-                score = integer_scores(asked.ints[part][a], block.ints[r])
+                score = integer_scores(asked.ints[part], block.ints, a, r)
                 for k in range(most):
                     inside = np.flatnonzero((score >= least_score[part, k][a]) & (score <= most_score[part, k][a]))
                     best = inside[_first(a[inside], score[inside], block.id[r[inside]], block.row[r[inside]], self._count)]

@@ -102,4 +102,4 @@ def test_intervals_hold_the_scores():
 def test_scores_beyond_doubles_are_exact():
     left = np.array([[2**40, 3], [2**62, 2**62], [-(2**62), 2**62]], dtype=np.int64)
     right = np.array([[2**20, 5], [2**62, 1], [2**62, -1]], dtype=np.int64)
-    assert integer_scores(left, right).tolist() == [2**60 + 15, 2**63 - 1, -(2**63)]
+    assert integer_scores(left, right, np.arange(3), np.arange(3)).tolist() == [2**60 + 15, 2**63 - 1, -(2**63)]
