@@ -347,7 +347,7 @@ def _first_stream(spark, sf):
     )
     folder = _folder(spark)
     ingest.once_ever_stream(
-        urls, f"{folder}/seen", f"{folder}/state", F.asc("event_id"), once=True
+        urls, f"{folder}/seen", f"{folder}/state", F.col("event_id"), once=True
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/seen").select("url", "event_id")
 

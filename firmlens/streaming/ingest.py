@@ -19,6 +19,7 @@ from firmlens.operators.ordered import top_per_key
 from firmlens.operators.pages import page_features
 from firmlens.operators.safety import safety_verdicts
 from firmlens.operators.score import score_pages, scoring_rows
+from firmlens.streaming.sightings import first_sightings
 
 BATCH = "batch_id"
 
@@ -103,16 +104,19 @@ def once_within_horizon(urls: DataFrame, event_time: str, horizon: str) -> DataF
 
 
 def once_ever_stream(
-    urls: DataFrame, folder: str, checkpoint: str, order: Column, once: bool = False
+    urls: DataFrame, folder: str, checkpoint: str, order: Column, once: bool = False, forget_after: int | None = None
 ) -> StreamingQuery:
-    """Exact first sightings: urls not seen in any earlier batch are appended."""
+    """Exact first sightings: rows whose url is not in the keyed state yet, lowest ``order`` first, one folder per batch.
+
+    A stream that forgets runs on, because its timers always announce another batch: it cannot stop at what is there.
+    """
+    if once and forget_after:
+        raise ValueError("a stream that forgets urls has no last batch: start it without once")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seen = read_batches(batch.sparkSession, folder, "url STRING", before=batch_id)
-        fresh = top_per_key(batch, ["url"], [order])
-        write_batch(fresh.join(seen.select("url"), "url", "left_anti"), folder, batch_id)
+        write_batch(batch, folder, batch_id)
 
-    return _run(urls, sink, checkpoint, once)
+    return _run(first_sightings(urls, order, forget_after), sink, checkpoint, once)
 
 
 def safety_stream(

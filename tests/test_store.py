@@ -164,7 +164,7 @@ def test_streams_over_several_batches(spark, tmp_path):
         stream = spark.readStream.schema(REQUEST).parquet(str(source))
         ingest.safety_stream(stream, folder, state, limits, once=True).awaitTermination()
         urls = stream.select(F.col("domain").alias("url"), "seq")
-        ingest.once_ever_stream(urls, seen, seen_state, F.asc("seq"), once=True).awaitTermination()
+        ingest.once_ever_stream(urls, seen, seen_state, F.col("seq"), once=True).awaitTermination()
     got = {r.seq: (r.verdict, r.allowed) for r in spark.read.parquet(folder).collect()}
     assert got == simulate(rows, limits)
     first = {}
