@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.bindings import EXCLUDED, SOURCES, table
@@ -16,6 +16,7 @@ from firmlens.operators import safety
 from firmlens.operators.pages import page_features, visible_text
 from firmlens.session import checkpoint_dir
 from firmlens.sources import conditions, encoding, reviews, rules, serp
+from firmlens.sources.csv_files import CsvFiles, read_csv_files
 from firmlens.streaming import ingest
 
 # Condition files written from customer rows, one file per hundred customers. Some rows are wrong,
@@ -32,20 +33,31 @@ _ROW = (
 )
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "customer").select(
-        F.expr(_FILE_NO).alias("file_no"), "c_custkey", F.expr(_ROW).alias("line")
-    )
-    # A file holds a hundred lines by construction.
-    files = lines.groupBy("file_no").agg(
-        F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("lines")
-    )
-    body = F.array_join(F.transform("lines", lambda item: item["line"]), "\n")
-    content = F.encode(F.concat(F.lit(f"{_HEADER}\n,,,,,,,\n"), body), "UTF-8")
-    marked = F.when(F.col("file_no") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), content))
-    return files.select(
-        F.col("file_no").alias("path"), F.coalesce(marked, content).alias("content")
-    )
+def _written(lines: DataFrame) -> str:
+    """Folder of text files, one per ``file_no``, with the given lines in ``n`` order."""
+    folder = f"{checkpoint_dir(lines.sparkSession)}/files-{uuid.uuid4().hex}"
+    ordered = lines.repartition("file_no").sortWithinPartitions("file_no", "n").select("file_no", "line")
+    ordered.write.partitionBy("file_no").text(folder)
+    return folder
+
+
+def _with_heads(rows: DataFrame, heads: list[str]) -> DataFrame:
+    """Every file begins with the given lines; every second one with a byte order mark."""
+    first = rows.select("file_no").distinct()
+    mark = F.when(F.col("file_no") % 2 == 0, F.lit("\ufeff")).otherwise(F.lit(""))
+    for at, head in enumerate(heads):
+        text = F.concat(mark, F.lit(head)) if at == 0 else F.lit(head)
+        rows = rows.unionByName(first.select("file_no", F.lit(at - len(heads)).cast("bigint").alias("n"), text.alias("line")))
+    return rows
+
+
+def _file_no() -> Column:
+    return F.regexp_extract("path", "file_no=([0-9]+)", 1).cast("bigint")
+
+
+def _files(spark: SparkSession, sf: str) -> CsvFiles:
+    lines = table(spark, sf, "customer").select(F.expr(_FILE_NO).alias("file_no"), F.col("c_custkey").alias("n"), F.expr(_ROW).alias("line"))
+    return read_csv_files(spark, _written(_with_heads(lines, [_HEADER, ",,,,,,,"])))
 
 
 _CHECKED = f"""WITH c AS (SELECT *, {_FILE_NO} AS file_no, c_custkey % 100 + 3 AS row_number,
@@ -64,9 +76,9 @@ v AS (SELECT *, CASE WHEN message IS NULL THEN min(CASE WHEN message IS NULL THE
 FROM v WHERE message IS NULL AND row_number = first_row""",
 )
 def _conditions(spark, sf):
-    valid, _ = conditions.split_conditions(conditions.parse_files(_files(spark, sf)))
+    valid, _ = conditions.split_conditions(_files(spark, sf))
     return valid.select(
-        "path", "row_number", "prefecture", "municipality", "industry", "max_results", "enabled",
+        _file_no().alias("path"), "row_number", "prefecture", "municipality", "industry", "max_results", "enabled",
         "max_candidates", F.array_join("excluded_keywords", "|").alias("excluded_keywords"), "note",
         "encoding",
     )
@@ -78,8 +90,8 @@ def _conditions(spark, sf):
 FROM v WHERE message IS NOT NULL OR row_number > first_row""",
 )
 def _issues(spark, sf):
-    _, issues = conditions.split_conditions(conditions.parse_files(_files(spark, sf)))
-    return issues
+    _, issues = conditions.split_conditions(_files(spark, sf))
+    return issues.withColumn("path", _file_no())
 
 
 _REVIEW_ROW = (
@@ -89,18 +101,9 @@ _REVIEW_ROW = (
 )
 
 
-def _review_files(spark: SparkSession, sf: str) -> DataFrame:
-    header = ",".join(reviews.REVIEW_HEADERS)
-    lines = table(spark, sf, "customer").select(
-        F.expr(_FILE_NO).alias("path"), "c_custkey", F.expr(_REVIEW_ROW).alias("line")
-    )
-    files = lines.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("c_custkey", "line"))).alias("lines")
-    )
-    body = F.array_join(F.transform("lines", lambda item: item["line"]), "\r\n")
-    return files.select(
-        "path", F.encode(F.concat(F.lit(header + "\r\n"), body), "UTF-8").alias("content")
-    )
+def _review_files(spark: SparkSession, sf: str) -> CsvFiles:
+    lines = table(spark, sf, "customer").select(F.expr(_FILE_NO).alias("file_no"), F.col("c_custkey").alias("n"), F.expr(_REVIEW_ROW).alias("line"))
+    return read_csv_files(spark, _written(_with_heads(lines, [",".join(reviews.REVIEW_HEADERS)])))
 
 
 @check(
@@ -110,8 +113,8 @@ def _review_files(spark: SparkSession, sf: str) -> DataFrame:
 WHERE c_custkey % 9 <> 0 AND c_custkey % 8 <> 0""",
 )
 def _reviews(spark, sf):
-    good, _ = reviews.check_reviews(conditions.parse_files(_review_files(spark, sf)))
-    return good.select("path", "url", "company_name_judgment", "official_site_judgment", "note")
+    good, _ = reviews.check_reviews(_review_files(spark, sf))
+    return good.select(_file_no().alias("path"), "url", "company_name_judgment", "official_site_judgment", "note")
 
 
 @check(
@@ -121,8 +124,8 @@ def _reviews(spark, sf):
 FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 8 = 0""",
 )
 def _review_issues(spark, sf):
-    _, issues = reviews.check_reviews(conditions.parse_files(_review_files(spark, sf)))
-    return issues
+    _, issues = reviews.check_reviews(_review_files(spark, sf))
+    return issues.withColumn("path", _file_no())
 
 
 _DECLARED = "CASE page_id % 6 WHEN 0 THEN 'text/html; charset=\"UTF-8\"' WHEN 1 THEN 'text/html' ELSE '' END"

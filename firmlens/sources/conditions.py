@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.functions.text import jp_boolean, keyword_list, positive_int, py_strip
-from firmlens.sources.encoding import DECODED, decode_file
+from firmlens.functions.text import jp_boolean, keyword_list, positive_int
+from firmlens.sources.csv_files import CsvFiles, read_csv_files
 
 # Column headers and messages of a condition file.
 PREFECTURE, MUNICIPALITY, INDUSTRY = "都道府県", "市区町村", "検索業種"
@@ -27,12 +26,6 @@ EMPTY_FIELDS = {
 }
 SHOWN_ISSUES = 20
 
-# One field and one record of a CSV text. Quotes count at the start of a field only, and hold line ends.
-_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"?[^,\r\n]*+|[^",\r\n][^,\r\n]*+)?'
-_RECORD = rf"{_FIELD}(?:,{_FIELD})*+"
-_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
-
-
 class FileIssues(ValueError):
     """A strict read met issues: the message has their count and the first ones, ``issues`` is the whole table."""
 
@@ -47,60 +40,6 @@ class ConditionFileError(FileIssues):
     """A strict read of condition files met at least one issue."""
 
 
-def _fields(record: Column) -> Column:
-    """Unquoted fields of one record."""
-    given = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_FIELD})"), F.lit(1))
-    return F.transform(given, lambda field: F.when(field.startswith('"'), _unquoted(field)).otherwise(field))
-
-
-def _unquoted(field: Column) -> Column:
-    inside = F.replace(F.regexp_extract(field, _QUOTED, 1), F.lit('""'), F.lit('"'))
-    return F.concat(inside, F.regexp_extract(field, _QUOTED, 2))
-
-
-def parse_files(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``file`` to a table of raw CSV files: encoding, trimmed column names and the texts of the records.
-
-    Only the decoding leaves the JVM. Blank lines are no records. A file in no known encoding has NULL throughout.
-    """
-
-    @F.pandas_udf(DECODED)
-    def decode(bodies: pd.Series) -> pd.DataFrame:
-        texts = [decode_file(bytes(body)) for body in bodies]
-        return pd.DataFrame([(name, text) for text, name in texts], columns=["encoding", "text"])
-
-    text = F.col("_decoded.text")
-    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORD), F.lit(0)), lambda record: record != "")
-    names = F.transform(_fields(F.regexp_extract(text, "^" + _RECORD, 0)), py_strip)
-    decoded = files.withColumn("_decoded", decode(F.col(content)))
-    file = F.struct(
-        F.when(text.isNotNull(), F.col("_decoded.encoding")).alias("encoding"),
-        names.alias("columns"),
-        records.alias("records"),
-    )
-    return decoded.withColumn("file", file).drop("_decoded")
-
-
-def file_rows(parsed: DataFrame, key: str) -> DataFrame:
-    """Records below the header as ``row_number`` (the header is 1) and ``cells`` by column name.
-
-    Cells are trimmed, missing ones empty; the last column of a name wins; records without any text are left out.
-    """
-    names = F.array_distinct("_names")
-    slots = F.transform(names, lambda name: F.size("_names") - F.array_position(F.reverse("_names"), name))
-    rows = parsed.select(
-        key, F.col("file.encoding").alias("encoding"), F.col("file.columns").alias("_names"),
-        F.posexplode("file.records").alias("_at", "_record"),
-    )
-    rows = rows.filter("_at > 0").withColumn("_fields", _fields(F.col("_record")))
-    cells = F.transform(
-        slots, lambda at: py_strip(F.coalesce(F.get(F.col("_fields"), at.cast("int")), F.lit("")))
-    )
-    celled = rows.select(key, "encoding", (F.col("_at") + 1).alias("row_number"), names.alias("_keys"), cells.alias("_cells"))
-    filled = celled.filter(F.exists("_cells", lambda cell: cell != ""))
-    return filled.select(key, "encoding", "row_number", F.map_from_arrays("_keys", "_cells").alias("cells"))
-
-
 def _cell(name: str) -> Column:
     return F.coalesce(F.try_element_at("cells", F.lit(name)), F.lit(""))
 
@@ -128,17 +67,17 @@ def _row_message() -> Column:
     )
 
 
-def split_conditions(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
-    """Valid conditions and row-numbered issues of parsed files.
+def split_conditions(files: CsvFiles) -> tuple[DataFrame, DataFrame]:
+    """Valid conditions and row-numbered issues of read files.
 
     A repeated (prefecture, municipality, industry) is an issue; the first valid row wins. The first
     row per key comes from an aggregate, so a key repeated without end is not gathered anywhere.
     """
-    encoding = F.col("file.encoding")
-    missing = F.array_except(F.array(*[F.lit(name) for name in REQUIRED]), F.col("file.columns"))
-    checked = parsed.select(
+    key = "path"
+    missing = F.array_except(F.array(*[F.lit(name) for name in REQUIRED]), F.col("columns"))
+    checked = files.headers.select(
         "*",
-        F.when(encoding.isNull(), F.struct(F.lit(0).alias("row_number"), F.lit(BAD_ENCODING).alias("message")))
+        F.when(F.col("encoding").isNull(), F.struct(F.lit(0).alias("row_number"), F.lit(BAD_ENCODING).alias("message")))
         .when(
             F.size(missing) > 0,
             F.struct(
@@ -149,10 +88,7 @@ def split_conditions(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, D
         .alias("file_issue"),
     )
     broken = checked.filter(F.col("file_issue").isNotNull()).select(key, "file_issue.*")
-    rows = (
-        file_rows(checked.filter(F.col("file_issue").isNull()), key)
-        .withColumn("message", _row_message())
-    )
+    rows = files.rows(checked.filter(F.col("file_issue").isNull())).withColumn("message", _row_message())
     fields = {
         "prefecture": _cell(PREFECTURE),
         "municipality": _cell(MUNICIPALITY),
@@ -183,8 +119,7 @@ def read_conditions(
     spark: SparkSession, path: str, strict: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Conditions and issues of one or more CSV files; a strict read refuses any issue."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    valid, issues = split_conditions(parse_files(files))
+    valid, issues = split_conditions(read_csv_files(spark, path))
     if strict:
         if not issues.isEmpty():
             raise ConditionFileError(issues)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from firmlens.functions.urls import is_web_url
 from firmlens.operators.report import REVIEW_HEADERS
 from firmlens.operators.review import JUDGMENTS
-from firmlens.sources.conditions import FileIssues, file_rows, parse_files
+from firmlens.sources.conditions import FileIssues
+from firmlens.sources.csv_files import CsvFiles, read_csv_files
 
 JUDGMENT_COLUMNS = (
     "company_name_judgment", "store_name_judgment", "phone_judgment", "address_judgment",
@@ -26,18 +27,19 @@ def _cell(name: str) -> Column:
     return F.coalesce(F.try_element_at("cells", F.lit(name)), F.lit(""))
 
 
-def check_reviews(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
+def check_reviews(files: CsvFiles) -> tuple[DataFrame, DataFrame]:
     """Review rows and the messages about missing columns, bad urls and unknown judgments."""
+    key = "path"
     headers = F.array(*[F.lit(name) for name in REVIEW_HEADERS])
-    missing = F.array_except(headers, F.coalesce("file.columns", F.array().cast("array<string>")))
-    checked = parsed.withColumn("_missing", missing)
+    missing = F.array_except(headers, F.when(F.col("encoding").isNotNull(), F.col("columns")).otherwise(F.array().cast("array<string>")))
+    checked = files.headers.withColumn("_missing", missing)
     broken = checked.filter(F.size("_missing") > 0).select(
         key, F.lit(1).alias("row_number"),
         F.concat(F.lit("Missing review columns: "), F.array_join("_missing", ", ")).alias("message"),
     )
     values = F.array(*[_cell(name) for name in REVIEW_HEADERS[1:9]])
     rows = (
-        file_rows(checked.filter(F.size("_missing") == 0), key)
+        files.rows(checked.filter(F.size("_missing") == 0))
         .withColumns({"url": _cell(URL_HEADER), "note": _cell(NOTE_HEADER), "_values": values})
     )
     unknown = F.filter("_values", lambda value: ~value.isin(*JUDGMENTS))
@@ -57,8 +59,7 @@ def check_reviews(parsed: DataFrame, key: str = "path") -> tuple[DataFrame, Data
 
 def read_reviews(spark: SparkSession, path: str, reviewer: str | None = None) -> DataFrame:
     """Reviews of a CSV file; any bad row refuses the file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    good, issues = check_reviews(parse_files(files))
+    good, issues = check_reviews(read_csv_files(spark, path))
     if not issues.isEmpty():
         raise ReviewFileError(issues, "%.0s%s")
     return good.withColumn("reviewer", F.lit(reviewer))
