@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from firmlens.dims import CollectionLimits, SafetyLimits
 from firmlens.operators import candidates, queue, robots, safety, schedule, stores
 from firmlens.operators.relevance import TEXT_SIGNALS
 from firmlens.plans.collect import collect_conditions
+from firmlens.session import checkpoint_dir
+from firmlens.sinks.bucket_table import BucketTable
 from firmlens.sources.payload import parse_payloads, task_payload
 
 _NOW = "2024-01-15 12:00:00"
@@ -459,26 +463,38 @@ def _new_results(spark, sf):
     )
 
 
-@check(
-    "upserted_pages",
-    with_tables(
-        "b_pages",
-        """SELECT id AS page_id, url, CASE WHEN id % 4 = 0 THEN 'again' ELSE processing_status END AS
-  processing_status, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN '2024-03-01' WHEN id % 3 <> 0 THEN
-  fetched_at END AS fetched_at, CASE WHEN id % 4 = 0 THEN '2024-03-01' ELSE updated_at END AS updated_at
-FROM b_pages WHERE id % 4 = 0 OR id % 3 <> 0""",
-    ),
-)
-def _upserted(spark, sf):
+_SAVED_AGAIN = "(id % 4 = 0 OR id % 3 = 0)"
+_UPSERTED = f"""SELECT id AS page_id, url, CASE WHEN {_SAVED_AGAIN} THEN 'again' ELSE processing_status END AS
+  processing_status, CASE WHEN id % 3 = 0 THEN '2024-03-01' ELSE fetched_at END AS fetched_at,
+  CASE WHEN {_SAVED_AGAIN} THEN '2024-03-01' ELSE updated_at END AS updated_at FROM b_pages"""
+
+
+def _saved_pages(spark, sf):
+    """Pages on record (those whose id three does not divide) and pages saved after that."""
     rows = bound(spark, sf, "b_pages")
     existing = rows.filter("id % 3 <> 0").selectExpr(
         "id AS page_id", "url", "processing_status", "fetched_at", "updated_at"
     )
-    new = rows.filter("id % 4 = 0").selectExpr(
+    new = rows.filter(_SAVED_AGAIN).selectExpr(
         "CASE WHEN id % 3 <> 0 THEN id + 100000 ELSE id END AS page_id", "url",
         "'again' AS processing_status", "'2024-03-01' AS fetched_at", "'2024-03-01' AS updated_at",
     )
-    return stores.upsert_pages(existing, new)
+    return existing, new
+
+
+@check("upserted_pages", with_tables("b_pages", _UPSERTED))
+def _upserted(spark, sf):
+    return stores.upsert_pages(*_saved_pages(spark, sf))
+
+
+@check("bucket_upserts", with_tables("b_pages", _UPSERTED))
+def _bucket_upserts(spark, sf):
+    existing, new = _saved_pages(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    kept = BucketTable(spark, folder, existing.schema, "url", 16)
+    for changes in (existing, new.filter("page_id % 2 = 0"), new.filter("page_id % 2 <> 0")):
+        kept.upsert(changes, stores.upsert_pages)
+    return kept.read()
 
 
 @check(

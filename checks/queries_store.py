@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from checks.bindings import bound, scoring_frame, table, with_tables
 from checks.registry import check
 from checks.sql_text import ENTITY
 from firmlens.operators import export, report, review, status
-from firmlens.plans.export import Store, export_snapshot
-from firmlens.session import cut_lineage
+from firmlens.plans.export import Store, export_snapshot, live_sheets
+from firmlens.session import checkpoint_dir, cut_lineage
+from firmlens.sinks import exports
 
 _TABLES = "b_conditions b_found b_queries b_results b_pages b_companies b_addresses b_phones b_scoring b_errors b_progress"
 _FLAGS = ("is_official", "is_business_target", "review_required")
@@ -406,9 +409,7 @@ def _scan(spark, sf):
     return report.audit_scan(bound(spark, sf, "b_http_audit"), "run-2")
 
 
-@check(
-    "live_summary",
-    with_tables(
+_LIVE_SUMMARY = with_tables(
         f"{_TABLES} b_provider_audit b_http_audit b_reviews",
         f"""WITH {_DEDUP}, {_TOTALS}, {_PROVIDER_SUMMARY}, {_FETCHED}, {_ACCURACY},
 p AS (SELECT ps.*, coalesce(fetch_count, 0) AS fetch_count FROM ps LEFT JOIN fc USING (provider)),
@@ -443,8 +444,10 @@ UNION ALL SELECT '統計的に十分', CAST(statistically_sufficient AS VARCHAR)
 UNION ALL SELECT 'Provider ' || provider || ' ' || unnest(['実行回数', '成功回数', '失敗回数',
   '検索結果件数', '重複除外後件数', 'HTTP取得対象件数']),
   CAST(unnest([executions, successes, failures, results, accepted, fetch_count]) AS VARCHAR) FROM p""",
-    ),
-)
+    )
+
+
+@check("live_summary", _LIVE_SUMMARY)
 def _live_summary(spark, sf):
     tables = store(spark, sf)
     annotated = cut_lineage(export_snapshot(tables)[0])
@@ -462,3 +465,36 @@ def _live_summary(spark, sf):
     # Rates are compared as numbers in review_accuracy; their text form differs between engines.
     rates = ("電話番号正解率", "公式サイトprecision", "営業対象precision")
     return summary.filter(~F.col("metric").isin(*rates))
+
+
+@check("published_report", _LIVE_SUMMARY)
+def _published_report(spark, sf):
+    tables = store(spark, sf)
+    annotated, orphans = export_snapshot(tables)
+    moment = "yyyy-MM-dd'T'HH:mm:ss"
+    runs = table(spark, sf, "events").agg(
+        F.lit("live-check").alias("command"),
+        F.date_format(F.min("ts"), moment).alias("started_at"),
+        F.date_format(F.max("ts"), moment).alias("finished_at"),
+    )
+    sheets = live_sheets(
+        tables, annotated, orphans, bound(spark, sf, "b_http_audit"), bound(spark, sf, "b_provider_audit"),
+        bound(spark, sf, "b_reviews"), runs, F.lit("now"), run_id="run-1",
+    )
+    folder = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    exports.publish_sheets(sheets, folder)
+    rates = ("電話番号正解率", "公式サイトprecision", "営業対象precision")
+    return exports.read_published(spark, folder, "検証概要").filter(~F.col("metric").isin(*rates))
+
+
+@check(
+    "audit_appends",
+    with_tables("b_http_audit", "SELECT run_id, count(*) AS entries, sum(id) AS ids FROM b_http_audit GROUP BY run_id"),
+)
+def _audit_appends(spark, sf):
+    audit = bound(spark, sf, "b_http_audit")
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    for part in (0, 1, 0):
+        exports.append_audit(audit.filter(F.col("id") % 2 == part), path, f"part {part}")
+    return spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("entries"), F.sum("id").alias("ids"))
+

@@ -17,6 +17,8 @@ from firmlens.operators.report import (
 )
 from firmlens.operators.review import review_accuracy, reviewed_scores
 from firmlens.session import cut_lineage
+from firmlens.sinks.exports import publish_sheets, write_review_template
+from firmlens.sinks.manifest import Version
 
 
 @dataclass(frozen=True)
@@ -73,3 +75,10 @@ def live_sheets(
         ),
     )
     return dict(zip(LIVE_SHEETS, frames))
+
+
+def publish_live_report(sheets: dict[str, DataFrame], template: DataFrame, folder: str, review_path: str) -> Version:
+    """Publish the eight sheets as one version and write the review template unless one is already there."""
+    published = publish_sheets({name: sheets[name] for name in LIVE_SHEETS}, folder)
+    write_review_template(template, review_path)
+    return published

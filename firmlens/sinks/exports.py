@@ -1,17 +1,18 @@
-"""Export files: all partitions of one snapshot, staged first and published together."""
+"""Export datasets and reports published as versions, and appends that happen once."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from firmlens.operators.export import CSV_FILES, SHEETS, category_rows, csv_rows, sheet_rows
+from firmlens.sinks import manifest
 
-
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+#: Partition column that names the append a row came with.
+BATCH_KEY = "append_key"
 
 
 def _write_csv(rows: DataFrame, path: str) -> None:
@@ -21,68 +22,55 @@ def _write_csv(rows: DataFrame, path: str) -> None:
     ).option("lineSep", "\r\n").csv(path)
 
 
-def publish(spark: SparkSession, staged: dict[str, str], folder: str) -> list[str]:
-    """Move staged datasets into place; on any error every earlier dataset is put back."""
-    system, _ = _file_system(spark, folder)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    token = uuid.uuid4().hex
-    backups, installed = [], []
-
-    def move(source: str, target: str) -> None:
-        if not system.rename(path_of(source), path_of(target)):
-            raise OSError(f"cannot move {source} to {target}")
-
-    try:
-        for name in staged:
-            target, backup = f"{folder}/{name}", f"{folder}/.{name}.{token}.bak"
-            if system.exists(path_of(target)):
-                move(target, backup)
-                backups.append((backup, target))
-        for name, source in staged.items():
-            move(source, f"{folder}/{name}")
-            installed.append(f"{folder}/{name}")
-    except Exception:
-        for target in installed:
-            system.delete(path_of(target), True)
-        for backup, target in backups:
-            move(backup, target)
-        raise
-    for backup, _ in backups:
-        system.delete(path_of(backup), True)
-    return installed
-
-
-def export_all(
-    annotated: DataFrame, orphans: DataFrame, folder: str, sheets: bool = True
-) -> list[str]:
-    """Write the CSV datasets and sheet partitions of one snapshot, all or none.
-
-    The annotated rows are written once to a staging table; every partition reads that table, so all
-    partitions show the same snapshot and the joins run once.
+def read_published(spark: SparkSession, folder: str, name: str, version: int | None = None) -> DataFrame:
+    """A dataset of the newest published version of a folder, or of the given one."""
+    path = f"{folder}/{manifest.current(spark, folder, version).folders[name]}"
+    return spark.read.option("header", True).option("escape", '"').csv(path) if name.endswith(".csv") else spark.read.parquet(path)
+
+
+def export_all(annotated: DataFrame, orphans: DataFrame, folder: str, sheets: bool = True) -> manifest.Version:
+    """Write the CSV datasets and sheet partitions of one snapshot and publish them as one version.
+
+    The annotated rows are written once; every partition reads that table, so all partitions show the same
+    snapshot and the joins run once. A writer that stops half way publishes nothing.
     """
     spark = annotated.sparkSession
-    staging = f"{folder}/.staging-{uuid.uuid4().hex}"
-    system, staging_path = _file_system(spark, staging)
-    staged: dict[str, str] = {}
-    try:
-        annotated.write.parquet(f"{staging}/snapshot")
-        orphans.write.parquet(f"{staging}/orphans")
-        rows = spark.read.parquet(f"{staging}/snapshot")
-        lost = spark.read.parquet(f"{staging}/orphans")
-        for name, category in CSV_FILES.items():
-            staged[f"{name}.csv"] = f"{staging}/{name}.csv"
-            _write_csv(csv_rows(category_rows(rows, lost, category)), staged[f"{name}.csv"])
-        for sheet, category in SHEETS.items() if sheets else ():
-            staged[sheet] = f"{staging}/{sheet}"
-            sheet_rows(category_rows(rows, lost, category)).write.parquet(staged[sheet])
-        return publish(spark, staged, folder)
-    finally:
-        system.delete(staging_path, True)
-
-
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append audit metadata, laid out by run for pruned scans."""
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    base, data = manifest.current(spark, folder), manifest.new_folder()
+    annotated.write.parquet(f"{folder}/{data}/_snapshot")
+    orphans.write.parquet(f"{folder}/{data}/_orphans")
+    rows = spark.read.parquet(f"{folder}/{data}/_snapshot")
+    lost = spark.read.parquet(f"{folder}/{data}/_orphans")
+    written: dict[str, str] = {}
+    for name, category in CSV_FILES.items():
+        written[f"{name}.csv"] = f"{data}/{name}.csv"
+        _write_csv(csv_rows(category_rows(rows, lost, category)), f"{folder}/{data}/{name}.csv")
+    for sheet, category in SHEETS.items() if sheets else ():
+        written[sheet] = f"{data}/{sheet}"
+        sheet_rows(category_rows(rows, lost, category)).write.parquet(f"{folder}/{data}/{sheet}")
+    return manifest.switch(spark, folder, base, written)
+
+
+def publish_sheets(sheets: Mapping[str, DataFrame], folder: str) -> manifest.Version:
+    """Write named report sheets and publish all of them as one version."""
+    spark = next(iter(sheets.values())).sparkSession
+    base, data = manifest.current(spark, folder), manifest.new_folder()
+    for name, rows in sheets.items():
+        rows.write.parquet(f"{folder}/{data}/{name}")
+    return manifest.switch(spark, folder, base, {name: f"{data}/{name}" for name in sheets})
+
+
+def _append(rows: DataFrame, path: str, batch_key: str | None, within: Sequence[str] = ()) -> None:
+    keyed = rows.withColumn(BATCH_KEY, F.lit(batch_key or uuid.uuid4().hex))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*within, BATCH_KEY).parquet(path)
+
+
+def append_audit(rows: DataFrame, path: str, batch_key: str | None = None) -> None:
+    """Append audit metadata, laid out by run for pruned scans.
+
+    Rows of a ``batch_key`` are there once: the same call again replaces what it wrote, run by run, in one commit. Without a key
+    every call adds its rows.
+    """
+    _append(rows, path, batch_key, ["run_id"])
 
 
 def write_review_template(template: DataFrame, path: str) -> None:
@@ -98,5 +86,6 @@ def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
     rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def append_reviews(reviews: DataFrame, path: str, reviewed_at: Column) -> None:
-    reviews.withColumn("reviewed_at", reviewed_at).write.mode("append").parquet(path)
+def append_reviews(reviews: DataFrame, path: str, reviewed_at: Column, batch_key: str | None = None) -> None:
+    """Append reviews with their time; a repeated ``batch_key`` replaces what it wrote."""
+    _append(reviews.withColumn("reviewed_at", reviewed_at), path, batch_key)

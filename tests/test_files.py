@@ -1,15 +1,16 @@
+import pytest
 from pyspark.sql import functions as F
 
 from checks.bindings import bound
 from checks.queries_store import store
 from firmlens.operators.domains import domain_exclusion
-from firmlens.operators.report import LIVE_SHEETS
-from firmlens.plans.export import export_snapshot, live_sheets
-from firmlens.sinks import exports
+from firmlens.operators.report import LIVE_SHEETS, review_template
+from firmlens.plans.export import export_snapshot, live_sheets, publish_live_report
+from firmlens.sinks import exports, manifest
 from firmlens.sources import encoding, rules
 
 
-def test_live_report_has_its_sheets(spark, sf):
+def test_live_report_has_its_sheets(spark, sf, tmp_path):
     tables = store(spark, sf)
     annotated, orphans = export_snapshot(tables)
     runs = spark.createDataFrame(
@@ -27,6 +28,19 @@ def test_live_report_has_its_sheets(spark, sf):
     assert values["終了時刻"] == "" and values["総実行時間"] == ""
     assert scoring.count() > 0
 
+    folder, template = str(tmp_path / "report"), str(tmp_path / "template")
+    assert publish_live_report(sheets, review_template(annotated), folder, template).number == 1
+    assert set(manifest.current(spark, folder).folders) == set(LIVE_SHEETS)
+    for name in LIVE_SHEETS:
+        assert exports.read_published(spark, folder, name).columns == sheets[name].columns
+    shown = exports.read_published(spark, folder, "検索結果").count()
+    assert shown == sheets["検索結果"].count() and spark.read.option("header", True).csv(template).count() == annotated.count()
+
+    broken = dict(sheets, **{"検証概要": sheets["検証概要"].withColumn("value", F.raise_error(F.lit("killed")))})
+    with pytest.raises(Exception, match="killed"):
+        publish_live_report(broken, review_template(annotated), folder, template)
+    assert manifest.current(spark, folder).number == 1 and exports.read_published(spark, folder, "検索結果").count() == shown
+
 
 def test_domain_file(spark, tmp_path):
     path = tmp_path / "domains.txt"
@@ -65,3 +79,17 @@ def test_reviews_are_appended(spark, tmp_path):
     for url in ("a", "b"):
         exports.append_reviews(spark.createDataFrame([(url,)], "url string"), path, F.lit("2024-01-01"))
     assert spark.read.parquet(path).count() == 2
+
+
+def test_a_repeated_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    first = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "run_id string, n int")
+    for key, rows in (("k1", first), ("k2", first.where("run_id = 'a'")), ("k1", first), ("k2", first.where("run_id = 'a'"))):
+        exports.append_audit(rows, path, key)
+    assert sorted((r.run_id, r.n, r.append_key) for r in spark.read.parquet(path).collect()) == [
+        ("a", 1, "k1"), ("a", 1, "k2"), ("b", 2, "k1"), ("b", 3, "k1")
+    ]
+    reviews = str(tmp_path / "again")
+    for _ in range(2):
+        exports.append_reviews(spark.createDataFrame([("u",)], "url string"), reviews, F.lit("2024-01-01"), "import 1")
+    assert spark.read.parquet(reviews).count() == 1

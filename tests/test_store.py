@@ -7,7 +7,7 @@ from checks.queries_store import store
 from firmlens.dims import SafetyLimits
 from firmlens.operators import candidates, export, ordered, queue, robots, safety, stores
 from firmlens.plans.export import export_snapshot
-from firmlens.sinks import exports
+from firmlens.sinks import exports, manifest
 from firmlens.streaming import ingest
 from tests.test_ordered import REQUEST, random_requests, simulate
 
@@ -46,16 +46,15 @@ def test_deduplication_flags_and_merges(spark):
 def test_export_writes_all_or_nothing(spark, sf, tmp_path, monkeypatch):
     annotated, orphans = export_snapshot(store(spark, sf))
     folder = str(tmp_path / "out")
-    exports.export_all(annotated, orphans, folder)
-    written = sorted(path.name for path in (tmp_path / "out").iterdir())
-    assert len(written) == 15 and not any(name.startswith(".staging") for name in written)
-    rows = spark.read.option("header", True).csv(f"{folder}/all_results.csv")
+    assert exports.export_all(annotated, orphans, folder).number == 1
+    written = manifest.current(spark, folder).folders
+    assert len(written) == 15 and all((tmp_path / "out" / path).is_dir() for path in written.values())
+    rows = exports.read_published(spark, folder, "all_results.csv")
     assert rows.columns == list(export.HEADERS.values())
     assert rows.count() == annotated.count()
-    sales = spark.read.parquet(f"{folder}/全件").count()
+    sales = exports.read_published(spark, folder, "全件").count()
     assert sales == annotated.filter("is_sales_row").count()
 
-    before = sorted(path.name for path in (tmp_path / "out" / "errors.csv").iterdir())
     real = exports._write_csv
 
     def fail(frame, path):
@@ -66,8 +65,10 @@ def test_export_writes_all_or_nothing(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(exports, "_write_csv", fail)
     with pytest.raises(OSError, match="disk full"):
         exports.export_all(annotated, orphans, folder)
-    assert sorted(path.name for path in (tmp_path / "out").iterdir()) == written
-    assert sorted(path.name for path in (tmp_path / "out" / "errors.csv").iterdir()) == before
+    assert manifest.current(spark, folder) == manifest.Version(1, written)
+    assert exports.read_published(spark, folder, "全件").count() == sales
+    manifest.forget(spark, folder)
+    assert len(list((tmp_path / "out" / "_data").iterdir())) == 1 and exports.read_published(spark, folder, "全件").count() == sales
 
 
 def test_robots_rules(spark):
