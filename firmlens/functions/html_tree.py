@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 # Elements without content, and elements whose text is not page text.
@@ -110,11 +111,18 @@ class _Builder(HTMLParser):
 
 
 def parse_html(html: str) -> Element:
-    """Parse one document. Markup the parser gives up on is kept up to there, with ``parse_error`` on the root."""
+    """Parse one document. Markup the parser gives up on is kept up to there, with ``parse_error`` on the root.
+
+    Nothing after the last closing bracket can be markup, so it is text (and dropped inside an unclosed script, as
+    the parser does). The parser would find that out by reading to the end once for every unfinished tag.
+    """
     builder = _Builder()
+    cut = html.rfind(">") + 1
     try:
-        builder.feed(html)
+        builder.feed(html[:cut])
         builder.close()
+        if cut < len(html) and builder.cdata_elem is None:
+            builder.handle_data(unescape(html[cut:]))
     except (AssertionError, ValueError) as error:
         builder.root.attrs["parse_error"] = f"{type(error).__name__}: {error}"
     return builder.root

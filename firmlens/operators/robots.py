@@ -84,7 +84,7 @@ def robots_policies(files: DataFrame, user_agent: str) -> DataFrame:
         lambda rule: F.struct(
             rule_specificity(rule["pattern"]).alias("specificity"),
             rule["allow"].alias("allow"),
-            rule_regex(rule["pattern"]).alias("regex"),
+            rule["pattern"].alias("pattern"),
         ),
     )
     per_origin = chosen.groupBy("origin").agg(
@@ -96,22 +96,79 @@ def robots_policies(files: DataFrame, user_agent: str) -> DataFrame:
     return files.select("origin").join(per_origin, "origin", "left")
 
 
+def literal_rules(policies: DataFrame) -> DataFrame:
+    """Rules without a wildcard: origin, ``mark`` (what a path must carry), specificity and whether it is allowed.
+
+    A mark is ``^`` and the beginning of a path, or ``=`` and a whole path for a rule that ends in ``$``. Of equal marks Allow wins.
+    """
+    rule = policies.select("origin", F.explode("rules").alias("rule")).select("origin", "rule.*")
+    plain = rule.filter(~F.contains("pattern", F.lit("*")))
+    whole = plain["pattern"].endswith("$")
+    mark = F.when(whole, F.concat(F.lit("="), F.expr("left(pattern, length(pattern) - 1)"))).otherwise(
+        F.concat(F.lit("^"), "pattern")
+    )
+    return plain.groupBy("origin", mark.alias("mark")).agg(
+        F.max("specificity").alias("specificity"), F.max("allow").alias("allow")
+    )
+
+
+def _wild_rules(policies: DataFrame) -> DataFrame:
+    """Rules with a wildcard per origin: the literal beginning, the regular expression, specificity, allow."""
+    wild = F.filter("rules", lambda rule: F.contains(rule["pattern"], F.lit("*")))
+    return policies.select(
+        "origin", "crawl_delay",
+        F.transform(
+            wild,
+            lambda rule: F.struct(
+                F.substring_index(rule["pattern"], "*", 1).alias("head"),
+                rule_regex(rule["pattern"]).alias("regex"),
+                rule["specificity"].alias("specificity"),
+                rule["allow"].alias("allow"),
+            ),
+        ).alias("wild"),
+    )
+
+
 def robots_decisions(urls: DataFrame, policies: DataFrame) -> DataFrame:
     """Add robots_allowed and crawl_delay to urls.
 
     The longest matching pattern decides and Allow wins ties; no match allows; an origin without a
-    known policy is denied. Each url carries its origin's short rule list, so no url-rule pairs exist.
+    known policy is denied. Literal rules are an index: each distinct path of an origin carries its beginnings of the lengths
+    that the origin's rules have, and these are equi-joined with the rules, so a path costs its length however many rules there are.
+    Only rules with a ``*`` are matched as patterns, after their literal beginning.
     """
     keyed = urls.withColumns(
         {"_origin": fetch_origin(F.col("url")), "_path": robots_path(F.col("url"))}
     )
-    known = policies.select(
-        F.col("origin").alias("_origin"), "rules", "crawl_delay", F.lit(True).alias("_known")
+    literal = literal_rules(policies)
+    # Lengths are at most as many as the longest path has characters, whatever the number of rules.
+    lengths = (
+        literal.filter(F.col("mark").startswith("^")).groupBy("origin")
+        .agg(F.collect_set(F.length("mark") - 1).alias("lengths"))
+    )
+    paths = keyed.select("_origin", "_path").distinct()
+    reach = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda size: size <= F.length("_path"))
+    marks = F.array_append(
+        F.transform(reach, lambda size: F.concat(F.lit("^"), F.substring("_path", F.lit(1), size))),
+        F.concat(F.lit("="), "_path"),
+    )
+    carried = paths.join(lengths.withColumnRenamed("origin", "_origin"), "_origin", "left").select(
+        "_origin", "_path", F.explode(marks).alias("mark")
+    )
+    winners = (
+        carried.join(literal.withColumnRenamed("origin", "_origin"), ["_origin", "mark"])
+        .groupBy("_origin", "_path").agg(F.max(F.struct("specificity", "allow")).alias("_literal"))
+    )
+    known = _wild_rules(policies).select(
+        F.col("origin").alias("_origin"), "wild", "crawl_delay", F.lit(True).alias("_known")
+    )
+    hits = F.filter(
+        "wild", lambda rule: F.col("_path").startswith(rule["head"]) & F.rlike(F.col("_path"), rule["regex"])
     )
-    hits = F.filter("rules", lambda rule: F.rlike(F.col("_path"), rule["regex"]))
-    winner = F.array_max(
-        F.transform(hits, lambda rule: F.struct(rule["specificity"], rule["allow"]))
+    pattern = F.array_max(F.transform(hits, lambda rule: F.struct(rule["specificity"], rule["allow"])))
+    joined = (
+        keyed.join(known, "_origin", "left").join(winners, ["_origin", "_path"], "left")
+        .withColumn("_winner", F.greatest("_literal", pattern))
     )
-    joined = keyed.join(known, "_origin", "left").withColumn("_winner", winner)
     allowed = F.col("_known").isNotNull() & F.coalesce(F.col("_winner.allow"), F.lit(True))
     return joined.select(*urls.columns, allowed.alias("robots_allowed"), "crawl_delay")

@@ -16,11 +16,11 @@ from firmlens.operators.pages import page_features
 def page_profile(pages: DataFrame, domains: Sequence[str] | DataFrame) -> DataFrame:
     """Pages and distinct entities per host, exclusion category and page type.
 
-    One parse, two projections and one aggregation: counting per entity key first keeps a host with a
-    large share of the pages spread over all tasks until its counts are small.
+    Hosts are looked up before the bodies are parsed, so no body is parsed twice. Counting per entity key first keeps a host
+    with a large share of the pages spread over all tasks until its counts are small.
     """
-    parsed = page_features(pages.select("url", "html"), wanted=PAGE_TYPE_FEATURES)
-    typed = with_page_type(domain_exclusion(parsed, domains))
+    known = domain_exclusion(pages.select("url", "html"), domains)
+    typed = with_page_type(page_features(known, wanted=PAGE_TYPE_FEATURES))
     groups = [
         "host", F.coalesce("exclusion_category", F.lit("")).alias("exclusion_category"), "page_type"
     ]

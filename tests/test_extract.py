@@ -213,3 +213,17 @@ def test_mismatches_and_penalties(spark):
     for signal in ("industry_mismatch", "region_mismatch", "ranking", "multiple_companies", "many_external_links"):
         assert signal in row.negative_signals
     assert row.official_score == 0
+
+
+def test_unfinished_markup_is_text_and_read_once():
+    import time
+
+    from firmlens.functions.html_tree import parse_html
+
+    for body in ("<a " * 350_000, "<!-- " * 200_000, '<p><a b="' * 110_000, "<a " * 350_000 + ">"):
+        started = time.perf_counter()
+        parse_html(body)
+        assert time.perf_counter() - started < 2
+    root = parse_html("<p>x</p>y &amp; <a b <!-- c")
+    assert root.children[-1] == "y & <a b <!-- c" and "parse_error" not in root.attrs
+    assert parse_html("<script>if (a > b) c").children[0].children == []

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -92,6 +93,51 @@ def test_robots_rules(spark):
     assert allowed("other/1")["https://a.jp/blocked/"] == (False, 9.0)
 
 
+def matches(pattern, path):
+    """Whether a robots pattern matches a path, one character at a time."""
+    whole = pattern.endswith("$")
+    parts = (pattern[:-1] if whole else pattern).split("*")
+    if not path.startswith(parts[0]):
+        return False
+    at = len(parts[0])
+    for part in parts[1:]:
+        at = path.find(part, at)
+        if at < 0:
+            return False
+        at += len(part)
+    if whole and len(parts) > 1:
+        return path.endswith(parts[-1])
+    return not whole or at == len(path)
+
+
+def test_robots_index_matches_every_rule(spark):
+    rnd = random.Random(6)
+    pieces = ["/", "a", "b", "/x", ".html", "日", "%20", "?q=1", "$"]
+    rules = []
+    for _ in range(60):
+        pattern = "/" + "".join(rnd.choices([*pieces, "*"], k=rnd.randint(0, 4)))
+        rules.append((rnd.random() < 0.4, pattern.rstrip("$") + ("$" if rnd.random() < 0.3 else "")))
+    content = "User-agent: *\n" + "\n".join(f"{'Allow' if allow else 'Disallow'}: {pattern}" for allow, pattern in rules)
+    paths = sorted({"/" + "".join(rnd.choices([p for p in pieces if p not in ("?q=1", "%20")], k=rnd.randint(0, 6))) for _ in range(300)})
+    files = spark.createDataFrame([("https://a.jp", content)], "origin string, content string")
+    urls = spark.createDataFrame([(f"https://a.jp{path}",) for path in paths], "url string")
+    got = {r.url[12:]: r.robots_allowed for r in robots.robots_decisions(urls, robots.robots_policies(files, "x")).collect()}
+    for path in paths:
+        hits = [(len(p.replace("*", "")) - p.endswith("$"), allow) for allow, p in rules if matches(p, path)]
+        assert got[path] == (max(hits)[1] if hits else True), path
+
+
+def test_an_origin_with_many_rules(spark):
+    content = "User-agent: *\n" + "\n".join(f"Disallow: /dir{k}/" for k in range(100_000)) + "\nAllow: /dir7/open$\n"
+    files = spark.createDataFrame([("https://a.jp", content)], "origin string, content string")
+    urls = spark.range(3000).selectExpr("'https://a.jp/dir' || (id * 40) || if(id % 2 = 0, '/x', '') AS url")
+    urls = urls.unionByName(spark.createDataFrame([("https://a.jp/dir7/open",), ("https://a.jp/dir7/opened",)], "url string"))
+    decided = robots.robots_decisions(urls, robots.robots_policies(files, "x"))
+    got = {r.url: r.robots_allowed for r in decided.collect()}
+    assert got["https://a.jp/dir7/open"] and not got["https://a.jp/dir7/opened"]
+    assert sum(not allowed for allowed in got.values()) == 1 + sum(1 for k in range(0, 3000, 2) if k * 40 < 100_000)
+
+
 def test_candidate_outcomes(spark):
     now = F.lit(NOW)
     tasks = spark.createDataFrame(
