@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.bindings import (
@@ -104,6 +105,23 @@ def _expanded(spark, sf):
     return expanded.select(F.col("id").alias("condition_id"), "query_pos", "query")
 
 
+def _synonym_table(spark: SparkSession) -> DataFrame:
+    rows = [(alias, list(terms), place) for place, (alias, terms) in enumerate(SYNONYMS.items())]
+    return spark.createDataFrame(rows, "alias string, terms array<string>, place int")
+
+
+@check(
+    "expanded_queries_by_table",
+    with_tables(
+        "b_conditions",
+        f"WITH {_EXPANDED} SELECT condition_id, query_pos, query FROM expanded WHERE query_pos <= 4",
+    ),
+)
+def _expanded_by_table(spark, sf):
+    expanded = search.expand_queries(bound(spark, sf, "b_conditions"), _synonym_table(spark), max_queries=4)
+    return expanded.select(F.col("id").alias("condition_id"), "query_pos", "query")
+
+
 _PRIORITY = "CASE provider WHEN 'bing_rss' THEN 10 WHEN 'bing_html' THEN 20 ELSE 30 END"
 _SCORED = f"""f1 AS (SELECT *, lower(title || ' ' || snippet || ' ' || url) AS evidence,
     list_distinct(list_transform(list_filter(regexp_extract_all(query, '[^\\s"]+'),
@@ -274,6 +292,19 @@ def _relevance(spark, sf):
     return judged.select("query_id", "provider", "pos", "accepted", "reject_reason")
 
 
+@check(
+    "result_relevance_by_table",
+    with_tables(
+        "b_found",
+        f"""WITH {_RELEVANCE} SELECT query_id, provider, pos, reject_reason IS NULL AS accepted,
+  reject_reason FROM judged""",
+    ),
+)
+def _relevance_by_table(spark, sf):
+    judged = prefetch_relevance(bound(spark, sf, "b_found"), _synonym_table(spark), EXCLUDED)
+    return judged.select("query_id", "provider", "pos", "accepted", "reject_reason")
+
+
 _CAP = 6
 
 

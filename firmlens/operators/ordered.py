@@ -1,9 +1,9 @@
 """Order-dependent building blocks that hold up when one key owns a large share of the rows.
 
 ``top_per_key`` is limited on the map side by Spark's window group limit, so a hot key sends at most
-``k`` rows per task through the shuffle. ``running_totals`` cuts each key into blocks of consecutive
-sequence numbers: a block holds at most ``block_rows`` rows, only one summary row per block is scanned
-in key order, and no task ever holds a whole hot key.
+``k`` rows per task through the shuffle. ``running_totals`` cuts the rows into ranges of equal size by key and
+sequence number: a hot key fills many ranges, only one summary row per key and range is scanned in
+order, and no task ever holds a whole hot key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmlens.session import cut_lineage
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -26,40 +28,48 @@ def top_per_key(
     return ranked if rank else ranked.drop(name)
 
 
+def _placed(rows: DataFrame, keys: Sequence[str], seq: str, parts: int | None) -> DataFrame:
+    """Written rows in ranges of about equal size by key and sequence number, with their range number ``_part``."""
+    order = [*keys, seq]
+    ranged = rows.repartitionByRange(*order) if parts is None else rows.repartitionByRange(parts, *order)
+    return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     seq: str,
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add, per row, the sums and maxima over the *earlier* rows of its key; keys must not be NULL.
 
-    ``seq`` is a whole number that is unique within a key and gives the order. Sums start at 0 and
-    maxima at NULL. Sequence numbers may have gaps; a block spans ``block_rows`` consecutive numbers.
-    The input is read twice, once for the block totals: pass a written table when it is costly.
+    ``seq`` is unique within a key and gives the order; it may be any number, however sparse. Sums start at 0 and
+    maxima at NULL. Ranges are cut by the rows themselves, so a key of any share of the rows is spread over as many ranges
+    as its rows fill. Totals per key and range (one row each) are summed up in order, and rows are numbered inside their
+    range only. ``parts`` is the number of ranges; Spark chooses it otherwise. The ranged rows are written once.
     """
     sums = dict(sums or {})
     maxima = dict(maxima or {})
     inputs = {f"_in_{name}": column for name, column in {**sums, **maxima}.items()}
-    block_keys = [*keys, "_block"]
-    rows = df.withColumns({**inputs, "_block": F.floor(F.col(seq) / F.lit(block_rows))})
+    part_keys = [*keys, "_part"]
+    rows = _placed(df.withColumns(inputs), keys, seq, parts)
 
     totals = [F.sum(f"_in_{name}").alias(f"_tot_{name}") for name in sums]
     totals += [F.max(f"_in_{name}").alias(f"_tot_{name}") for name in maxima]
-    blocks = rows.groupBy(*block_keys).agg(*totals)
+    ranges = rows.groupBy(*part_keys).agg(*totals)
     before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = {f"_off_{name}": F.sum(f"_tot_{name}").over(before) for name in sums}
     offsets |= {f"_off_{name}": F.max(f"_tot_{name}").over(before) for name in maxima}
-    blocks = blocks.withColumns(offsets).select(*block_keys, *offsets)
+    ranges = ranges.withColumns(offsets).select(*part_keys, *offsets)
 
-    # The join puts the rows on (key, block), which is what the window inside a block needs as well.
-    joined = rows.join(blocks, block_keys)
+    # The join puts the rows on (key, range), which is what the window inside a range needs as well.
+    joined = rows.join(ranges, part_keys)
     inside = (
-        Window.partitionBy(*block_keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*part_keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     )
     result = {}
     for name in sums:

@@ -42,12 +42,56 @@ def industry_terms(industry: Column, synonyms: Mapping[str, Sequence[str]]) -> C
     return F.array_distinct(F.concat(F.array(own), found))
 
 
+def _substrings(text: Column) -> Column:
+    """All distinct substrings of a short text, the empty one included."""
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(
+        starts,
+        lambda at: F.transform(
+            F.sequence(F.lit(1), F.length(text) - at + 1), lambda size: F.substring(text, at, size)
+        ),
+    )
+    return F.array_distinct(F.array_append(F.flatten(parts), F.lit("")))
+
+
+def industry_term_rows(industries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """The terms of ``industry_terms`` for every distinct ``industry``, from a synonym table of any length.
+
+    ``synonyms`` has alias, terms and ``place``, the order of the aliases. "Contains", in either direction, is an equi-join on
+    substrings: those of the industries meet the aliases, and those of aliases and terms meet the industries. Both are names of a
+    few words; a text of n characters gives at most n (n + 1) / 2 keys.
+    """
+    distinct = industries.select("industry").where("industry is not null").distinct()
+    lowered = F.array_distinct(F.transform(F.filter("terms", lambda term: F.trim(term) != ""), F.lower))
+    lists = synonyms.select("alias", "place", lowered.alias("terms"))
+    exact = (
+        distinct.join(lists.where(F.size("terms") > 0), F.col("industry") == F.col("alias"))
+        .select("industry", F.col("terms").alias("exact"))
+    )
+    inside = (
+        distinct.select("industry", F.explode(_substrings(F.col("industry"))).alias("alias"))
+        .join(lists, "alias").select("industry", "place", "terms")
+    )
+    names = F.array_append("terms", F.col("alias"))
+    around = (
+        lists.select("place", "terms", F.explode(F.array_distinct(F.flatten(F.transform(names, _substrings)))).alias("industry"))
+        .join(distinct, "industry").select("industry", "place", "terms")
+    )
+    near = inside.unionByName(around).groupBy("industry").agg(F.min_by("terms", "place").alias("near"))
+    found = F.coalesce("exact", "near", F.array().cast("array<string>"))
+    return (
+        distinct.join(exact, "industry", "left").join(near, "industry", "left")
+        .select("industry", F.array_distinct(F.concat(F.array(F.lower("industry")), found)).alias("terms"))
+    )
+
+
 def prefetch_relevance(
-    results: DataFrame, synonyms: Mapping[str, Sequence[str]], excluded_domains: Sequence[str] | DataFrame
+    results: DataFrame, synonyms: Mapping[str, Sequence[str]] | DataFrame, excluded_domains: Sequence[str] | DataFrame
 ) -> DataFrame:
     """Add ``accepted`` and the ``reject_reason`` of a result; needs url, title, snippet, industry.
 
-    Excluded domains are a list or a DataFrame of ``domain`` and ``position``, either of any length.
+    Excluded domains are a list or a DataFrame of ``domain`` and ``position``, either of any length. Synonyms are a short
+    mapping, which becomes one expression, or the DataFrame of ``synonym_rows``, which is joined on the distinct industries.
     """
     blank = F.lit("")
     text = F.lower(
@@ -56,13 +100,12 @@ def prefetch_relevance(
             F.coalesce("url", blank),
         )
     )
-    prepared = results.withColumns(
-        {
-            "_host": F.rtrim(hostname(F.col("url")), F.lit(".")),
-            "_text": text,
-            "_terms": industry_terms(F.col("industry"), synonyms),
-        }
-    )
+    if isinstance(synonyms, DataFrame):
+        terms = industry_term_rows(results, synonyms).withColumnRenamed("terms", "_terms")
+        prepared = results.join(terms, "industry", "left")
+    else:
+        prepared = results.withColumn("_terms", industry_terms(F.col("industry"), synonyms))
+    prepared = prepared.withColumns({"_host": F.rtrim(hostname(F.col("url")), F.lit(".")), "_text": text})
     if isinstance(excluded_domains, DataFrame):
         bare = F.ltrim(F.lower("domain"), F.lit("."))
         listed = excluded_domains.select(bare.alias("domain"), "position")

@@ -44,7 +44,7 @@ def _remove_suffix(text: Column, suffix: str) -> Column:
 def query_variants(
     municipality: Column, industry: Column, synonyms: Mapping[str, Sequence[str]]
 ) -> Column:
-    """Ordered, distinct query texts of one condition; synonyms come from a small rule table."""
+    """Ordered, distinct query texts of one condition; synonyms come from a short mapping."""
     first = second = industry
     for alias, terms in synonyms.items():
         others = [term for term in dict.fromkeys(t.strip() for t in terms if t.strip()) if term != alias]
@@ -52,6 +52,10 @@ def query_variants(
             continue
         first = F.when(industry == alias, others[0]).otherwise(first)
         second = F.when(industry == alias, others[min(1, len(others) - 1)]).otherwise(second)
+    return _variants(municipality, industry, first, second)
+
+
+def _variants(municipality: Column, industry: Column, first: Column, second: Column) -> Column:
     short = _remove_suffix(_remove_suffix(municipality, CITY), WARD)
     variants = F.array(
         F.concat_ws(" ", municipality, industry),
@@ -63,15 +67,29 @@ def query_variants(
     return F.array_distinct(F.transform(variants, py_strip))
 
 
+def _other_terms(synonyms: DataFrame) -> DataFrame:
+    """First and second term of every alias that is not the alias itself; aliases without one are left out."""
+    stripped = F.filter(F.transform("terms", py_strip), lambda term: (term != "") & (term != F.col("alias")))
+    others = synonyms.select(F.col("alias").alias("_alias"), F.array_distinct(stripped).alias("_others")).where(F.size("_others") > 0)
+    return others.select("_alias", F.get("_others", F.lit(0)).alias("_first"), F.get("_others", F.least(F.lit(1), F.size("_others") - 1)).alias("_second"))
+
+
 def expand_queries(
-    conditions: DataFrame, synonyms: Mapping[str, Sequence[str]], max_queries: int = 5
+    conditions: DataFrame, synonyms: Mapping[str, Sequence[str]] | DataFrame, max_queries: int = 5
 ) -> DataFrame:
-    """One row per condition and query, numbered from 1 in template order."""
-    variants = query_variants(
-        py_strip(F.col("municipality")), py_strip(F.col("industry")), synonyms
-    )
-    return conditions.select(
-        "*", F.posexplode(F.slice(variants, 1, max_queries)).alias("_pos", "query")
+    """One row per condition and query, numbered from 1 in template order.
+
+    Synonyms are a short mapping or the DataFrame of ``synonym_rows``, which is joined on its aliases.
+    """
+    municipality, industry = py_strip(F.col("municipality")), py_strip(F.col("industry"))
+    if isinstance(synonyms, DataFrame):
+        joined = conditions.join(_other_terms(synonyms), industry == F.col("_alias"), "left")
+        first, second = (F.coalesce(name, industry) for name in ("_first", "_second"))
+        variants = _variants(municipality, industry, first, second)
+    else:
+        joined, variants = conditions, query_variants(municipality, industry, synonyms)
+    return joined.select(
+        *conditions.columns, F.posexplode(F.slice(variants, 1, max_queries)).alias("_pos", "query")
     ).select(*conditions.columns, (F.col("_pos") + 1).alias("query_pos"), "query")
 
 

@@ -49,7 +49,7 @@ def search_conditions(
     results: DataFrame,
     limits: CollectionLimits,
     providers: Sequence[tuple[str, bool, int]] = PROVIDERS,
-    synonyms: Mapping[str, Sequence[str]] | None = None,
+    synonyms: Mapping[str, Sequence[str]] | DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Queries of the enabled conditions and their merged results.
 
@@ -72,7 +72,7 @@ def search_conditions(
 def discover(
     found: DataFrame,
     limits: CollectionLimits,
-    synonyms: Mapping[str, Sequence[str]] | None = None,
+    synonyms: Mapping[str, Sequence[str]] | DataFrame | None = None,
     excluded_domains: Sequence[str] = EXCLUDED_DOMAINS,
 ) -> DataFrame:
     """Candidates of each condition with the decision taken before any page is read."""
@@ -99,7 +99,7 @@ def collect_conditions(
     now: Column,
     limits: CollectionLimits | None = None,
     providers: Sequence[tuple[str, bool, int]] = PROVIDERS,
-    synonyms: Mapping[str, Sequence[str]] | None = None,
+    synonyms: Mapping[str, Sequence[str]] | DataFrame | None = None,
     excluded_domains: Sequence[str] = EXCLUDED_DOMAINS,
     rules: ScoringRules | None = None,
     keywords: Mapping[str, Sequence[str]] | None = None,

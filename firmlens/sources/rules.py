@@ -27,7 +27,8 @@ def read_excluded_domains(spark: SparkSession, path: str) -> DataFrame:
 def synonym_rows(industries: DataFrame) -> DataFrame:
     """Alias table of industries with ``position``, ``display_name`` and ``keywords``.
 
-    Every display name and keyword is an alias of its group's whole term list; a later group wins.
+    Every display name and keyword is an alias of its group's whole term list; a later group wins. ``place`` is where an
+    alias was first named, which is the order of the table.
     """
     terms = F.array_distinct(
         F.filter(
@@ -36,6 +37,8 @@ def synonym_rows(industries: DataFrame) -> DataFrame:
         )
     )
     exploded = industries.select("position", terms.alias("terms")).select(
-        "position", "terms", F.explode("terms").alias("alias")
+        "position", "terms", F.posexplode("terms").alias("at", "alias")
+    )
+    return exploded.groupBy("alias").agg(
+        F.max_by("terms", "position").alias("terms"), F.min(F.struct("position", "at")).alias("place")
     )
-    return exploded.groupBy("alias").agg(F.max_by("terms", "position").alias("terms"))

@@ -14,7 +14,7 @@ def test_running_totals_over_many_blocks(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), seq, rng.randint(-5, 5)) for seq in rng.sample(range(500), 200)]
     df = spark.createDataFrame(rows, "k string, seq long, v long")
-    got = ordered.running_totals(df, ["k"], "seq", {"s": F.col("v")}, {"m": F.col("v")}, block_rows=7)
+    got = ordered.running_totals(df, ["k"], "seq", {"s": F.col("v")}, {"m": F.col("v")}, parts=7)
     expected = {}
     for key, seq, _ in rows:
         earlier = [v for k, s, v in rows if k == key and s < seq]
@@ -22,6 +22,15 @@ def test_running_totals_over_many_blocks(spark):
     assert {(r.k, r.seq): (r.s, r.m) for r in got.collect()} == expected
 
 
+def test_a_hot_key_with_sparse_numbers_stays_spread(spark):
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, 'cold' || id, 'hot') AS k", "xxhash64(id) AS seq", "id AS v")
+    sizes = [r["count"] for r in ordered._placed(df, ["k"], "seq", 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    got = ordered.running_totals(df, ["k"], "seq", {"n": F.lit(1)}, parts=8).where("k = 'hot'").select("seq", "n").collect()
+    order = sorted(r.seq for r in got)
+    assert len(order) == 18_000 and all(order[r.n] == r.seq for r in got)
+
+
 def test_schedule_follows_the_recurrence(spark):
     rng = random.Random(2)
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
