@@ -19,8 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The first k rows of a key are limited on the map side for every k.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
-    # Page bodies are large: keep Arrow batches small in rows so a batch of HTML fits a Python worker.
+    # Page bodies are large: bound Arrow batches in rows and in bytes so a batch of HTML fits a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
