@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import drop, model_file, written
-from firmlens.llm.segments import PieceMemory, folded, library_memory
+from firmlens.llm.segments import PieceMemory, folded, kept, library_memory
 
 #: Documents per hash block, on average.
 BLOCK_DOCS = 20_000
@@ -51,7 +51,7 @@ class _Lengths:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = None
         for batch in batches:
-            memory = memory or self._memory(self._model.value)
+            memory = memory or kept(f"packing {self._memory.__qualname__}", self._model.value, self._memory)
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = memory(part.column(1))

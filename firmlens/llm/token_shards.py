@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import model_file, written
-from firmlens.llm.segments import ranks_memory
+from firmlens.llm.segments import kept, ranks_memory
 from firmlens.session import checkpoint_dir
 
 _RECORDS = "slot long, shard int, doc_id long, piece int, n_ids int, crc32 long, ids binary"
@@ -71,7 +71,7 @@ class _Sequences:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         memory = None
         for batch in batches:
-            memory = memory or ranks_memory(self._model.value, self._pattern)
+            memory = memory or kept(f"ranks {self._pattern}", self._model.value, lambda model: ranks_memory(model, self._pattern))
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = memory(part.column(1))
@@ -86,12 +86,12 @@ class _Sequences:
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pylist([{"part": part, "number": number, "print": print_}], schema=pa.schema([("part", pa.int32()), ("number", pa.int64()), ("print", pa.int64())]))
 
-    def records(self, first: dict[int, tuple[int, int, int]], total: int, key: int, per_shard: int, kind: str):
+    def records(self, first: Broadcast, total: int, key: int, per_shard: int, kind: str):
         names = [part.split(" ")[0] for part in _RECORDS.split(", ")]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, expected, expected_print = first.get(TaskContext.get().partitionId(), (0, 0, 0))
+            start, expected, expected_print = first.value.get(TaskContext.get().partitionId(), (0, 0, 0))
             number, print_ = 0, 0
             for docs, flat, offsets in self(batches):
                 pieces = (np.diff(offsets) + self._length) // self._length
@@ -173,7 +173,7 @@ def write_shards(
         first[row["part"]] = (total, row["number"], row["print"])
         total += row["number"]
     kind = "<u2" if width == 2 else "<u4"
-    records = source.mapInArrow(maker.records(first, total, key, per_shard, kind), _RECORDS)
+    records = source.mapInArrow(maker.records(spark.sparkContext.broadcast(first), total, key, per_shard, kind), _RECORDS)
     shards = max(1, -(-total // per_shard))
     dealt = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     return written(dealt.mapInArrow(_Writer(folder, length, width), _INDEX))
