@@ -8,22 +8,18 @@ texts are gathered with array operations.
 from __future__ import annotations
 
 import base64
-import hashlib
 import os
-import sys
 from collections.abc import Callable, Sequence
 from itertools import chain
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 
 from firmlens.llm.shingles import text_buffer
 
-#: Distinct pieces, and characters of them, remembered by a worker process; beyond either the memory starts anew.
+#: Distinct pieces, and characters of them, remembered by a task; beyond either the memory starts anew.
 REMEMBERED = 1 << 19
 REMEMBERED_CHARS = 16 << 20
-_SHELF = "_firmlens_piece_memories"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -115,20 +111,6 @@ class PieceMemory:
         return Ids(self._flat[gathered(self._starts[places], lengths)], ends[np.searchsorted(begins, offsets)])
 
 
-def kept(name: str, model: bytes, make: Callable[[bytes], PieceMemory]) -> PieceMemory:
-    """The piece memory of this worker process for a model: later tasks of the process do not learn their pieces again.
-
-    It lies in a module of its own, since the functions of a task are made anew for every task.
-    """
-    shelf = sys.modules.setdefault(_SHELF, ModuleType(_SHELF))
-    key = (name, hashlib.blake2b(model, digest_size=16).hexdigest())
-    held = shelf.__dict__.setdefault("held", {})
-    if key not in held:
-        held.clear()  # one model at a time, so a process that serves several queries does not keep them all
-        held[key] = make(model)
-    return held[key]
-
-
 def library_memory(model: bytes, special_as_text: bool = False, fold: Callable[[str], str] | None = None) -> PieceMemory:
     """Piece memory over a tokenizer file of the ``tokenizers`` library; no special tokens are added.
 

@@ -146,19 +146,11 @@ def test_plan_uses_every_rest_once():
         assert all(a + b == c for (a, b), (c, _) in zip(spans, spans[1:])) and spans[0][0] == 0
 
 
-def test_a_memory_outlives_its_task_and_stays_bounded(monkeypatch):
+def test_a_memory_is_bounded_by_characters(monkeypatch):
     from firmlens.llm import segments
 
-    made = []
-
-    def make(model):
-        made.append(model)
-        return segments.PieceMemory(lambda pieces: (np.zeros(len(pieces), np.int32), np.arange(len(pieces) + 1)))
-
-    one = segments.kept("t", b"a", make)
-    assert segments.kept("t", b"a", make) is one and made == [b"a"]
-    assert segments.kept("t", b"b", make) is not one and segments.kept("t", b"a", make) is not one
+    memory = segments.PieceMemory(lambda pieces: (np.zeros(len(pieces), np.int32), np.arange(len(pieces) + 1)))
     monkeypatch.setattr(segments, "REMEMBERED_CHARS", 100)
-    one(pa.array(["x" * 200]))
-    one(pa.array(["y"]))
-    assert list(one._place) == ["y"]
+    memory(pa.array(["x" * 200]))
+    memory(pa.array(["y"]))
+    assert list(memory._place) == ["y"]
