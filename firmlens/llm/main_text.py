@@ -3,11 +3,14 @@
 Every page is walked once; its containers are scored by the text of their paragraphs, less what is link text, and
 by what their names suggest. The page votes for the generalised tag-class path of its best container. Votes are counted
 per host and path in Spark, so a host with very many pages is a small aggregate; the path with most votes wins.
-Then every page is read again and all its containers with text on the winning path are taken, in page order; a page
-without one uses the path of its own best.
+Then every page is read again by the winning path; a page without a container there uses the path of its own best. Below
+each child of the body that holds such a container, the text is the smallest container around it and around every
+paragraph, so parts beside the winner are kept, however small. Added are main headings, text that stands in the body itself,
+and sections and articles with paragraphs that are children of the body. What is only links is left out, unless it lies on the path.
 
 A container gives a share of its score to the one above, so the innermost container that holds all parts of a content
 beats the largest part. Lists are no containers of their own, and a table gives what it has to the text around it.
+Markup is read forwards once: a page takes time in proportion to its length, finished or not.
 
 How it scales: two narrow reads of the pages; only (host, path) counts are shuffled, and the winners are one row per
 host, joined by Spark's own choice of size.
@@ -16,8 +19,9 @@ host, joined by Spark's own choice of size.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from firmlens.llm.common import written
 
-_TAG = re.compile(r"<!--|<([!?])|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>")
+_START = re.compile(r"<!--|<([!?])|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTED = re.compile(r"(?:[^'\">]++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -51,20 +56,52 @@ _NOISE = frozenset(
 )
 _GOOD = frozenset("article content entry post story text main body blog".split())
 _SAME_AGAIN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_STOPS = frozenset("ul ol dl table div section article main body html td th blockquote header".split())
+_TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
+#: Children of the body that say themselves that they are content.
+_CONTENT = frozenset("article main section".split())
+_RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|copyright\b", re.I)
+#: Characters outside of links that make a block a paragraph.
+PARAGRAPH = 25
 
 
-@dataclass
+@dataclass(eq=False)
 class _Box:
-    """A container of a page; ``blocks`` are numbers of its text blocks, those of its children included."""
+    """A container of a page: its text blocks, those of its children included, are those from ``first`` to ``last``."""
 
-    path: str
+    tag: str
+    step: str
     bonus: float
     parent: _Box | None
+    top: _Box | None = None  # its ancestor that is a child of the body, maybe itself
+    depth: int = 0
     score: float = 0.0
     first: int = 0
     last: int = 0
-    inside: list[int] = field(default_factory=list)
+
+    @property
+    def path(self) -> str:
+        steps, box = [], self
+        while box.parent is not None:
+            steps.append(box.step)
+            box = box.parent
+        return "".join(f">{step}" for step in reversed(steps))
+
+
+class _Common:
+    """The smallest container around all containers given so far; every container is climbed over once."""
+
+    def __init__(self, box: _Box):
+        self.box, self._under = box, {box}
+
+    def add(self, box: _Box) -> None:
+        while box not in self._under:
+            level = box.depth - self.box.depth
+            if level <= 0:
+                self.box = self.box.parent
+                self._under.add(self.box)
+            if level >= 0:
+                self._under.add(box)
+                box = box.parent
 
 
 def _names(attributes: str) -> tuple[str, set[str]]:
@@ -74,20 +111,30 @@ def _names(attributes: str) -> tuple[str, set[str]]:
         for kind, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             if kind.lower() == "class":
-                classes = "".join(f".{name}" for name in sorted({re.sub(r"\d+", "#", name) for name in value.split()}))
+                classes = "".join(f".{name}" for name in sorted({re.sub(r"\d+", "#", name).replace(">", "_") for name in value.split()}))
             words.update(_NAME.findall(value))
     return classes, words
 
 
+def _is_closed(attributes: str) -> bool:
+    """Whether a start tag ends itself; the slash at the end of a bare value does not."""
+    bare = attributes.rstrip()
+    return bare.endswith("/") and (len(bare) == 1 or bare[-2] in " \t\r\n\f\"'")
+
+
 class Page:
     """Blocks and scored containers of one page."""
 
     def __init__(self, html: str):
         self.blocks: list[str] = []
-        self.boxes: list[_Box] = []
-        self._root = _Box("", 0.5, None)
-        self.boxes.append(self._root)
+        self._owners: list[_Box] = []
+        self._paragraphs: list[bool] = []
+        self._alone: set[int] = set()
+        self._root = _Box("", "", 0.5, None)
+        self.boxes: list[_Box] = [self._root]
         self._stack: list[tuple[str, _Box | None, bool]] = []  # tag, box (None: transparent or leaf), dropped
+        self._open_blocks: list[str] = []
+        self._open_tags: list[Counter] = [Counter()]  # open inline tags by block; of blocks in the first one
         self._box = self._root
         self._dropped = 0
         self._text: list[str] = []
@@ -95,32 +142,36 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at, size = 0, len(html)
+        at, size, quotes = 0, len(html), True
         while at < size:
-            found = _TAG.search(html, at)
+            found = _START.search(html, at)
             if not found:
-                rest = html[at:]
-                cut = re.search(r"<[a-zA-Z/!?]", rest)  # an unfinished tag at the end is no text
-                self._add(rest[: cut.start()] if cut else rest)
+                self._add(html[at:])
                 break
             self._add(html[at : found.start()])
             at = found.end()
             if found[0] == "<!--":
                 end = html.find("-->", at)
                 at = size if end < 0 else end + 3
-            elif found[1]:
+                continue
+            if found[1]:
                 end = html.find(">", at)
                 at = size if end < 0 else end + 1
-            elif found[2]:
-                self._close(found[3].lower())
+                continue
+            whole = _QUOTED.match(html, at) if quotes else None
+            end = whole.end() if whole else html.find(">", at) + 1
+            if not end:  # an unfinished tag at the end is no text
+                break
+            quotes = quotes and whole is not None  # a quote that never closes: from here on the next bracket ends a tag
+            tag, attributes, at = found[3].lower(), html[at : end - 1], end
+            if found[2]:
+                self._close(tag)
+            elif tag in _RAW and not _is_closed(attributes):
+                after = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
+                stop = html.find(">", after.end() - 1) if after else -1
+                at = size if stop < 0 else stop + 1
             else:
-                tag = found[3].lower()
-                if tag in _RAW and not found[4].endswith("/"):
-                    end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
-                    stop = html.find(">", end.start()) if end else -1
-                    at = size if stop < 0 else stop + 1
-                else:
-                    self._open(tag, found[4])
+                self._open(tag, attributes)
         self._flush()
         while self._stack:
             self._pop()
@@ -139,10 +190,22 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                self._box.score += max(0.0, len(text) - 2.0 * self._link_chars) * (0.3 if len(text) < 25 else 1.0)
+                own = max(0.0, len(text) - 2.0 * self._link_chars)
+                self._box.score += own * (0.3 if len(text) < PARAGRAPH else 1.0)
+                if own and self._stands_alone(text):
+                    self._alone.add(len(self.blocks))
                 self.blocks.append(text)
+                self._owners.append(self._box)
+                self._paragraphs.append(own >= PARAGRAPH)
         self._link_chars = 0
 
+    def _stands_alone(self, text: str) -> bool:
+        """Whether a block is content wherever its containers are: main headings, and text in the body itself but for rights."""
+        leaf = self._open_blocks[-1] if self._open_blocks else ""
+        if leaf == "h1":
+            return True
+        return self._box is self._root and (leaf == "p" or len(text) >= PARAGRAPH) and not _RIGHTS.match(text)
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._text.append(" ")
@@ -151,39 +214,55 @@ class Page:
             self._flush()
         if tag in _VOID:
             return
-        if tag in _CLOSES_P and any(open_[0] == "p" for open_ in self._stack[-8:]):
+        if tag in _BLOCK and self._open_blocks and self._open_blocks[-1] == "head":
+            self._pop_to("head")
+        if tag in _CLOSES_P and self._open_blocks and self._open_blocks[-1] == "p":
             self._pop_to("p")
         again = _SAME_AGAIN.get(tag)
         if again:
-            for name, _, _ in reversed(self._stack):
+            for name in self._open_blocks[:-3:-1]:  # nothing but a paragraph may lie between
                 if name in again:
                     self._pop_to(name)
                     break
-                if name in _STOPS:
+                if name != "p":
                     break
-        if attributes.rstrip().endswith("/") and tag not in _BLOCK:
+            if tag == "tr" and self._open_blocks and self._open_blocks[-1] == "tr":
+                self._pop_to("tr")
+        if tag not in _BLOCK and _is_closed(attributes):
             return
         classes, words = _names(attributes)
         box, dropped = None, tag in _DROPPED and not (tag == "figure" and self._box is not self._root)
         if tag == "header":
-            dropped = not any(name in ("article", "main") for name, _, _ in self._stack)
+            dropped = not (self._open_tags[0]["article"] or self._open_tags[0]["main"])
         if tag not in ("html", "body", "article", "main") and words & _NOISE and not words & {"article"}:
             dropped = dropped or tag in _BLOCK or tag in ("span", "a")
         if tag == "a":
             self._in_link += 1
         if tag in _BLOCK and tag not in _LEAF and tag not in _LISTS and not dropped and not self._dropped and tag not in ("html", "body"):
             bonus = {"article": 2.0, "main": 1.5}.get(tag, 1.0) * (1.3 if words & _GOOD else 1.0)
-            box = _Box(f"{self._box.path}>{tag}{classes}", bonus, self._box, first=len(self.blocks))
+            box = _Box(tag, tag + classes, bonus, self._box, self._box.top, self._box.depth + 1, first=len(self.blocks))
+            box.top = box.top or box
             self.boxes.append(box)
             self._box = box
         if dropped:
             self._dropped += 1
         self._stack.append((tag, box, dropped))
+        if tag in _BLOCK:
+            self._open_blocks.append(tag)
+            self._open_tags[0][tag] += 1
+            self._open_tags.append(Counter())
+        else:
+            self._open_tags[-1][tag] += 1
 
     def _pop(self) -> None:
         tag, box, dropped = self._stack.pop()
         if tag in _BLOCK:
             self._flush()
+            self._open_blocks.pop()
+            self._open_tags[0][tag] -= 1
+            self._open_tags.pop()
+        else:
+            self._open_tags[-1][tag] -= 1
         if tag == "a":
             self._in_link -= 1
         if dropped:
@@ -205,26 +284,54 @@ class Page:
             self._text.append(" ")
         elif tag in _BLOCK:
             self._flush()
-        for name, _, _ in reversed(self._stack):
-            if name == tag:
-                self._pop_to(tag)
-                return
-            if tag not in _BLOCK and name in _BLOCK:  # an inline end tag does not reach out of its block
-                return
+        if self._open_tags[0 if tag in _BLOCK else -1][tag]:  # an inline end tag does not reach out of its block
+            self._pop_to(tag)
+
+    def _on(self, path: str) -> list[_Box]:
+        """Containers with blocks on ``path``, in page order."""
+        steps = path.split(">")[1:]
+        agreeing, found = set(), []
+        for box in self.boxes:
+            if box.parent is None or box.depth <= len(steps) and box.parent in agreeing and box.step == steps[box.depth - 1]:
+                agreeing.add(box)
+                if box.depth == len(steps) and box.last > box.first:
+                    found.append(box)
+        return found
 
     def best(self, path: str | None = None) -> _Box | None:
         """The container with the highest score, the first of equals; only those on ``path`` if it is given."""
         chosen = None
-        for box in self.boxes:
-            if (path is None or box.path == path) and box.last > box.first:
-                if chosen is None or box.score * box.bonus > chosen.score * chosen.bonus:
-                    chosen = box
+        for box in self.boxes if path is None else self._on(path):
+            if box.last > box.first and (chosen is None or box.score * box.bonus > chosen.score * chosen.bonus):
+                chosen = box
         return chosen
 
     def text(self, box: _Box | None) -> str:
-        """Blocks of ``box`` and of the other containers with text on its path, in page order."""
-        same = [other for other in self.boxes if other is box or box and other.path == box.path and other.score > 0]
-        return "\n\n".join(block for other in same for block in self.blocks[other.first : other.last])
+        """The main text of the page by the path of ``box``, blocks in page order.
+
+        Cells of a table on the path that hold only links are menus; any other container there is content.
+        """
+        if box is None:
+            return ""
+        winners = [other for other in self._on(box.path) if other is box or other.score > 0 or other.tag not in _TABLE_PARTS]
+        regions: dict[_Box | None, _Common] = {}
+        for winner in winners:
+            if winner.top in regions:
+                regions[winner.top].add(winner)
+            else:
+                regions[winner.top] = _Common(winner)
+        for owner, paragraph in zip(self._owners, self._paragraphs):
+            top = owner.top
+            if paragraph and top in regions:
+                regions[top].add(owner)
+            elif paragraph and top is not None and top.tag in _CONTENT:
+                regions[top] = _Common(owner)
+        kept = set(self._alone)
+        for region in (common.box for common in regions.values()):
+            kept.update(at for at in range(region.first, region.last) if self._owners[at] is region or self._owners[at].score > 0)
+        for winner in winners:
+            kept.update(range(winner.first, winner.last))
+        return "\n\n".join(self.blocks[at] for at in sorted(kept))
 
 
 class _Vote:

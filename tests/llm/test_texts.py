@@ -1,6 +1,7 @@
 """Main text, license scan, line quality, chat templates, vector search and the pipeline."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -60,6 +61,90 @@ def test_no_part_of_the_content_is_left_out(spark):
     assert left.text(left.best()) == a.strip()
 
 
+def _one(html: str) -> list[str]:
+    page = Page(html)
+    return page.text(page.best()).split("\n\n")
+
+
+def test_parts_beside_the_winning_container_are_kept():
+    body, long = BODY.strip(), (BODY * 12).strip()
+    links = "".join(f"<li><a href=/{k}>read this other page number {k} as well</a></li>" for k in range(9))
+    listed = [f"read this other page number {k} as well" for k in range(9)]
+    assert _one(f"<div class=wrap><section class=intro>{body}</section><section class=body>{long}</section></div>") == [body, long]
+    assert _one(f"<body><p>{body}</p><p>Ok.</p><div class=more><p>{long}</p></div><p>&copy; 2024 the makers of this page</p>") == [body, "Ok.", long]
+    assert _one(f"<body><h1>Head</h1><div class=post><p>{long}</p></div>") == ["Head", long]
+    assert _one(f"<body><div class=t><h1>Head</h1></div><div class=post><p>{long}</p></div>") == ["Head", long]
+    assert _one(f"<body><div class=post><p>{long}</p></div><div class=post><ul>{links}</ul></div>") == [long, *listed]
+    assert _one(f"<body><div class=c><div class=x><a href=/>{body}</a></div><div class=y><p>{body}</p></div><div class=z>{long}</div></div>") == [body, long]
+    assert _one(f"<head><meta charset=utf-8><body><p>{long}</p>") == [long]
+    assert _one(f"<body><article><p>{body}</p></article><article class=b><p>{long}</p></article><section><p>{body}</p></section>") == [body, long, body]
+    nested = "<p>" + "<b>" * 30 + body + f"<div>{long}</div>"
+    assert _one(nested) == [body, long]
+    assert _one(f"<table><tr><td>{body}<tr><td>{long}</table>") == [body, long]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '>' ", "<div>", "<b>", "</i>", "<p><i>", "<ul><li><center>", "<a class=\"", "<!--", "<script>", "<td>", "&amp", "<h1>x", "<div>long enough to be a paragraph of its own "])
+def test_any_markup_is_read_in_linear_time(unit):
+    start = time.perf_counter()
+    page = Page(f"<p>{BODY}" + unit * (1_000_000 // len(unit)) + "\"</i></b>" * 1000)
+    page.text(page.best())
+    assert time.perf_counter() - start < 8
+
+
+def test_generated_pages_give_their_known_blocks(spark):
+    """Pages are built from a tree of content and noise; the expected text is the list of content blocks as built."""
+    rng = np.random.default_rng(3)
+    words = "alpha beta gamma delta wörter naïve &amp; &lt;tag&gt; 10&nbsp;% epsilon zeta".split(" ")
+
+    def prose() -> tuple[str, str]:
+        picked = [words[k] for k in rng.integers(0, len(words), int(rng.integers(12, 60)))]
+        marked = " ".join(f"<b>{word}</b>" if rng.random() < 0.1 else word for word in picked)
+        plain = " ".join(picked).replace("&nbsp;", " ").replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+        return marked.replace(" ", rng.choice([" ", "\n ", "\t"])), plain
+
+    noise = [
+        lambda: f"<nav><ul><li><a href=/>{prose()[0]}</a></li></ul></nav>", lambda: f"<div class='ad box'>{prose()[0]}</div>",
+        lambda: f"<aside>{prose()[0]}</aside>", lambda: f"<div id=comments><p>{prose()[0]}</p></div>", lambda: f"<form><p>{prose()[0]}<input></p></form>",
+        lambda: "<script>if (a < b) { x = '<p>no</p>' }</script>", lambda: "<style>p > b { margin: 0 }</style>", lambda: f"<!-- <p>{prose()[0]}</p> -->",
+        lambda: f"<div class=cookie-notice>{prose()[0]}</div>",
+    ]
+
+    def content(depth: int, out: list[str]) -> str:
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            kind = rng.integers(0, 7)
+            if kind == 0 and depth < 4:
+                tag = rng.choice(["div", "section"])
+                parts.append(f"<{tag} class=part{rng.integers(0, 9)}>{content(depth + 1, out)}</{tag}>")
+            elif kind == 1:
+                parts.append(rng.choice(noise)())
+            elif kind == 2:
+                items = [prose() for _ in range(3)]
+                parts.append("<ul>" + "".join(f"<li>{item[0]}" for item in items) + "</ul>")
+                out.extend(item[1] for item in items)
+            else:
+                marked, plain = prose()
+                parts.append(rng.choice([f"<p>{marked}</p>", f"<p>{marked}", f"<blockquote>{marked}</blockquote>", f"<h2>{marked}</h2>"]))
+                out.append(plain)
+        return "".join(parts)
+
+    rows, expected = [], {}
+    for k in range(300):
+        host, blocks = k % 6, []
+        opening = ["<article>", "<main>", "<div class='post p12'>", "<div id=x><div class=text>", "<section>", "<article class=story><div>"][host]
+        closing = "".join(f"</{tag}>" for tag in reversed(re.findall(r"<(\w+)", opening)))
+        head = f"<h1>Head {k}</h1>" if rng.random() < 0.5 else ""
+        inner = content(0, blocks)
+        if not blocks:
+            marked, plain = prose()
+            inner, blocks = inner + f"<p>{marked}</p>", [plain]
+        page = f"<html><head><title>no</title></head><body><header>{prose()[0]}</header>{rng.choice(noise)()}{opening}{head}{inner}{closing}{rng.choice(noise)()}<footer>{prose()[0]}</footer>"
+        rows.append((k, f"https://h{host}.example/{k}", page))
+        expected[k] = "\n\n".join([f"Head {k}"] * bool(head) + blocks)
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [k for k in expected if got[k] != expected[k]] == []
+
+
 def test_licenses_are_found_where_they_are(spark):
     texts = notices()
     mit = texts["MIT"].split()
