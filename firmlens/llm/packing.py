@@ -3,13 +3,14 @@
 Every document is cut into full windows and one rest. Full windows are sequences of their own. For the rests,
 shallow combinations (two to six lengths that fill a window) are enumerated, and repeat counts x >= 0 are
 solved so that the lengths they use come as near to the histogram of rests as can be; rounded down to what is
-there, they are exact fills without any cut. Rests left over are cut at their powers of two and laid out in
-descending size, where no piece crosses a border, so only the last sequence has padding.
+there, they are exact fills without any cut. Rests left over are packed greedily: longest first, each where the one
+before ends, and one that crosses the end of its sequence is cut there. So a rest is cut once at most, a sequence begins
+and ends inside at most two rests, and only the last sequence has padding.
 
 How it scales: the plan sees the histogram only (at most ``window`` - 1 lengths). A document's place follows
-from its number among the rests of its length: a number inside a small hash block of documents plus the count of
-earlier blocks, so a length that a third of all documents have is never sorted in one task. Texts are read once;
-checksums of every piece that the plan may choose are computed there, so ids are never moved.
+from its number among the rests of its length: a number counted inside its task plus the count of earlier tasks, which is
+joined by task and length, so nothing is sorted and a length or text that a third of all documents have is no hot key.
+Texts are read once; the ids of rests are kept in the written table, two bytes each, for the checksums of cut ones.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import drop, model_file, written
 from firmlens.llm.segments import PieceMemory, folded, library_memory
 
-#: Documents per hash block, on average.
-BLOCK_DOCS = 20_000
 #: Lengths in a combination at most, and pairs of lengths kept per sum as its building stones.
 DEPTH = 6
 PAIRS = 6
@@ -34,7 +34,7 @@ PAIRS = 6
 ROUNDS = 120
 ENUMERATIONS = 4
 
-_LENGTHS = "doc_id long, tokens long, full array<long>, rest int, rest_crc long, parts array<long>"
+_LENGTHS = "doc_id long, tokens long, full array<long>, rest int, rest_crc long, ids binary, part int, near long, full_near long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,41 +43,42 @@ def _memory(model: bytes) -> PieceMemory:
 
 
 class _Lengths:
-    """Ids of every document: their number and the checksums of all pieces that a plan may choose."""
+    """Every document's number of ids, checksums of its full windows, its rest, and its numbers inside the task."""
 
     def __init__(self, model, end_id: int, window: int, memory: Callable[[bytes], PieceMemory]):
         self._model, self._end, self._window, self._memory = model, end_id, window, memory
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = None
+        names = [part.split(" ")[0] for part in _LENGTHS.split(", ")][1:]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        memory, task = None, TaskContext.get().partitionId()
+        rests, fulls = np.zeros(self._window, dtype=np.int64), 0
         for batch in batches:
             memory = memory or self._memory(self._model.value)
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = memory(part.column(1))
-                flat = ids.flat.astype(np.uint32)
-                rows = [self._row(flat[a:b]) for a, b in zip(ids.offsets[:-1].tolist(), ids.offsets[1:].tolist())]
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(column, kind) for column, kind in zip(zip(*rows), kinds))],
-                    names=["doc_id", "tokens", "full", "rest", "rest_crc", "parts"],
-                )
+                flat, rows = ids.flat.astype(np.uint32), []
+                for start, stop in zip(ids.offsets[:-1].tolist(), ids.offsets[1:].tolist()):
+                    row = self._row(flat[start:stop])
+                    rows.append((*row, task, int(rests[row[2]]), fulls))
+                    rests[row[2]] += 1
+                    fulls += len(row[1])
+                columns = (pa.array(column, kind) for column, kind in zip(zip(*rows), kinds))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
 
     def _row(self, own: np.ndarray) -> tuple:
         ids = np.append(own, np.uint32(self._end)).astype("<u4")
         cut = len(ids) // self._window * self._window
         full = [zlib.crc32(ids[a : a + self._window]) for a in range(0, cut, self._window)]
         rest = ids[cut:]
-        parts, at = [], 0
-        for size in _powers(len(rest)):
-            parts.append(zlib.crc32(rest[at : at + size]))
-            at += size
-        return len(ids), full, len(rest), zlib.crc32(rest), parts
+        short = not len(rest) or rest.max() < 1 << 16
+        return len(ids), full, len(rest), zlib.crc32(rest), (rest.astype("<u2") if short else rest).tobytes()
 
 
-def _powers(length: int) -> list[int]:
-    """The powers of two of a length, largest first."""
-    return [1 << bit for bit in range(length.bit_length() - 1, -1, -1) if length >> bit & 1]
+def _unsigned(raw: bytes, count: int) -> np.ndarray:
+    """The ``count`` ids in ``raw``, which have two or four bytes each."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * count else "<u4").astype("<u4")
 
 
 def _best_pairs(have: np.ndarray, window: int) -> dict[int, np.ndarray]:
@@ -209,15 +210,10 @@ class Plan:
         self.exact_sequences = sequence
         self._covered = taken
         self._slots = [np.array(rows, dtype=np.int64).reshape(-1, 3) for rows in slots]
-        lengths = np.arange(len(counts))
-        self._line: dict[tuple[int, int], int] = {}
-        place = 0
-        for bit in range(int(window).bit_length() - 1, -1, -1):
-            for length in lengths[(lengths >> bit & 1 == 1) & (left > 0)].tolist():
-                self._line[length, 1 << bit] = place
-                place += int(left[length]) << bit
+        ahead = np.cumsum((left * np.arange(len(counts)))[::-1])[::-1]  # ids of rests of this length or longer
+        self._line = np.append(ahead[1:], 0)
         self._window = window
-        self.line_sequences = -(-place // window)
+        self.line_sequences = -(-int(ahead[0]) // window)
 
     def pieces(self, length: int, number: int) -> list[tuple[int, int, int, int]]:
         """(start in the rest, length, sequence, offset) of the rest with this number among those of its length."""
@@ -225,12 +221,11 @@ class Plan:
             rows = self._slots[length]
             first, sequence, offset = rows[np.searchsorted(rows[:, 0], number, side="right") - 1]
             return [(0, length, int(sequence + number - first), int(offset))]
-        out, at = [], 0
-        for size in _powers(length):
-            place = self._line[length, size] + (number - int(self._covered[length])) * size
-            out.append((at, size, self.exact_sequences + place // self._window, place % self._window))
-            at += size
-        return out
+        place = int(self._line[length]) + (number - int(self._covered[length])) * length
+        sequence, offset = self.exact_sequences + place // self._window, place % self._window
+        head = min(length, self._window - offset)
+        first = (0, head, sequence, offset)
+        return [first] if head == length else [first, (head, length - head, sequence + 1, 0)]
 
 
 class _Place:
@@ -249,8 +244,9 @@ class _Place:
                     continue
                 start = len(doc["full"]) * self._window
                 pieces = self._plan.pieces(doc["rest"], doc["number"])
-                crcs = [doc["rest_crc"]] if len(pieces) == 1 else doc["parts"]
-                for (at, length, sequence, offset), crc in zip(pieces, crcs):
+                ids = _unsigned(doc["ids"], doc["rest"]) if len(pieces) > 1 else None
+                for at, length, sequence, offset in pieces:
+                    crc = doc["rest_crc"] if ids is None else zlib.crc32(ids[at : at + length])
                     rows.append((doc["doc_id"], start + at, length, crc, doc["tokens"], sequence, offset))
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in columns], names=names)
@@ -258,25 +254,15 @@ class _Place:
 
 def _numbered(lengths: DataFrame) -> DataFrame:
     """Adds ``number`` (among rests of that length) and ``full_before`` (full windows of earlier documents)."""
-    total = lengths.count()
-    blocks = max(1, -(-total // BLOCK_DOCS))
-    keyed = lengths.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens", "rest_crc"), F.lit(blocks)))
-    order = ("doc_id", "tokens", "rest_crc", "full", "parts")
-    inside = Window.partitionBy("block", "rest").orderBy(*order)
-    running = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    near = keyed.withColumn("near", F.row_number().over(inside) - 1).withColumn(
-        "full_near", F.coalesce(F.sum(F.size("full")).over(running), F.lit(0))
+    counted = written(lengths.groupBy("part", "rest").agg(F.count("*").alias("many"), F.sum(F.size("full")).alias("fulls")))
+    earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rests = counted.select("part", "rest", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("rests_before"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    fulls = counted.groupBy("part").agg(F.sum("fulls").alias("fulls")).select(
+        "part", F.coalesce(F.sum("fulls").over(before), F.lit(0)).alias("fulls_before")
     )
-    earlier = Window.partitionBy("rest").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    rests = keyed.groupBy("block", "rest").agg(F.count("*").alias("many")).select(
-        "block", "rest", F.coalesce(F.sum("many").over(earlier), F.lit(0)).alias("rests_before")
-    )
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    fulls = keyed.groupBy("block").agg(F.sum(F.size("full")).alias("many")).select(
-        "block", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("fulls_before")
-    )
-    return near.join(rests, ["block", "rest"]).join(fulls, "block").select(
-        "doc_id", "tokens", "full", "rest", "rest_crc", "parts",
+    return lengths.join(rests.join(fulls, "part"), ["part", "rest"]).select(
+        "doc_id", "tokens", "full", "rest", "rest_crc", "ids",
         (F.col("near") + F.col("rests_before")).alias("number"), (F.col("full_near") + F.col("fulls_before")).alias("full_before"),
     )
 
@@ -288,8 +274,8 @@ def pack(docs: DataFrame, model_path: str, window: int = 2048, end_id: int = 1,
     Repeated rows are packed once each, a null id like any other; further columns are left out. An empty
     table gives no rows. All sequences are full but for one; their numbers are dense from 0.
     """
-    if window < 2 or window & (window - 1):
-        raise ValueError("the window must be a power of two")
+    if window < 2:
+        raise ValueError("the window must hold two ids or more")
     model = model_file(docs.sparkSession, model_path)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lengths = written(source.mapInArrow(_Lengths(model, end_id, window, _memory), _LENGTHS))

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -146,6 +147,36 @@ def test_plan_uses_every_rest_once():
         assert all(a + b == c for (a, b), (c, _) in zip(spans, spans[1:])) and spans[0][0] == 0
 
 
+@pytest.mark.parametrize("counts, window", [({1500: 100_000}, 2048), ({1025: 3, 1: 5000, 2047: 40}, 2048), ({2: 7}, 3), ({}, 2048)])
+def test_residuals_are_cut_once_at_most(counts, window):
+    lengths = np.zeros(window, dtype=np.int64)
+    for length, many in counts.items():
+        lengths[length] = many
+    plan = Plan(lengths, window)
+    total, cuts, free = 0, 0, defaultdict(int)
+    for length, many in counts.items():
+        for number in range(many):
+            pieces = plan.pieces(length, number)
+            assert len(pieces) <= 2 and sum(piece[1] for piece in pieces) == length
+            total, cuts = total + length, cuts + len(pieces) - 1
+            for _, size, sequence, _ in pieces:
+                free[sequence] += size
+    assert len(free) == plan.exact_sequences + plan.line_sequences == -(-total // window)
+    assert sum(size < window for size in free.values()) <= 1 and cuts <= plan.line_sequences
+
+
+def test_windows_of_any_size_and_equal_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    given = [(k, t) for k, t in enumerate(texts(40, 9))]
+    docs = frame(spark, given).repartition(5)
+    check_pieces(pack(docs, path, window=37).collect(), given, 37)
+    same = frame(spark, [(None, None)] * 300 + [(5, "one two three four")] * 300).repartition(7)
+    rows = pack(same, path, window=64).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert sum(length for _, _, length in places) == 300 + 300 * 5 and len(rows) <= 600 + 29
+    assert all(b == ((a[0], a[1] + a[2]) if a[1] + a[2] < 64 else (a[0] + 1, 0)) for a, b in zip(places, [p[:2] for p in places[1:]]))
+
+
 def test_a_memory_is_bounded_by_characters(monkeypatch):
     from firmlens.llm import segments
 
