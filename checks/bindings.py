@@ -69,6 +69,14 @@ def _binding(name: str, sql_source: str, columns: Columns):
     return register
 
 
+#: Number of pages as a column of ``source``; page ids run from 0.
+_COUNTED = "(SELECT *, (SELECT count(*) FROM pages) AS n_pages FROM {0}) AS counted"
+
+
+def _counted(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    return table(spark, sf, source).withColumn("n_pages", F.lit(table(spark, sf, "pages").count()))
+
+
 def bound(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Store table as a Spark frame."""
     source, _, columns = SOURCES[name]
@@ -310,10 +318,10 @@ def _progress(spark, sf):
 
 @_binding(
     "b_errors",
-    "events WHERE event_type = 'error'",
+    f"{_COUNTED.format('events')} WHERE event_type = 'error'",
     {
         "id": "event_id",
-        "page_id": "CASE WHEN event_id % 2 = 0 THEN event_id % 250 END",
+        "page_id": "CASE WHEN event_id % 2 = 0 THEN event_id % n_pages END",
         "progress_id": "event_id - 1",
         "error_type": "'kind' || CAST(event_id % 3 AS STRING)",
         "message": "'props ' || props",
@@ -321,7 +329,7 @@ def _progress(spark, sf):
     },
 )
 def _errors(spark, sf):
-    return table(spark, sf, "events").filter("event_type = 'error'")
+    return _counted(spark, sf, "events").filter("event_type = 'error'")
 
 
 @_binding(
@@ -351,7 +359,7 @@ def _requests(spark, sf):
 
 @_binding(
     "b_reviews",
-    "labels JOIN pages ON page_id = doc_id % 250",
+    f"{_COUNTED.format('labels')} JOIN pages ON page_id = doc_id % n_pages",
     {
         "id": "doc_id",
         "url": "CASE WHEN doc_id % 3 = 0 THEN split_part(url, '?', 1) "
@@ -372,8 +380,8 @@ def _requests(spark, sf):
     },
 )
 def _reviews(spark, sf):
-    return table(spark, sf, "labels").join(
-        table(spark, sf, "pages").select("page_id", "url"), F.expr("page_id = doc_id % 250")
+    return _counted(spark, sf, "labels").join(
+        table(spark, sf, "pages").select("page_id", "url"), F.expr("page_id = doc_id % n_pages")
     )
 
 
