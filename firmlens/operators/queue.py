@@ -53,13 +53,14 @@ def apply_outcomes(progress: DataFrame, outcomes: DataFrame, now: Column) -> tup
     """Finish running tasks; return the next snapshot and the illegal transitions.
 
     ``outcomes`` has id, action (complete, fail, retry or cursor), error, available_at and cursor.
-    Only a running task may change; any other target is reported instead of applied.
+    Only a running task may change; any other target is reported instead of applied. Outcomes carry error texts whose length no
+    estimate knows, so both sides are shuffled instead of broadcasting one.
     """
     changes = outcomes.select(
         "id", "action", F.col("error").alias("_error"), F.col("available_at").alias("_available"),
         F.col("cursor").alias("_cursor"),
     )
-    joined = progress.join(changes, "id", "left")
+    joined = progress.join(changes.hint("merge"), "id", "left")
     legal = F.col("action").isNotNull() & (F.col("status") == "running")
     action = F.when(legal, F.col("action")).otherwise("")
     status = (

@@ -189,6 +189,19 @@ def test_queue_round(spark):
     assert [r.id for r in queue.claimable(updated, now, 9).collect()] == [3]
 
 
+def test_outcomes_with_long_errors_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(50).selectExpr(
+        "id", "'t' AS task_key", "'{}' AS payload", "'running' AS status", "CAST(NULL AS STRING) AS cursor", "1 AS attempts",
+        "CAST(NULL AS STRING) AS last_error", "CAST(NULL AS TIMESTAMP) AS available_at", "CAST(NULL AS TIMESTAMP) AS updated_at",
+    )
+    rows.write.parquet(str(tmp_path / "progress"))
+    progress = spark.read.parquet(str(tmp_path / "progress"))
+    outcomes = progress.selectExpr("id", "'fail' AS action", "repeat('e', 2005) AS error", "available_at", "cursor")
+    updated, _ = queue.apply_outcomes(progress, outcomes, F.lit(NOW))
+    assert "BroadcastExchange" not in updated._jdf.queryExecution().executedPlan().toString()
+    assert {(r.status, len(r.last_error)) for r in updated.collect()} == {("failed", 2005)} and updated.count() == 50
+
+
 def test_sales_target_needs_a_phone(spark):
     rows = spark.createDataFrame([(True, False), (True, True), (None, True)], "is_business_target boolean, has_phone boolean")
     from firmlens.operators.score import counts_as_target
