@@ -34,9 +34,12 @@ _ROW = (
 
 
 def _written(lines: DataFrame) -> str:
-    """Folder of text files, one per ``file_no``, with the given lines in ``n`` order."""
+    """Folder of text files, one per ``file_no``, with the given lines in ``n`` order.
+
+    Opening the files is the work, not their bytes, so the number of tasks is given and not left to the size of the rows.
+    """
     folder = f"{checkpoint_dir(lines.sparkSession)}/files-{uuid.uuid4().hex}"
-    ordered = lines.repartition("file_no").sortWithinPartitions("file_no", "n").select("file_no", "line")
+    ordered = lines.repartition(4 * lines.sparkSession.sparkContext.defaultParallelism, "file_no").sortWithinPartitions("file_no", "n").select("file_no", "line")
     ordered.write.partitionBy("file_no").text(folder)
     return folder
 

@@ -5,7 +5,8 @@ CP932, so the structure is found before the charset is known. A first pass sums
 between records and once as if it began inside a quoted field: how many records begin in it, and whether it ends
 inside quotes. Folding these sums over a file in order (one entry per split) gives where each split really begins and the number of
 its first record; the same pass tells which charset decodes the whole file. The second pass cuts the records. One that
-crosses splits leaves a fragment in each, and fragments of equal numbers are joined and cut again.
+crosses splits leaves a fragment in each, and fragments of equal numbers are joined and cut again. Both passes write their
+result, so headers and records do not read the files again.
 
 Driver and tasks get the exceptions only: splits that begin inside quotes, and files that are not UTF-8.
 """
@@ -29,7 +30,6 @@ from firmlens.functions.text import py_strip
 from firmlens.session import cut_lineage
 
 _SUMS = "path string, start long, size long, held long, utf8 boolean, cp932 boolean, begun0 long, open0 boolean, begun1 long, open1 boolean"
-_PLACES = "path string, start long, inside boolean, first long, encoding string"
 _RECORDS = "path string, start long, at long, fields array<string>, fragment string"
 #: Records sent together.
 _ROWS = 4096
@@ -102,19 +102,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema=schema)
 
 
-def _placed(sums: pa.Table) -> pa.Table:
-    """The splits of one file in order: whether each begins inside quotes, the number of its first record, the charset."""
-    rows = sorted(sums.to_pylist(), key=lambda row: row["start"])
-    # The text source drops a byte order mark: the lines and their ends, the last one counted or not, are three bytes short.
-    marked = sum(row["held"] for row in rows) <= rows[0]["size"] - 2
-    charset = "cp932" if not marked and all(row["cp932"] for row in rows) else None
-    if all(row["utf8"] for row in rows):
-        charset = "utf-8-sig" if marked else "utf-8"
-    out, inside, first = [], False, 0
-    for row in rows:
-        out.append({"path": row["path"], "start": row["start"], "inside": inside, "first": first, "encoding": charset})
-        first, inside = first + row["begun1" if inside else "begun0"], row["open1" if inside else "open0"]
-    return pa.Table.from_pylist(out, schema=_arrow(_PLACES))
+def _placed(sums: DataFrame) -> DataFrame:
+    """The splits of every file in order: whether each begins inside quotes, the number of its first record, the charset."""
+    splits = sums.groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("start", "begun0", "open0", "begun1", "open1"))).alias("_splits"),
+        # The text source drops a byte order mark: the lines and their ends, the last one counted or not, are three bytes short.
+        (F.sum("held") <= F.first("size") - 2).alias("_marked"), F.min("utf8").alias("_utf8"), F.min("cp932").alias("_cp932"),
+    )
+    begin = F.expr("named_struct('inside', false, 'first', 0L, 'placed', CAST(array() AS array<struct<start: bigint, inside: boolean, first: bigint>>))")
+
+    def after(before: Column, split: Column) -> Column:
+        inside = before["inside"]
+        return F.struct(
+            F.when(inside, split["open1"]).otherwise(split["open0"]).alias("inside"),
+            (before["first"] + F.when(inside, split["begun1"]).otherwise(split["begun0"])).alias("first"),
+            F.concat(before["placed"], F.array(F.struct(split["start"].alias("start"), inside.alias("inside"), before["first"].alias("first")))).alias("placed"),
+        )
+
+    utf8 = F.when(F.col("_marked"), "utf-8-sig").otherwise("utf-8")
+    charset = F.when(F.col("_utf8"), utf8).when(~F.col("_marked") & F.col("_cp932"), "cp932")
+    placed = F.aggregate("_splits", begin, after, lambda done: done["placed"])
+    return splits.select("path", F.explode(placed).alias("s"), charset.alias("encoding")).select("path", "s.start", "s.inside", "s.first", "encoding")
 
 
 class _Cut:
@@ -157,14 +165,17 @@ class CsvFiles:
 
         Cells are trimmed, missing ones empty; the last column of a name wins; records without any text are left out.
         """
-        named = headers.select("path", "encoding", F.col("columns").alias("_names")).withColumn("_keys", F.array_distinct("_names"))
-        slots = F.transform("_keys", lambda name: F.size("_names") - F.array_position(F.reverse("_names"), name))
-        cells = F.transform(slots, lambda at: py_strip(F.coalesce(F.get(F.col("fields"), at.cast("int")), F.lit(""))))
+        keys = headers.select("path", "encoding", F.col("columns").alias("_names")).withColumn("_keys", F.array_distinct("_names"))
+        slots = F.transform("_keys", lambda name: (F.size("_names") - F.array_position(F.reverse("_names"), name)).cast("int"))
+        named = keys.select("path", "encoding", "_keys", slots.alias("_slots"))
+        cells = F.transform("_slots", lambda at: py_strip(F.coalesce(F.get(F.col("fields"), at), F.lit(""))))
+        # A generated column is computed once a record; a projected one is put into every condition on a cell anew.
         filled = (
             self.records.where("row_number > 1").join(named, "path")
-            .select("path", "encoding", "row_number", "_keys", cells.alias("_cells")).where(F.exists("_cells", lambda cell: cell != ""))
+            .select("path", "encoding", "row_number", "_keys", F.explode(F.array(cells)).alias("_cells")).where(F.exists("_cells", lambda cell: cell != ""))
         )
-        return filled.select("path", "encoding", "row_number", F.map_from_arrays("_keys", "_cells").alias("cells"))
+        maps = F.explode(F.array(F.map_from_arrays("_keys", "_cells")))
+        return filled.select("path", "encoding", "row_number", maps.alias("cells"))
 
 
 def _recut() -> Column:
@@ -189,10 +200,10 @@ def read_csv_files(spark: SparkSession, path: str) -> CsvFiles:
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")
     )
     sums = lines.mapInArrow(_summed, _SUMS)
-    places = cut_lineage(sums.groupBy("path").applyInArrow(_placed, _PLACES))
+    places = cut_lineage(_placed(sums))
     inside = {(row.path, row.start) for row in places.where("inside").select("path", "start").collect()}
     others = places.where("encoding is null or encoding = 'cp932'").select("path", "encoding").distinct().collect()
-    cut = lines.mapInArrow(_Cut(inside, {row.path: row.encoding for row in others}), _RECORDS)
+    cut = cut_lineage(lines.mapInArrow(_Cut(inside, {row.path: row.encoding for row in others}), _RECORDS))
     numbered = cut.join(places.select("path", "start", "first"), ["path", "start"]).withColumn("row_number", F.expr("first + at + 1"))
     whole = numbered.where("fragment is null").select("path", "row_number", "fields")
     parts = numbered.where("fragment is not null").groupBy("path", "row_number").agg(

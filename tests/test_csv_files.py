@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from firmlens.sources.csv_files import read_csv_files
 
@@ -69,3 +70,12 @@ def test_records_match_a_reader_of_whole_texts(spark, tmp_path, small_splits):
             trimmed = [(at, [cell.strip() for cell in row]) for at, row in records]
             assert heads[name] == (charset, head), name
             assert [(at, [cell.strip() for cell in row]) for at, row in rows[name]] == trimmed, name
+
+
+def test_cells_are_computed_once_a_record(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes(b"a, b ,b\n 1 ,2, 3\n,,\n4\n")
+    files = read_csv_files(spark, str(tmp_path))
+    rows = files.rows(files.headers).withColumns({name: F.try_element_at("cells", F.lit(name)) for name in "ab"})
+    kept = rows.where("a <> 'x' and b <> 'x'").select("row_number", "a", "b")
+    assert [tuple(r) for r in kept.orderBy("row_number").collect()] == [(2, "1", "3"), (4, "4", "")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("array_position(") == 1
