@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firmlens.llm import line_quality
+from firmlens.llm import line_quality, passages
 from firmlens.llm.common import components
 from firmlens.llm.ngram_join import jaccard_components, jaccard_pairs
 from firmlens.llm.passages import aligned, alike, chains, common_words, repeated_passages, without_passages
@@ -143,6 +143,64 @@ def test_copies_are_found_behind_holders_of_fragments(spark):
     assert spans[301, 300] == (1, 50, 50) and spans[302, 300] == (2, 50, 50)
 
 
+@pytest.mark.parametrize("others", [6, 90])
+def test_near_copies_behind_holders_of_their_phrases(spark, others):
+    """Two near copies whose seeds many documents hold, before and between them: few holders a seed, and more than are paired."""
+    rnd = random.Random(11)
+    words = [f"u{k}" for k in range(4000)]
+    parts = [rnd.choices(words, k=16) for _ in range(4)]
+    rows = []
+    for doc in range(others):
+        own = rnd.choices(words, k=20)
+        for part in rnd.sample(parts, 4):
+            own += [*part, *rnd.choices(words, k=70)]
+        rows.append((doc if doc % 2 else 10000 + doc, " ".join(own)))
+    for doc in (500, 501):
+        own = rnd.choices(words, k=15)
+        for part in parts:  # one word more in the second
+            own += [*part, *rnd.choices(words, k=1 + doc % 2)]
+        rows.append((doc, " ".join([*own, *rnd.choices(words, k=15)])))
+    spans = {(r.doc_id, r.source_id): (r.start, r.length, r.matches) for r in repeated_passages(frame(spark, rows)).collect()}
+    assert set(spans) == {(501, 500)} and spans[501, 500][1] >= 50 and spans[501, 500][2] >= 40
+
+
+def test_comparison_of_common_seeds_finds_what_all_pairs_find():
+    """Blocks of holders against a plain count of the words that agree, words moved by a few places included."""
+    rnd, size, kmer = random.Random(4), 50, 6
+    side = size - kmer + passages.SHIFT
+    seed = [rnd.randrange(1, 256) for _ in range(kmer)]
+    bases = [[rnd.randrange(1, 256) for _ in range(2 * side)] for _ in range(3)]
+    rows = []
+    for doc in range(40):
+        own = [rnd.randrange(1, 256) if rnd.random() < doc % 5 / 12 else word for word in bases[doc % 3]]
+        if doc % 4 == 1:
+            own.insert(side + 10, rnd.randrange(1, 256))
+        rows.append((7, doc, 1000, 40, None, bytes([*own[:side], *seed, *own[side : 2 * side]]), None, doc % 2, 0, 1))
+    names = ["seed", "doc", "pos", "apart", "before", "around", "label", "block", "one", "two"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
+
+    found = set()
+    compare = passages._Compare(kmer, size, 0.8)
+    for one, two in ((0, 0), (0, 1), (1, 1)):
+        group = [(*row[:8], one, two) for row in rows if row[7] in (one, two)]
+        for out in compare(iter([batch(group[:7]), batch(group[7:])])):
+            found |= set(zip(*(out.column(name).to_pylist() for name in ("later", "earlier"))))
+    wanted = set()
+    for later in rows:
+        for earlier in rows[: later[1]]:
+            a, b = later[5], earlier[5]
+            agree = [any(a[k] == b[k + s] for s in range(-passages.SHIFT, passages.SHIFT + 1)) for k in range(passages.SHIFT, len(a) - passages.SHIFT)]
+            equal = [a[k] == b[k] for k in range(passages.SHIFT, len(a) - passages.SHIFT)]
+            spans = range(len(agree) - size + 1)
+            if max(sum(agree[k : k + size]) for k in spans) >= 40 and not any(all(equal[k : k + size]) for k in spans):
+                wanted.add((later[1], earlier[1]))
+    # The words that agree are counted on the side of the row that comes first, which is the later one or not.
+    assert found and len(found ^ wanted) <= len(wanted) // 10
+
+
 def test_an_equal_run_beside_unlike_words_is_a_passage(spark):
     import numpy as np
 
