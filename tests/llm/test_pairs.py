@@ -201,6 +201,38 @@ def test_comparison_of_common_seeds_finds_what_all_pairs_find():
     assert found and len(found ^ wanted) <= len(wanted) // 10
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_a_group_of_near_copies_costs_its_size(blocks):
+    """Two groups of near copies and unlike places: matches in proportion, every copy with an earlier one, classes as of all pairs."""
+    import numpy as np
+
+    rnd, size, kmer, many = np.random.default_rng(6), 50, 6, 240
+    width = 2 * (size - kmer + passages.SHIFT) + kmer
+    bases = rnd.integers(1, 255, (2, width), dtype=np.uint8)
+    rows = []
+    for doc in range(many):
+        changed = rnd.random(width) < (0.03 if doc % 3 else 1)
+        changed[[45, 46, 72, 73]] = True  # on both sides of the seed: no equal window
+        own = np.where(changed, rnd.integers(1, 255, width), bases[doc % 2])
+        own[56:62] = 9
+        rows.append((7, doc, 1000, many, None, own.astype(np.uint8).tobytes(), None, doc // 2 % blocks, 0, 0))
+    names = ["seed", "doc", "pos", "apart", "before", "around", "label", "block", "one", "two"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    links, made = set(), 0
+    for one in range(blocks):
+        for two in range(one, blocks):
+            group = [(*row[:8], one, two) for row in rows if row[7] in (one, two)]
+            group = [group[at] for at in rnd.permutation(len(group))]
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*group), kinds)]
+            for out in passages._Compare(kmer, size, 0.8, forest=True)(iter([pa.RecordBatch.from_arrays(columns, names=names)])):
+                links |= set(zip(out.column("later").to_pylist(), out.column("earlier").to_pylist()))
+                made += out.num_rows
+    copies = {doc for doc in range(many) if doc % 3}
+    assert all(a % 2 == b % 2 and {a, b} <= copies for a, b in links)
+    assert {a for a, _ in links} == copies - {1, 2}  # all but the first of each group
+    assert made < 40 * many  # all pairs: 6,400 with ten matches each
+
+
 def test_an_equal_run_beside_unlike_words_is_a_passage(spark):
     import numpy as np
 
