@@ -10,7 +10,8 @@ Record: ``length`` ids as little-endian unsigned 16 or 32 bits, padded with zero
 real ids.
 
 How it scales: numbers follow from the count of sequences per input partition (two reads, as in a
-distributed zip with index; the second read is checked against the first). Ids are shuffled once, straight to
+distributed zip with index; the second read is checked against the first). Texts are encoded a few megabytes at a time, each
+distinct piece of them once; the first read takes only the numbers of ids. Ids are shuffled once, straight to
 their shard. A shard is written under a name of the attempt and then moved to its own name, so a lost or repeated
 task leaves whole files only.
 """
@@ -28,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import model_file, written
-from firmlens.llm.segments import ranks_memory
+from firmlens.llm.segments import in_chunks, ranks_memory
 from firmlens.session import checkpoint_dir
 
+#: Documents whose records are yielded together.
+ROWS = 500
+
 _RECORDS = "slot long, shard int, doc_id long, piece int, n_ids int, crc32 long, ids binary"
 _INDEX = "slot long, shard int, record int, doc_id long, piece int, n_ids int, crc32 long"
 
@@ -68,21 +72,27 @@ class _Sequences:
     def __init__(self, model, pattern: str, end_id: int, length: int):
         self._model, self._pattern, self._end, self._length = model, pattern, end_id, length
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    def _chunks(self, batches: Iterator[pa.RecordBatch]):
         memory = None
-        for batch in batches:
+        for chunk in in_chunks(batches, 1):
             memory = memory or ranks_memory(self._model.value, self._pattern)
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = memory(part.column(1))
-                yield part.column(0).to_pylist(), ids.flat, ids.offsets
+            yield chunk.column(0), chunk.column(1), memory
+
+    def _pieces(self, sizes: np.ndarray) -> np.ndarray:
+        return (sizes + self._length) // self._length
+
+    @staticmethod
+    def _print(docs: pa.Array, pieces: np.ndarray, before: int) -> int:
+        known = docs.is_valid().to_numpy(zero_copy_only=False)
+        numbers = docs.fill_null(0).to_numpy(zero_copy_only=False)
+        return zlib.crc32(np.stack([numbers, known, pieces], axis=1).astype("<i8").tobytes(), before)
 
     def counts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, print_ = 0, 0
-        for docs, _, offsets in self(batches):
-            pieces = (np.diff(offsets) + self._length) // self._length
+        for docs, texts, memory in self._chunks(batches):
+            pieces = self._pieces(memory.sizes(texts))
             number += int(pieces.sum())
-            print_ = zlib.crc32(repr((docs, pieces.tolist())).encode(), print_)
+            print_ = self._print(docs, pieces, print_)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pylist([{"part": part, "number": number, "print": print_}], schema=pa.schema([("part", pa.int32()), ("number", pa.int64()), ("print", pa.int64())]))
 
@@ -93,19 +103,20 @@ class _Sequences:
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, expected, expected_print = first.value.get(TaskContext.get().partitionId(), (0, 0, 0))
             number, print_ = 0, 0
-            for docs, flat, offsets in self(batches):
-                pieces = (np.diff(offsets) + self._length) // self._length
-                print_ = zlib.crc32(repr((docs, pieces.tolist())).encode(), print_)
-                rows = []
-                for doc, low, high in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist()):
-                    own = np.append(flat[low:high], self._end).astype(kind)
-                    for piece, at in enumerate(range(0, len(own), self._length)):
-                        raw = own[at : at + self._length].tobytes()
-                        rows.append((doc, piece, min(self._length, len(own) - at), zlib.crc32(raw), raw))
-                places = slots(np.arange(start + number, start + number + len(rows)), total, key)
-                number += len(rows)
-                columns = [places, (places // per_shard).astype(np.int32), *(zip(*rows) if rows else [[]] * 5)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for docs, texts, memory in self._chunks(batches):
+                ids = memory(texts)
+                print_ = self._print(docs, self._pieces(np.diff(ids.offsets)), print_)
+                for low in range(0, len(docs), ROWS):
+                    rows, bounds = [], ids.offsets[low : low + ROWS + 1].tolist()
+                    for doc, start_at, stop in zip(docs[low : low + ROWS].to_pylist(), bounds[:-1], bounds[1:]):
+                        own = np.append(ids.flat[start_at:stop], self._end).astype(kind)
+                        for piece, at in enumerate(range(0, len(own), self._length)):
+                            raw = own[at : at + self._length].tobytes()
+                            rows.append((doc, piece, min(self._length, len(own) - at), zlib.crc32(raw), raw))
+                    places = slots(np.arange(start + number, start + number + len(rows)), total, key)
+                    number += len(rows)
+                    columns = [places, (places // per_shard).astype(np.int32), *(zip(*rows) if rows else [[]] * 5)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
             if (number, print_) != (expected, expected_print):
                 raise RuntimeError("the documents changed between the two reads")
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from firmlens.llm.packing import Plan, pack
 from firmlens.llm.piece_bpe import PieceModel, decode, encode
-from firmlens.llm.segments import folded, library_memory, ranks_memory
+from firmlens.llm.segments import cut_at_spaces, folded, library_memory, ranks_memory
 from firmlens.llm.token_shards import read_sequence, slots, write_shards
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -185,3 +185,67 @@ def test_a_memory_is_bounded_by_characters(monkeypatch):
     memory(pa.array(["x" * 200]))
     memory(pa.array(["y"]))
     assert list(memory._place) == ["y"]
+
+
+LATIN = "".join(map(chr, [*range(0xC0, 0x180), 0x1C, 0x85, 0xA0, 0xAA, 0xB5, 0x300, 0x301, 0x2003, 0x2028, 0x3000, 0x430, 0x1E9E, 0x4E2D, 0x20A9]))
+
+
+def mixed_words(count=300, seed=3):
+    rnd = random.Random(seed)
+    pool = LATIN + "abcXYZ" * 20 + "     \n\t.,'(&|019"
+    made = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 200))) for _ in range(count)]
+    return [*made, *LATIN, *(f" {c}a" for c in LATIN), *(f"a{c} b" for c in LATIN), "l'été don't 's", "İ ŉ ſ ĲŸ", "<|endoftext|> été", ""]
+
+
+def test_texts_are_cut_after_letters_of_two_bytes():
+    def cuts(text):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        return cut_at_spaces(raw, np.array([0, len(raw)])).tolist()
+
+    assert cuts("é a") == [0, 2] and cuts("à\nи b") == [0, 2, 5]
+    assert cuts("a\u00a0 b") == cuts("\u2029 b") == cuts("\u1680 b") == cuts("\x1c b") == [0]
+
+
+def test_whole_columns_encode_as_the_libraries_do():
+    given = mixed_words()
+    for path, special in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        data = open(public_tokenizers.path(path), "rb").read()
+        library = Tokenizer.from_buffer(data)
+        library.encode_special_tokens = special
+        expected = [library.encode(text, add_special_tokens=False).ids for text in given]
+        memory = library_memory(data, fold=True)
+        if special:
+            memory = ranks_memory(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+        ids = memory(pa.array(given))
+        assert [ids.flat[a:b].tolist() for a, b in zip(ids.offsets[:-1], ids.offsets[1:])] == expected
+        assert memory.sizes(pa.array(given)).tolist() == list(map(len, expected))
+        assert memory.sizes(pa.array([None, ""])).tolist() == [0, 0] and len(memory(pa.array([], pa.string())).flat) == 0
+
+
+def test_many_pieces_are_encoded_in_few_calls(monkeypatch):
+    import tiktoken
+
+    calls = []
+
+    class Counted:
+        def __init__(self, *args, **options):
+            core = real(*args, **options)._core_bpe
+            self._core_bpe = self
+            self.encode_ordinary = lambda text: calls.append(text) or core.encode_ordinary(text)
+
+    real = tiktoken.Encoding
+    monkeypatch.setattr(tiktoken, "Encoding", Counted)
+    memory = ranks_memory(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    memory(pa.array([f"x word{k} été{k}, (and)" for k in range(1000)]))
+    assert 1 <= len(calls) <= 3
+
+
+def test_chunks_keep_all_rows_in_order(monkeypatch):
+    from firmlens.llm import segments
+
+    monkeypatch.setattr(segments, "CHUNK", 50)
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array([f"row {k}", None])}) for k in range(40)]
+    chunks = list(segments.in_chunks(iter(batches), 0))
+    assert 1 < len(chunks) < 40
+    assert [t for chunk in chunks for t in chunk.column(0).to_pylist()] == [t for batch in batches for t in batch.column(0).to_pylist()]
+    assert list(segments.in_chunks(iter([]), 0)) == []
