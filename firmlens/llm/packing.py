@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlens.llm.common import drop, model_file, written
-from firmlens.llm.segments import PieceMemory, folded, library_memory
+from firmlens.llm.segments import PieceTable, in_chunks, library_memory
 
 #: Lengths in a combination at most, and pairs of lengths kept per sum as its building stones.
 DEPTH = 6
@@ -34,18 +34,21 @@ PAIRS = 6
 ROUNDS = 120
 ENUMERATIONS = 4
 
+#: Documents whose lengths are yielded together.
+ROWS = 500
+
 _LENGTHS = "doc_id long, tokens long, full array<long>, rest int, rest_crc long, ids binary, part int, near long, full_near long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _memory(model: bytes) -> PieceMemory:
-    return library_memory(model, fold=folded)
+def _memory(model: bytes) -> PieceTable:
+    return library_memory(model, fold=True)
 
 
 class _Lengths:
     """Every document's number of ids, checksums of its full windows, its rest, and its numbers inside the task."""
 
-    def __init__(self, model, end_id: int, window: int, memory: Callable[[bytes], PieceMemory]):
+    def __init__(self, model, end_id: int, window: int, memory: Callable[[bytes], PieceTable]):
         self._model, self._end, self._window, self._memory = model, end_id, window, memory
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,19 +56,19 @@ class _Lengths:
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
         memory, task = None, TaskContext.get().partitionId()
         rests, fulls = np.zeros(self._window, dtype=np.int64), 0
-        for batch in batches:
+        for chunk in in_chunks(batches, 1):
             memory = memory or self._memory(self._model.value)
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = memory(part.column(1))
-                flat, rows = ids.flat.astype(np.uint32), []
-                for start, stop in zip(ids.offsets[:-1].tolist(), ids.offsets[1:].tolist()):
+            ids = memory(chunk.column(1))
+            flat = ids.flat.astype(np.uint32)
+            for low in range(0, chunk.num_rows, ROWS):
+                rows, bounds = [], ids.offsets[low : low + ROWS + 1].tolist()
+                for start, stop in zip(bounds[:-1], bounds[1:]):
                     row = self._row(flat[start:stop])
                     rows.append((*row, task, int(rests[row[2]]), fulls))
                     rests[row[2]] += 1
                     fulls += len(row[1])
                 columns = (pa.array(column, kind) for column, kind in zip(zip(*rows), kinds))
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([chunk.column(0).slice(low, ROWS), *columns], names=["doc_id", *names])
 
     def _row(self, own: np.ndarray) -> tuple:
         ids = np.append(own, np.uint32(self._end)).astype("<u4")
