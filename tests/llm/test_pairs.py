@@ -267,3 +267,18 @@ def test_long_words_hash_alike_wherever_they_stand():
     data = np.frombuffer(b"ab " + word + b" x " + word.upper() + b" " + word[:-1], dtype=np.uint8)
     hashes = WordHasher().words(data, np.array([0, len(data)]))[2]
     assert hashes[1] == hashes[3] and len(set(hashes.tolist())) == 4
+
+
+def test_steps_of_passages_do_not_pile_up_shuffles(spark, monkeypatch):
+    shuffles, kept = [], passages.written
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return kept(df)
+
+    monkeypatch.setattr(passages, "written", counted)
+    text = " ".join(f"word{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, f"{text} end{k}") for k in range(4)], "doc_id long, text string")
+    found = passages.repeated_passages(docs, min_words=50).collect()
+    assert {(r.doc_id, r.source_id, r.length) for r in found} >= {(k, 0, 80) for k in (1, 2, 3)}
+    assert sum(shuffles) > 8 and max(shuffles) <= 8, shuffles  # the files of a step's shuffles stay until it ends
