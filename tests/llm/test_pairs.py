@@ -282,3 +282,42 @@ def test_steps_of_passages_do_not_pile_up_shuffles(spark, monkeypatch):
     found = passages.repeated_passages(docs, min_words=50).collect()
     assert {(r.doc_id, r.source_id, r.length) for r in found} >= {(k, 0, 80) for k in (1, 2, 3)}
     assert sum(shuffles) > 8 and max(shuffles) <= 8, shuffles  # the files of a step's shuffles stay until it ends
+
+
+def test_copies_of_a_text_are_one_row_each(spark):
+    """Only the first holder of a text is compared with others; short texts, equal rows and two texts under one id."""
+    rnd = random.Random(12)
+    words = [f"u{k}" for k in range(4000)]
+    part, text, short = rnd.choices(words, k=60), rnd.choices(words, k=40), " ".join(rnd.choices(words, k=49))
+    whole = " ".join([*text, *part])
+    rows = [(9, whole), (3, whole), (7, whole), (7, whole), (5, " ".join([*part, *rnd.choices(words, k=30)])), (1, short), (2, short)]
+    rows += [(20, whole), (20, " ".join(rnd.choices(words, k=70))), (None, whole)]
+    found = [tuple(r) for r in repeated_passages(frame(spark, rows)).collect()]
+    copies = [(doc, 3, 0, 100, 0, 100, 100) for doc in (7, 9, 20)]
+    assert sorted(found) == sorted([*copies, (5, 3, 0, 60, 40, 60, 60)])
+    cut = {(r.doc_id, r.text) for r in without_passages(frame(spark, rows[:5]), repeated_passages(frame(spark, rows[:5]))).collect()}
+    assert (9, "") in cut and (7, "") in cut and (3, whole) in cut
+
+
+def test_places_with_few_alike_ones_are_compared_together(monkeypatch):
+    """Many pairs of near copies at a common seed: a step over the words for many places, not for each."""
+    rnd, size, kmer, many, calls = np.random.default_rng(3), 50, 6, 400, []
+    width = 2 * (size - kmer + passages.SHIFT) + kmer
+    rows = []
+    for doc in range(many):
+        if doc % 2 == 0:
+            own = rnd.integers(1, 255, width)
+        own = own.copy()
+        own[[45, 46, 72, 73]] = rnd.integers(1, 255, 4)  # on both sides of the seed: no equal window
+        own[56:62] = 9
+        rows.append((7, doc, 1000, None, None, own.astype(np.uint8).tobytes(), 0, 0, 0))
+    names = ["seed", "doc", "pos", "label", "before", "around", "block", "one", "two"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    ordered = passages._Compare._ordered
+    monkeypatch.setattr(passages._Compare, "_ordered", lambda self, *given: calls.append(1) or ordered(self, *given))
+    batch = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=names)
+    links = set()
+    for out in passages._Compare(kmer, size, 0.8, forest=True)(iter([batch])):
+        links |= set(zip(out.column("later").to_pylist(), out.column("earlier").to_pylist()))
+    assert links == {(doc, doc - 1) for doc in range(1, many, 2)}
+    assert len(calls) <= 4, len(calls)  # one for each of 200 places before
