@@ -321,3 +321,44 @@ def test_places_with_few_alike_ones_are_compared_together(monkeypatch):
         links |= set(zip(out.column("later").to_pylist(), out.column("earlier").to_pylist()))
     assert links == {(doc, doc - 1) for doc in range(1, many, 2)}
     assert len(calls) <= 4, len(calls)  # one for each of 200 places before
+
+
+@pytest.mark.parametrize("kind", ["evenly", "at random"])
+def test_copies_at_the_declared_identity_are_all_found(spark, kind):
+    """50 words of which 40 are equal, in runs of four words at worst: one run of ten words in ten would miss most of them."""
+    rnd, rows = random.Random(5), []
+    words = [f"u{k}" for k in range(4000)]
+    for pair in range(30):
+        run = rnd.choices(words, k=50)
+        copy = list(run)
+        for at in range(2, 50, 5) if kind == "evenly" else rnd.sample(range(1, 49), 10):
+            copy[at] = f"n{pair}x{at}"
+        for doc, own in ((2 * pair, run), (2 * pair + 1, copy)):
+            rows.append((doc, " ".join([*rnd.choices(words, k=rnd.randint(5, 80)), *own, *rnd.choices(words, k=rnd.randint(5, 80))])))
+    found = {(r.doc_id, r.source_id): r for r in repeated_passages(frame(spark, rows)).collect()}
+    assert set(found) == {(2 * pair + 1, 2 * pair) for pair in range(30)}
+    assert all(r.matches >= 0.8 * max(r.length, r.source_length) and min(r.length, r.source_length) >= 50 for r in found.values())
+
+
+def test_words_said_over_and_over_are_covered_to_their_end(spark):
+    rnd = random.Random(7)
+    words = [f"u{k}" for k in range(4000)]
+    rows = [(doc, " ".join([*rnd.choices(words, k=20), *["la"] * size, *rnd.choices(words, k=20)])) for doc, size in ((1, 90), (2, 330), (3, 60))]
+    found = [r for r in repeated_passages(frame(spark, rows)).collect()]
+    covered = {doc: set() for doc in (1, 2, 3)}
+    for r in found:
+        assert r.source_id < r.doc_id
+        covered[r.doc_id] |= set(range(r.start, r.start + r.length))
+    assert covered[2] >= set(range(20, 350)) and covered[3] >= set(range(20, 80)) and not covered[1]
+
+
+def test_a_long_chain_further_off_does_not_hide_a_near_block():
+    far, near, last = [0, 0, 900], [1000, 1000, 20], [1030, 1025, 10]
+    assert chains(np.array([far, near, last])) == [[tuple(far)], [tuple(near), tuple(last)]]
+
+
+def test_alike_stretches_follow_the_chain_over_gaps():
+    a = np.arange(200)
+    b = np.concatenate([a[:40], [900], a[40:80], np.arange(300, 420)])
+    blocks = [(0, 0, 40), (40, 41, 40), (190, 190, 4)]
+    assert (0, 80, 0, 81, 80) in passages.stretches(a, b, blocks, 60, 0.9)
