@@ -325,7 +325,7 @@ def test_places_with_few_alike_ones_are_compared_together(monkeypatch):
 
 @pytest.mark.parametrize("kind", ["evenly", "at random"])
 def test_copies_at_the_declared_identity_are_all_found(spark, kind):
-    """50 words of which 40 are equal, in runs of four words at worst: one run of ten words in ten would miss most of them."""
+    """50 words of which 40 are equal, in runs of four words at worst: seeds of more words miss such copies."""
     rnd, rows = random.Random(5), []
     words = [f"u{k}" for k in range(4000)]
     for pair in range(30):
